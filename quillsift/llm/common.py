@@ -81,3 +81,16 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
     roots = pairs.groupBy("a").agg(F.min("b").alias("class_id")).select(F.col("a").alias("id"), "class_id")
     return roots.unionByName(roots.select(F.col("class_id").alias("id"), "class_id").distinct())
+
+
+def sized(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """df, marked for broadcast only if it has been counted and has at most max_rows (short) rows."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
+    """Join condition left.k <=> right.v for each pair; null equals null."""
+    out = F.lit(True)
+    for k, v in pairs.items():
+        out = out & left[k].eqNullSafe(right[v])
+    return out

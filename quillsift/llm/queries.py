@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import sentencepieces
+from quillsift.llm import exact_dedup, sentencepieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_exact_dedup": exact_dedup.query,
         "op3_sentencepiece": sentencepieces.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_dedup": exact_dedup.ORACLE,
+    }
