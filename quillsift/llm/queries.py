@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import exact_dedup, sentencepieces
+from quillsift.llm import exact_dedup, licenses, mixing, sentencepieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.query,
         "op3_sentencepiece": sentencepieces.query,
+        "op5_license_scan": licenses.query,
+        "op6_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
+        "op6_mixing": mixing.ORACLE,
     }
