@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import exact_dedup, licenses, mixing, sentencepieces
+from quillsift.llm import exact_dedup, licenses, mixing, secrets_scan, sentencepieces, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": sentencepieces.query,
         "op5_license_scan": licenses.query,
         "op6_mixing": mixing.query,
+        "op7_secret_scan": secrets_scan.query,
+        "op8_url_filter": url_filter.query,
     }
 
 
@@ -22,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op6_mixing": mixing.ORACLE,
+        "op8_url_filter": url_filter.ORACLE,
     }
