@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import exact_dedup, licenses, mixing, secrets_scan, sentencepieces, url_filter
+from quillsift.llm import exact_dedup, licenses, mixing, secrets_scan, sentencepieces, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.query,
         "op7_secret_scan": secrets_scan.query,
         "op8_url_filter": url_filter.query,
+        "op9_warc": warc.query,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
+        "op9_warc": warc.ORACLE,
     }
