@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import exact_dedup, licenses, mixing, secrets_scan, sentencepieces, url_filter, warc
+from quillsift.llm import exact_dedup, licenses, mixing, near_dedup, quality, secrets_scan, sentencepieces, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality.query,
         "op2_exact_dedup": exact_dedup.query,
         "op3_sentencepiece": sentencepieces.query,
+        "op4_near_dedup": near_dedup.query,
         "op5_license_scan": licenses.query,
         "op6_mixing": mixing.query,
         "op7_secret_scan": secrets_scan.query,
