@@ -6,8 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -94,3 +95,42 @@ def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
     for k, v in pairs.items():
         out = out & left[k].eqNullSafe(right[v])
     return out
+
+
+def link_up(placed: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], star_rounds: int = 3) -> tuple[DataFrame | None, DataFrame | None]:
+    """Classes (id, class_id) of the ids that share buckets and are links, and the links; None where there are none.
+
+    placed: (id long, n, bucket long), n being what fits(n, m) needs to rule a pair out. verify: from pairs (a, b), a > b,
+    to the links among them. In each round the members of a bucket are compared with its hub only, and after the first
+    only those of another class than the hub's; in the last round so are the pairs of a bucket that are still in
+    different classes. So a bucket of many near copies costs as many comparisons as it has members, and no pair of
+    different classes goes unseen.
+    """
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    placed = cut(placed.join(shared, "bucket"))
+    found, groups, seen = None, None, None
+    for turn in range(star_rounds + 1):
+        if groups is None:
+            now = placed.withColumn("class_id", F.col("id"))
+        else:
+            now = placed.join(groups, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+            split = now.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("bucket")
+            now = now.join(split, "bucket")
+        if turn < star_rounds:
+            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+            hubs = now.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("class_id").alias("hub_class")), order).alias("h"))
+            pairs = now.join(hubs.select("bucket", "h.*"), "bucket").where(F.col("id") != F.col("hub"))
+        else:
+            other = now.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("class_id").alias("hub_class"))
+            pairs = now.join(other, "bucket").where(F.col("id") > F.col("hub"))
+        pairs = pairs.where((F.col("class_id") != F.col("hub_class")) & fits(F.col("n"), F.col("hub_n")))
+        pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        if not pairs.limit(1).count():
+            continue
+        links = verify(pairs)
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        found = links if found is None else found.unionByName(links)
+        if links.limit(1).count():
+            groups = components(found).select("id", "class_id")
+    return groups, found

@@ -31,7 +31,7 @@ SLICE_DIGITS, TIME_SLICES = 3, 20_000
 def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     order = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), order.alias("order"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), order.alias("order"), F.xxhash64(text).alias("mark"))
 
 
 def targets(by_source: DataFrame, factor: float = FACTOR) -> DataFrame:
@@ -52,7 +52,7 @@ def targets(by_source: DataFrame, factor: float = FACTOR) -> DataFrame:
 
 
 def take(sized: DataFrame, factor: float = FACTOR) -> DataFrame:
-    """How many words of each row of (id, source, size, order) the mix takes; adds source_size, target and taken."""
+    """How many words of each row of (id, source, size, order, mark) the mix takes; adds source_size, target and taken."""
     sized = cut(sized.withColumn("slice", F.substring("order", 1, SLICE_DIGITS)))
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +67,7 @@ def take(sized: DataFrame, factor: float = FACTOR) -> DataFrame:
     run = run.withColumn("row", F.monotonically_increasing_id())
 
     passes = F.posexplode(F.sequence(F.lit(1), F.lit(MOST)))
-    entries = run.select("id", "source", "size", "order", "source_size", "target", "row", "upto", passes.alias("again", "turn"))
+    entries = run.select("id", "source", "size", "order", "mark", "source_size", "target", "row", "upto", passes.alias("again", "turn"))
     finish = F.when(F.col("target") > 0, (F.col("upto") + F.col("again") * F.col("source_size")) / F.col("target")).otherwise(F.lit(float(MOST * 10)))
     entries = cut(entries.withColumn("finish", finish).withColumn("slice", F.least(F.floor(F.col("finish") * (TIME_SLICES // 2)), F.lit(TIME_SLICES)).cast("int")))
     budget = goals.agg(F.coalesce(F.floor(F.sum("target") + 0.5), F.lit(0)).cast("long").alias("budget"))
@@ -80,7 +80,7 @@ def take(sized: DataFrame, factor: float = FACTOR) -> DataFrame:
     ahead = F.sum("size").over(Window.partitionBy("slice").orderBy("finish", "source", "order", "again", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     edge = entries.where("left > 0 AND left < in_slice").withColumn("taken", F.greatest(F.lit(0), F.least("size", F.col("left") - ahead)))
     taken = whole.unionByName(none).unionByName(edge)
-    return taken.groupBy("row", "id", "source", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
+    return taken.groupBy("row", "id", "source", "size", "mark", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The mix itself, with the columns of docs: a document is there as often as it is taken, a part of it cut after its words.
+
+    length_col, if docs has it, is the length of the text again where the text was cut. Equal rows share what they take.
+    """
+    found = take(sizes(docs, id_col, source_col, text_col))
+    found = found.groupBy(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("mark").alias("_m"), F.col("size").alias("_n")).agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
+    found = found.where("_taken > 0")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = docs.withColumns({"_mark": F.xxhash64(text), "_source": F.col(source_col).cast("string")})
+    rows = marked.join(found, same(marked, found, {id_col: "_i", "_source": "_s", "_mark": "_m"}))
+    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_n")).cast("int") - 1)))
+    words = F.least("_n", F.col("_taken") - F.col("_turn") * F.col("_n")).cast("int")
+    start = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, words), "")
+    part = words < F.col("_n")
+    rows = rows.withColumn(text_col, F.when(part, start).otherwise(F.col(text_col)))
+    if length_col in docs.columns:
+        rows = rows.withColumn(length_col, F.when(part, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return rows.select(docs.columns)
+
+
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'null')) AS ord FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

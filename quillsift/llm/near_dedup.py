@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import components, cut, sized, stored, table
+from quillsift.llm.common import cut, link_up, sized, stored, table
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -160,35 +160,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sta
     reps = stored(reps, "representatives")
 
     placed = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    placed = cut(placed.join(shared, "bucket"))
-    fits = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(LEAST)
-    found, groups, seen = None, None, None
-    for turn in range(star_rounds + 1):
-        now = placed if groups is None else placed.join(groups, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        if groups is not None:
-            open_ = now.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("bucket")
-            now = now.join(open_, "bucket")
-        else:
-            now = now.withColumn("class_id", F.col("id"))
-        if turn < star_rounds:
-            order = F.struct("id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)))
-            hubs = now.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("class_id").alias("hub_class")), order).alias("h")).select("bucket", "h.*")
-            pairs = now.join(hubs, "bucket").where((F.col("class_id") != F.col("hub_class")) & fits).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        else:
-            other = now.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("class_id").alias("hub_class"))
-            pairs = now.join(other, "bucket").where((F.col("id") > F.col("hub")) & (F.col("class_id") != F.col("hub_class")) & fits).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            if turn < star_rounds:
-                continue
-            break
-        links = verify(pairs, texts)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = links if found is None else found.unionByName(links)
-        if links.limit(1).count():
-            groups = components(found).select("id", "class_id")
+    fits = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(LEAST)
+    groups, _ = link_up(placed, lambda pairs: verify(pairs, texts), fits, star_rounds)
     if groups is None:
         named = reps.select("digest", F.col("rep").alias("class_id"), "size")
     else:

@@ -18,6 +18,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,33 +148,39 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; with_ids adds token_ids and decoded_text.
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; extra may name token_ids and decoded_text.
 
     The library's own files must be at `path` on every executor, as the installed tokenizers are.
     """
-    more = ", token_ids array<int>, decoded_text string" if with_ids else ""
     kind = docs.schema[id_col].dataType.simpleString()
+    more = {"token_ids": "array<int>", "decoded_text": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = agenda(path)
         for batch in batches:
-            rows: list[tuple] = []
+            if not batch.num_rows:
+                continue
+            ids, decoded = [], []
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
-                ids, decoded = own.encode(text)
+                found = own.encode(text)
                 if k % COMPARE_EVERY == 0:
-                    own.compare(text, ids, decoded)
-                extra = ([*struct.unpack(f"<{len(ids) // 4}I", ids)], decoded.decode()) if with_ids else ()
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *extra))
-            if rows:
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded_text"]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names[: len(columns)]])
+                    own.compare(text, *found)
+                ids.append(found[0])
+                decoded.append(found[1])
+            lengths = np.array([len(x) // 4 for x in ids])
+            columns = [pa.array(lengths, pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in c]) for c in (ids, decoded))]
+            if "token_ids" in extra:
+                ends = pa.array(np.concatenate([[0], lengths.cumsum()]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            if "decoded_text" in extra:
+                columns.append(pa.array([d.decode() for d in decoded]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(n for n in more if n in extra)])
 
     picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    schema = "".join(f", {n} {t}" for n, t in more.items() if n in extra)
+    return picked.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{schema}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
