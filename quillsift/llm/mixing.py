@@ -70,10 +70,10 @@ def take(sized: DataFrame, factor: float = FACTOR) -> DataFrame:
     entries = run.select("id", "source", "size", "order", "mark", "source_size", "target", "row", "upto", passes.alias("again", "turn"))
     finish = F.when(F.col("target") > 0, (F.col("upto") + F.col("again") * F.col("source_size")) / F.col("target")).otherwise(F.lit(float(MOST * 10)))
     entries = cut(entries.withColumn("finish", finish).withColumn("slice", F.least(F.floor(F.col("finish") * (TIME_SLICES // 2)), F.lit(TIME_SLICES)).cast("int")))
-    budget = goals.agg(F.coalesce(F.floor(F.sum("target") + 0.5), F.lit(0)).cast("long").alias("budget"))
+    budget = goals.agg(F.coalesce(F.floor(F.sum("target") + 0.5), F.lit(0)).cast("long")).first()[0]
     times = entries.groupBy("slice").agg(F.sum("size").alias("in_slice"))  # at most TIME_SLICES + 1 rows
     times = times.withColumn("before", F.coalesce(F.sum("in_slice").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    times = times.crossJoin(F.broadcast(budget)).withColumn("left", F.col("budget") - F.col("before")).select("slice", "in_slice", "left")
+    times = times.select("slice", "in_slice", (F.lit(budget) - F.col("before")).alias("left"))
     entries = entries.join(F.broadcast(times), "slice")
     whole = entries.where("left >= in_slice").withColumn("taken", F.col("size"))
     none = entries.where("left <= 0").withColumn("taken", F.lit(0).cast("long"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import exact_dedup, licenses, mixing, near_dedup, quality, secrets_scan, sentencepieces, url_filter, warc
+from quillsift.llm import chroma, exact_dedup, licenses, mixing, near_dedup, quality, secrets_scan, sentencepieces, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_scan": secrets_scan.query,
         "op8_url_filter": url_filter.query,
         "op9_warc": warc.query,
+        "op10_chroma": chroma.query,
     }
 
 

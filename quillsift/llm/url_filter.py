@@ -45,17 +45,17 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     """pages with host, path, rule and verdict; rules: (verdict, rule_host, rule_path)."""
     rules = rules.where("rule_host IS NOT NULL AND rule_path IS NOT NULL").select(F.concat("rule_host", "rule_path").alias("rule"), F.struct("rule_host", "rule_path").alias("_key"), "verdict")
     rules = rules.groupBy("_key", "rule").agg(F.max("verdict").alias("verdict"))  # block > allow
-    lengths = F.broadcast(rules.agg(F.collect_set(F.length("_key.rule_path")).alias("lengths")))  # path lengths, few
+    lengths = [r[0] for r in rules.select(F.length("_key.rule_path")).distinct().collect()]  # no more than an url is long
     blocks = max(1, min(MOST_BLOCKS, -(-rules.count() // KEYS_PER_BLOCK)))
     block, mask = _place(F.to_json("_key"), blocks)
     bloom = F.broadcast(rules.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word")))
 
     urls = pages.groupBy(F.col(url_col).alias("_url")).agg(F.count("*").alias("_n"))  # equal urls are judged once
     host, path = parts(F.col("_url"))
-    urls = urls.crossJoin(lengths).select("_url", host.alias("_host"), path.alias("_path"), "lengths")
+    urls = urls.select("_url", host.alias("_host"), path.alias("_path"))
     labels = F.split("_host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
     asked = urls.where("_host <> '' OR _path <> ''").select("_url", F.explode(suffixes).alias("rule_host"), prefixes.alias("p")).select("_url", "rule_host", F.explode("p").alias("rule_path"))
     asked = asked.select("_url", F.struct("rule_host", "rule_path").alias("_key"))
     block, mask = _place(F.to_json("_key"), blocks)
