@@ -97,14 +97,14 @@ def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
     return out
 
 
-def link_up(placed: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], star_rounds: int = 3) -> tuple[DataFrame | None, DataFrame | None]:
+def link_up(placed: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None = None, fits: Callable[[Column, Column], Column] | None = None, star_rounds: int = 3) -> tuple[DataFrame | None, DataFrame | None]:
     """Classes (id, class_id) of the ids that share buckets and are links, and the links; None where there are none.
 
-    placed: (id long, n, bucket long), n being what fits(n, m) needs to rule a pair out. verify: from pairs (a, b), a > b,
-    to the links among them. In each round the members of a bucket are compared with its hub only, and after the first
-    only those of another class than the hub's; in the last round so are the pairs of a bucket that are still in
-    different classes. So a bucket of many near copies costs as many comparisons as it has members, and no pair of
-    different classes goes unseen.
+    placed: (id long, bucket long). facts: (id, fact), from which fits(fact, fact) rules pairs out that can't be links.
+    verify: from pairs (a, b), a > b, to the links among them. In each round the members of a bucket are compared with its
+    hub only, and after the first only those of another class than the hub's; in the last round so are the pairs of a
+    bucket that are still in different classes and that fits() doesn't rule out. So a bucket of many near copies costs as
+    many comparisons as it has members, and no pair of different classes goes unseen.
     """
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
     placed = cut(placed.join(shared, "bucket"))
@@ -117,14 +117,18 @@ def link_up(placed: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
             split = now.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("bucket")
             now = now.join(split, "bucket")
         if turn < star_rounds:
-            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            hubs = now.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("class_id").alias("hub_class")), order).alias("h"))
-            pairs = now.join(hubs.select("bucket", "h.*"), "bucket").where(F.col("id") != F.col("hub"))
+            hub = F.min_by(F.struct(F.col("id").alias("hub"), F.col("class_id").alias("hub_class")), F.xxhash64("id", "bucket", F.lit(turn)))  # another one in each bucket
+            pairs = now.join(now.groupBy("bucket").agg(hub.alias("h")).select("bucket", "h.*"), "bucket").where("id <> hub AND class_id <> hub_class")
         else:
-            other = now.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("class_id").alias("hub_class"))
-            pairs = now.join(other, "bucket").where(F.col("id") > F.col("hub"))
-        pairs = pairs.where((F.col("class_id") != F.col("hub_class")) & fits(F.col("n"), F.col("hub_n")))
+            if facts is not None:
+                now = now.join(facts, "id")
+            other = now.withColumnsRenamed({"id": "hub", "class_id": "hub_class", "fact": "hub_fact"})
+            pairs = now.join(other, "bucket").where("id > hub AND class_id <> hub_class")
+            if facts is not None:
+                pairs = pairs.where(fits(F.col("fact"), F.col("hub_fact")))
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+        if facts is not None and turn < star_rounds:
+            pairs = pairs.join(facts.toDF("a", "_a"), "a").join(facts.toDF("b", "_b"), "b").where(fits(F.col("_a"), F.col("_b"))).select("a", "b")
         pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
             continue

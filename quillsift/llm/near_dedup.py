@@ -9,7 +9,8 @@
 4. Links in a bucket are found by stars: each member is compared with the bucket's hub, not with all others; found links
    are joined into components; some rounds more with other hubs compare only members of different components; last, the
    pairs of a bucket that are still in different components are compared. No bucket, group or candidate is capped. A
-   pair is skipped only if its components are one already or if its shingle counts rule 0.8 out.
+   pair is skipped only if its components are one already or if the counts of its shingles, in BINS bins by hash, rule
+   0.8 out (what two texts share is at most the sum of the smaller counts).
 5. A pair is a link if the Jaccard similarity of its shingle sets, from the whole texts, is at least 0.8.
 
 Definitions: words are runs of letters, digits and characters beyond ASCII, lower-cased; a text of one to four words is
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import cut, link_up, sized, stored, table
@@ -36,6 +37,7 @@ REGISTERS = BANDS * ROWS
 STAR_ROUNDS = 3
 #: Shingles that are signed together.
 BLOCK = 400_000
+BINS = 128
 SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,7 +101,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, digest, n, bands)."""
+    """(id, text) -> (id, digest, n, bands, bins)."""
     words = Words()
 
     def done(ids: list, sets: list) -> pa.RecordBatch:
@@ -110,8 +112,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(ROWS):
             bands = mix(bands * ODD + sig[:, r::ROWS])
         bands = [list(b) if n else [] for b, n in zip(bands.view(np.int64), lengths, strict=True)]
+        bins = np.zeros((len(sets), BINS), np.int32)
+        np.add.at(bins, (owner, (np.concatenate([s for s, _ in sets]) >> np.uint64(40)) % np.uint64(BINS)), 1)
         digests = [xxhash.xxh3_128_digest(s.tobytes() + c.tobytes()) for s, c in sets]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "n", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*bins], pa.list_(pa.int32()))], ["id", "digest", "n", "bands", "bins"])
 
     for batch in batches:
         ids, sets, held = [], [], 0
@@ -137,12 +141,19 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = b.as_py(), shingles(tb.as_py(), words)[0]
             one, two = shingles(ta.as_py(), words)[0], last[1]
             both = len(np.intersect1d(one, two, assume_unique=True))
-            if both >= LEAST * (len(one) + len(two) - both):
+            if both >= LEAST * (len(one) + len(two) - both) - 1e-9:
                 out.append((a.as_py(), b.as_py(), both / max(1, len(one) + len(two) - both)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
 
 
+def fits(a: Column, b: Column) -> Column:
+    """Whether two texts can be links, from their shingle counts by bin: the sum of the smaller counts bounds what they share."""
+    both = F.aggregate(F.zip_with(a["bins"], b["bins"], lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    total = a["n"] + b["n"]
+    return (F.least(a["n"], b["n"]) * (1 + LEAST) >= total * LEAST - 1e-6) & (both * (1 + LEAST) >= total * LEAST - 1e-6)
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b), already cut, that are links; texts: (id, text)."""
     ids = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 500_000)
@@ -155,13 +166,13 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per row of docs: id, class_id, class_size (documents), links of the class's different texts aren't expanded."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>"), "signatures")
-    reps = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>, bins array<int>"), "signatures")
+    reps = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
     reps = stored(reps, "representatives")
 
-    placed = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
-    fits = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(LEAST)
-    groups, _ = link_up(placed, lambda pairs: verify(pairs, texts), fits, star_rounds)
+    placed = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    facts = reps.select(F.col("rep").alias("id"), F.struct("n", "bins").alias("fact"))
+    groups, _ = link_up(placed, lambda pairs: verify(pairs, texts), facts, fits, star_rounds)
     if groups is None:
         named = reps.select("digest", F.col("rep").alias("class_id"), "size")
     else:
