@@ -6,8 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hexed(value: bytes | str) -> str:
-    """A hash in lower-case hex, as text columns want it."""
-    return value.hex() if isinstance(value, bytes) else value
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, without empty ones; what a worker makes of a slice stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, new_folder, same, sized, table
+from quillsift.llm.common import cut, new_folder, same, sized, sliced, table
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 MAX_DEPTH = 16
 #: A map task hands on the texts it has collapsed when they reach this many bytes.
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 16 << 20
 
 
 def sha256(body: bytes) -> bytes:
@@ -66,9 +66,7 @@ def directory(counts: dict[int, int], capacity: int, bits: int) -> list[tuple[in
 
 def _entries(kind: str, with_body: bool, digest: Callable[[bytes], bytes]) -> tuple[Callable, str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             texts = [(x.as_py() or "") for x in batch.column(1)]
             bodies = [t.encode().translate(None, BLANK) for t in texts]
             hashes = [digest(b) for b in bodies]
@@ -94,7 +92,7 @@ def _collapse(schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, list] = {}
         held = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for i, key, digest, size, body in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "hash", "size", "body")), strict=True):
                 if (row := met.get(body)) is None:
                     met[body] = [key, digest, body, 1, size, i]

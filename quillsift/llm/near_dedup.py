@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, link_up, sized, stored, table
+from quillsift.llm.common import cut, link_up, sized, sliced, stored, table
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 STAR_ROUNDS = 3
 #: Shingles that are signed together.
-BLOCK = 400_000
+BLOCK = 150_000
 BINS = 128
 SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +53,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = found
         return found
 
@@ -117,7 +117,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = [xxhash.xxh3_128_digest(s.tobytes() + c.tobytes()) for s, c in sets]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*bins], pa.list_(pa.int32()))], ["id", "digest", "n", "bands", "bins"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         ids, sets, held = [], [], 0
         for i, t in zip(batch.column(0), batch.column(1), strict=True):
             ids.append(i.as_py())
@@ -134,7 +134,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) -> (a, b, similarity), for similarities of LEAST and more."""
     words = Words()
     last: tuple = (None, None)
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[tuple] = []
         for a, b, ta, tb in zip(*(batch.column(c) for c in range(4)), strict=True):
             if last[0] != b.as_py():

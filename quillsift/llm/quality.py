@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import table
+from quillsift.llm.common import sliced, table
 
 PASSAGE, MAX_TRAIN, MAX_PASSAGES, THRESHOLD = 64, 4_000, 32, 0.7
 BUCKETS, HIDDEN, GATE, ROUNDS, RATE, DECAY, SEED = 16, 12, 8, 150, 0.03, 1e-4, 11
@@ -49,7 +49,7 @@ class Buckets(dict):
 
     def __missing__(self, word: str) -> int:
         bucket = xxhash.xxh3_64_intdigest(word.strip(".,;:!?").lower()) % BUCKETS
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = bucket
         return bucket
 
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
-        for batch in batches:
+        for batch in sliced(batches):
             ids, ys, xs = [], [], []
             for i, y, t in zip(*(batch.column(c) for c in range(3)), strict=True):
                 bag = passages(t.as_py())
@@ -166,7 +166,7 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[float] = []
             bags: list[np.ndarray] = []
             held = 0

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import table
+from quillsift.llm.common import sliced, table
 
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 MODEL = "piece_bpe_32k.model"
-#: Chunks and words that a worker keeps at most, and the longest that it keeps: about 200 MB.
-KEPT_CHUNKS, KEPT_WORDS, KEPT_LENGTH = 500_000, 200_000, 48
+#: Chunks and words that a worker keeps at most, and the longest that it keeps: about 100 MB.
+KEPT_CHUNKS, KEPT_WORDS, KEPT_LENGTH = 200_000, 80_000, 48
 #: Of so many texts in an Arrow batch, one is compared with the library, and so the first one always is.
 COMPARE_EVERY = 200
 
@@ -158,14 +158,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = agenda(path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for number, batch in enumerate(sliced(batches)):
             ids, decoded = [], []
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 found = own.encode(text)
-                if k % COMPARE_EVERY == 0:
+                if (number * 500 + k) % COMPARE_EVERY == 0:
                     own.compare(text, *found)
                 ids.append(found[0])
                 decoded.append(found[1])
