@@ -17,13 +17,15 @@ KEYWORDS = {
 ORDERED = sorted(((k, s) for s, ks in KEYWORDS.items() for k in ks), key=lambda p: -len(p[0]))
 
 
+def _fits(t: Column, keyword: Column) -> Column:
+    return (t == keyword) | F.startswith(t, F.concat(keyword, F.lit(" "))) | F.endswith(t, F.concat(F.lit(" "), keyword))
+
+
 def classify(heading: Column) -> Column:
     """Section of a heading that equals, starts or ends with a keyword; null for others and for more than 40 characters."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(heading), "[^a-z0-9 ]+", " "), r"\s+", " "), "^ | $", "")
-    out = F.lit(None).cast("string")
-    for keyword, section in reversed(ORDERED):
-        out = F.when((t == keyword) | t.startswith(f"{keyword} ") | t.endswith(f" {keyword}"), section).otherwise(out)
-    return F.when((t != "") & (F.length(t) <= 40), out)
+    found = F.filter(F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(s).alias("section")) for k, s in ORDERED]), lambda p: _fits(t, p["keyword"]))
+    return F.when((t != "") & (F.length(t) <= 40), F.get(found, F.lit(0))["section"])
 
 
 def boundaries(lines: DataFrame) -> DataFrame:
