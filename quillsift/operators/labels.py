@@ -24,7 +24,7 @@ def missing(expected: DataFrame, labels: DataFrame) -> DataFrame:
 
 def tier_distribution(labels: DataFrame) -> DataFrame:
     """(job, tier, n) with zeros for tiers that a job doesn't use."""
-    counts = labels.groupBy("job").pivot("tier", TIERS).agg(F.count("*"))
+    counts = labels.groupBy("job").pivot("tier", TIERS).agg(F.count(F.lit(1)))
     pairs = F.array(*[F.struct(F.lit(t).alias("tier"), F.coalesce(F.col(t), F.lit(0)).alias("n")) for t in TIERS])
     return counts.select("job", F.explode(pairs).alias("_p")).select("job", "_p.tier", "_p.n")
 
