@@ -191,13 +191,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs without the rows that exact dedup drops; all columns stay as they are."""
     found = groups(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"_hash": F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256), "_size": F.length(text)})
-    gone = found.where("NOT (id <=> keep_id AND size = keep_size)").select(F.col("id").alias("_i"), F.col("hash").alias("_h"), F.col("size").alias("_n"))
+    marked = docs.withColumns({"__hash": F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256), "__size": F.length(text)})
+    gone = found.where("NOT (id <=> keep_id AND size = keep_size)").select(F.col("id").alias("__i"), F.col("hash").alias("__h"), F.col("size").alias("__n"))
     gone = sized(cut(gone.distinct()))
-    left = marked.join(gone, same(marked, gone, {id_col: "_i", "_hash": "_h", "_size": "_n"}), "left_anti")
+    left = marked.join(gone, same(marked, gone, {id_col: "__i", "__hash": "__h", "__size": "__n"}), "left_anti")
     if found.where("copy > 1").limit(1).count():
-        left = left.dropDuplicates([id_col, "_hash"])
-    return left.drop("_hash", "_size")
+        left = left.dropDuplicates([id_col, "__hash"])
+    return left.drop("__hash", "__size")
 
 
 ORACLE = """

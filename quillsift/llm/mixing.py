@@ -94,15 +94,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     length_col, if docs has it, is the length of the text again where the text was cut. Equal rows share what they take.
     """
     found = take(sizes(docs, id_col, source_col, text_col))
-    found = found.groupBy(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("mark").alias("_m"), F.col("size").alias("_n")).agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
-    found = found.where("_taken > 0")
+    found = found.groupBy(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("mark").alias("__m"), F.col("size").alias("__n")).agg(F.floor(F.sum("taken") / F.count("*")).alias("__taken"))
+    found = found.where("__taken > 0")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumns({"_mark": F.xxhash64(text), "_source": F.col(source_col).cast("string")})
-    rows = marked.join(found, same(marked, found, {id_col: "_i", "_source": "_s", "_mark": "_m"}))
-    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_n")).cast("int") - 1)))
-    words = F.least("_n", F.col("_taken") - F.col("_turn") * F.col("_n")).cast("int")
+    marked = docs.withColumns({"__mark": F.xxhash64(text), "__source": F.col(source_col).cast("string")})
+    rows = marked.join(found, same(marked, found, {id_col: "__i", "__source": "__s", "__mark": "__m"}))
+    rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__n")).cast("int") - 1)))
+    words = F.least("__n", F.col("__taken") - F.col("__turn") * F.col("__n")).cast("int")
     start = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, words), "")
-    part = words < F.col("_n")
+    part = words < F.col("__n")
     rows = rows.withColumn(text_col, F.when(part, start).otherwise(F.col(text_col)))
     if length_col in docs.columns:
         rows = rows.withColumn(length_col, F.when(part, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))

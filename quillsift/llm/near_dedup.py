@@ -190,5 +190,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the smallest id of each class; all columns stay as they are."""
-    gone = sized(cut(classes(docs, id_col, text_col).where("id <> class_id").select(F.col("id").alias("_gone")).distinct()), 500_000)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = sized(cut(classes(docs, id_col, text_col).where("id <> class_id").select(F.col("id").alias("__gone")).distinct()), 500_000)
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

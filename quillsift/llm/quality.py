@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' columns with `score`; every passage of every text is read."""
+    """docs' columns with `__score`; every passage of every text is read."""
     fields = docs.schema.fields
     at = docs.columns.index(text_col)
 
@@ -179,20 +179,20 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             if bags:
                 out += score(model, bags).tolist()
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "__score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{kinds}, _score double")
+    return docs.mapInArrow(run, f"{kinds}, __score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     found = scores(docs, model).drop("text")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that score below THRESHOLD."""
     model = train(docs, labels, id_col, text_col)
-    return scores(docs, model, id_col, text_col).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return scores(docs, model, id_col, text_col).where(F.col("__score") >= THRESHOLD).drop("__score")

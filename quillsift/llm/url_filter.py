@@ -8,7 +8,8 @@ longest rule wins.
 
 Definitions: null url, or one without ://, has empty host and path and meets no rule. A rule fits its host and all
 subdomains if the path starts with the rule's. Equal rules that both allow and block: block wins. An url without a rule
-gets the verdict `default`. Each row gets its row; only the id and url columns are read; an empty table or list is fine.
+gets the verdict `default`. Each row gets its row with its other columns, but for columns named host, path, rule or verdict, which are replaced. An
+empty table or list is fine.
 """
 
 from __future__ import annotations
