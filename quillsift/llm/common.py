@@ -117,12 +117,13 @@ def link_up(placed: DataFrame, verify: Callable[[DataFrame], DataFrame], facts:
             now = placed.withColumn("class_id", F.col("id"))
         else:
             now = placed.join(groups, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-            split = now.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("bucket")
-            now = now.join(split, "bucket")
+        # One aggregation, combined before its shuffle, gives the buckets of several classes and their hubs.
+        hub = F.min_by(F.struct(F.col("id").alias("hub"), F.col("class_id").alias("hub_class")), F.xxhash64("id", "bucket", F.lit(turn)))  # another one in each bucket
+        mixed = now.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), hub.alias("h")).where("x < y")
         if turn < star_rounds:
-            hub = F.min_by(F.struct(F.col("id").alias("hub"), F.col("class_id").alias("hub_class")), F.xxhash64("id", "bucket", F.lit(turn)))  # another one in each bucket
-            pairs = now.join(now.groupBy("bucket").agg(hub.alias("h")).select("bucket", "h.*"), "bucket").where("id <> hub AND class_id <> hub_class")
+            pairs = now.join(mixed.select("bucket", "h.*"), "bucket").where("id <> hub AND class_id <> hub_class")
         else:
+            now = now.join(mixed.select("bucket"), "bucket")
             if facts is not None:
                 now = now.join(facts, "id")
             other = now.withColumnsRenamed({"id": "hub", "class_id": "hub_class", "fact": "hub_fact"})
