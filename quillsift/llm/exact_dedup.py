@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, new_folder, same, sized, sliced, table
+from quillsift.llm.common import cut, new_folder, same, sized, sliced, small_batches, table
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 MAX_DEPTH = 16
@@ -138,6 +138,7 @@ def _chain(schema: pa.Schema) -> Callable:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """One row per document: id, hash (hex), size, keep_id, keep_size, group_size, kept."""
     spark = docs.sparkSession
+    small_batches(spark)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     folder = new_folder(spark, "hash-index")

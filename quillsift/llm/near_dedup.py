@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, link_up, sized, sliced, stored, table
+from quillsift.llm.common import cut, link_up, sized, sliced, small_batches, stored, table
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Shingles that are signed together.
 BLOCK = 150_000
 BINS = 128
@@ -165,6 +165,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per row of docs: id, class_id, class_size (documents), links of the class's different texts aren't expanded."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>, bins array<int>"), "signatures")
     reps = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))

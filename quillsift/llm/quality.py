@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import sliced, table
+from quillsift.llm.common import sliced, small_batches, table
 
 PASSAGE, MAX_TRAIN, MAX_PASSAGES, THRESHOLD = 64, 4_000, 32, 0.7
 BUCKETS, HIDDEN, GATE, ROUNDS, RATE, DECAY, SEED = 16, 12, 8, 150, 0.03, 1e-4, 11
@@ -136,6 +136,7 @@ def held_out(i: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> dict:
     """Fit on at most max_train labelled documents that aren't held out."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).alias("_y"))
     known = known.where(~held_out(F.col("_i"))).groupBy("_i").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
     picked = F.broadcast(known.orderBy(F.xxhash64("_i"), "_i").limit(max_train))  # short rows, max_train of them
@@ -161,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' columns with `__score`; every passage of every text is read."""
+    small_batches(docs.sparkSession)
     fields = docs.schema.fields
     at = docs.columns.index(text_col)
 

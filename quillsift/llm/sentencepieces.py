@@ -2,7 +2,7 @@
 
 Adjacent symbols are merged from an agenda ordered by piece score, then by place. A text is first cut where no piece
 of the vocabulary can span: the kinds of neighbouring characters are compared with every piece when the model is
-loaded, and a vocabulary with a piece across such a cut is encoded without cutting. Chunks repeat, so a worker keeps
+loaded, and a vocabulary with a piece across such a cut is encoded without cutting. Chunks repeat, so a task keeps
 those it has met. In each Arrow batch some whole texts are compared with the sentencepiece library, ids and decoded
 text both; a difference raises.
 
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import sliced, table
+from quillsift.llm.common import sliced, small_batches, table
 
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 MODEL = "piece_bpe_32k.model"
-#: Chunks and words that a worker keeps at most, and the longest that it keeps: about 100 MB.
+#: Chunks and words that a task keeps at most, and the longest that it keeps: about 100 MB.
 KEPT_CHUNKS, KEPT_WORDS, KEPT_LENGTH = 200_000, 80_000, 48
 #: Of so many texts in an Arrow batch, one is compared with the library, and so the first one always is.
 COMPARE_EVERY = 200
@@ -126,6 +126,11 @@ class Agenda:
         ids = b"".join([struct.pack("<I", self.begin), *[f[0] for f in found], struct.pack("<I", self.end)])
         return ids, b"".join([f[1] for f in found])[1:]
 
+    def forget(self) -> None:
+        """Drop the chunks of a task, so that a worker is small when other work comes."""
+        self.known.clear()
+        self.words.clear()
+
     def compare(self, text: str, ids: bytes, decoded: bytes) -> None:
         theirs = self.library.encode(text, add_bos=True, add_eos=True)
         if struct.pack(f"<{len(theirs)}I", *theirs) != ids or self.library.decode(theirs).encode() != decoded:
@@ -153,6 +158,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     The library's own files must be at `path` on every executor, as the installed tokenizers are.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     more = {"token_ids": "array<int>", "decoded_text": "string"}
 
@@ -175,6 +181,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             if "decoded_text" in extra:
                 columns.append(pa.array([d.decode() for d in decoded]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(n for n in more if n in extra)])
+        own.forget()
 
     picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     schema = "".join(f", {n} {t}" for n, t in more.items() if n in extra)
