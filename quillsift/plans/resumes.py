@@ -50,7 +50,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = resumes(spark, sf_dir)
+    docs = resumes(spark, sf_dir).persist()  # read by every branch below
     found = sections.boundaries(ingest.lines(docs, "document_id"))
     return docs, sections.segment(found, docs.select("document_id", F.length("text").alias("length")))
 
@@ -117,7 +117,7 @@ def rule_extract_education(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, found = segmented(spark, sf_dir)
-    l = resume.section_lines(found, docs)  # noqa: E741
+    l = resume.section_lines(found, docs).persist()  # noqa: E741  roles, projects, skills and the rest all read the lines
     return docs, resume.units(resume.roles(l), resume.highlights(l), resume.projects(l), resume.education(l), resume.skills(l))
 
 
