@@ -86,7 +86,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = (size, mark)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -108,7 +108,7 @@ def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
     return out
 
 
-def link_up(placed: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None = None, fits: Callable[[Column, Column], Column] | None = None, star_rounds: int = 3) -> tuple[DataFrame | None, DataFrame | None]:
+def link_up(placed: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None = None, fits: Callable[[Column, Column], Column] | None = None, star_rounds: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
     """Classes (id, class_id) of the ids that share buckets and are links, and the links; None where there are none.
 
     placed: (id long, bucket long). facts: (id, fact), from which fits(fact, fact) rules pairs out that can't be links.
