@@ -5,10 +5,14 @@ samples, HOP apart, are folded from their spectrum to 12 pitch classes. 16 filte
 rectangles of frames and pitch classes, are read off the integral image of the chroma; 2 bits (Gray code) of each make
 a 32-bit item, one for each place of a window of WIDTH frames.
 
-Alignment: recordings with the same items are one representative. Keys, each of two neighbouring items, put
-recordings into buckets: a recording's KEYS smallest hashes. Pairs are found by stars (see link_up) and verified: the
-histogram of offsets at which equal items stand gives the best offsets, the share of differing bits at an offset (bit
-error rate) decides. Pairs of at most MAX_ERROR over at least half of the shorter recording are links.
+Alignment: recordings with the same items are one representative. Each different item of a recording is a key that
+puts it into a bucket. An alignment needs one equal item, so every pair that align() can link shares a bucket, whatever
+the lengths, the share of a clip and the bit errors. Pairs are found by stars (see link_up) and verified: the histogram
+of offsets at which equal items stand, and that let at least half of the shorter recording overlap, gives the best
+offsets, the share of differing bits at an offset (bit error rate) decides. Pairs of at most MAX_ERROR are links.
+
+Chance pairs (one item equal in unrelated recordings) grow faster than the input. So that items don't travel once for
+each pair, recordings are dealt into groups by hash, and a cell (two groups) gets each recording it needs once.
 
 The test tables have no audio: the query takes the UTF-8 bytes of each whole text as 8-bit PCM, so equal texts are
 equal recordings and near copies are recordings that run together in parts.
@@ -22,8 +26,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import cut, link_up, sliced, small_batches, stored, table
-from quillsift.llm.near_dedup import mix
 
 RATE, FRAME, HOP, WIDTH = 8000, 512, 64, 16
 LOW_HZ, HIGH_HZ = 60.0, 1800.0
-KEYS, APART = 16, 1
 MAX_ERROR, OFFSETS = 0.2, 5
 #: Chroma frames that are worked on together.
 BLOCK = 20_000
+#: Bytes of items in a group, pairs in a cell, groups at least.
+GROUP_BYTES, CELL_PAIRS, GROUPS = 100 << 20, 500_000, 6
 
 
 def _pitch_classes(rate: int) -> np.ndarray:
@@ -136,8 +142,11 @@ def fingerprint(recording: bytes | None, chroma: Chroma) -> np.ndarray:
     return items(chroma.frames(x, rate)) if len(x) else np.empty(0, np.uint32)
 
 
+Reader = Callable[[bytes | None, Chroma], np.ndarray]
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float, int] | None:
-    """Offset (place in a less place in b), bit error rate and overlap of the best alignment; None without equal items."""
+    """Offset (place in a less place in b), bit error rate and overlap of the best alignment; None without equal items that let half of the shorter one overlap."""
     order = np.argsort(b, kind="stable")
     ordered = b[order]
     low, high = np.searchsorted(ordered, a, "left"), np.searchsorted(ordered, a, "right")
@@ -147,68 +156,73 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float, int] | None:
     for i in rare:
         for o in (i - order[low[i] : high[i]]).tolist():
             votes[o] = votes.get(o, 0) + 1
+    overlap = lambda o: min(len(a) - max(0, o), len(b) - max(0, -o))
+    least = min(len(a), len(b))
     best = None
-    for offset in sorted(votes, key=lambda o: (-votes[o], abs(o), o))[:OFFSETS]:
-        i, j = max(0, offset), max(0, -offset)
-        n = min(len(a) - i, len(b) - j)
+    for offset in sorted((o for o in votes if overlap(o) * 2 >= least), key=lambda o: (-votes[o], abs(o), o))[:OFFSETS]:
+        i, j, n = max(0, offset), max(0, -offset), overlap(offset)
         error = float(np.bitwise_count(a[i : i + n] ^ b[j : j + n]).sum()) / (32 * n)
-        if n * 2 >= min(len(a), len(b)) and (best is None or error < best[1]):
+        if best is None or error < best[1]:
             best = offset, error, n
     return best
 
 
 def keys(found: np.ndarray) -> np.ndarray:
-    """The KEYS smallest different hashes of two items APART places apart (of one item in a short recording)."""
-    x = found.astype(np.uint64)
-    both = mix(mix(x[:-APART]) + x[APART:]) if len(x) > APART else mix(mix(x) + np.uint64(1 << 40))
-    return np.unique(both)[:KEYS]
+    """The different items of a recording."""
+    return np.unique(found)
 
 
-def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _print(batches: Iterator[pa.RecordBatch], read: Reader = fingerprint) -> Iterator[pa.RecordBatch]:
     """(id, recording) -> (id, digest, n, keys, items)."""
     chroma = Chroma()
     for batch in sliced(batches):
         rows = []
         for i, r in zip(batch.column(0), batch.column(1), strict=True):
-            found = fingerprint(r.as_py(), chroma)
+            found = read(r.as_py(), chroma)
             body = found.astype("<u4").tobytes()
-            rows.append((i.as_py(), hashlib.sha256(body).hexdigest(), len(found), keys(found).view(np.int64).tolist() if len(found) else [], body))
+            rows.append((i.as_py(), hashlib.sha256(body).hexdigest(), len(found), keys(found).view(np.int32).tolist(), body))
         if rows:
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "digest", "n", "keys", "items"])
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, items of a, items of b) -> (a, b, place, error) of the links."""
-    read = lambda x: np.frombuffer(x.as_py(), "<u4").astype(np.uint32)
-    for batch in sliced(batches):
-        out = []
-        for a, b, one, two in zip(*(batch.column(c) for c in range(4)), strict=True):
-            if (best := align(read(one), read(two))) and best[1] <= MAX_ERROR:
-                out.append((a.as_py(), b.as_py(), best[0], best[1]))
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "place", "error"])
+def _aligned(pairs: pa.Table, prints: pa.Table) -> pa.Table:
+    """Pairs (cell, a, b) and recordings (home, id, items) of one cell -> (a, b, place, error) of the links."""
+    found = {i: np.frombuffer(x.as_buffer(), "<u4").astype(np.uint32, copy=False) for i, x in zip(prints["id"].to_pylist(), prints["items"], strict=True)}
+    out = []
+    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+        if (best := align(found[a], found[b])) and best[1] <= MAX_ERROR:
+            out.append((a, b, best[0], best[1]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["a", "b", "place", "error"])
 
 
-def recordings(media: DataFrame, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
+def recordings(media: DataFrame, id_col: str = "id", audio_col: str = "audio", read: Reader = fingerprint) -> DataFrame:
     """One row per row of media: id, n_items, digest, class_id, aligned_to, place, error.
 
     aligned_to: another recording of the class that this one was compared with, with fewest bit errors; place: item of
     this recording less the item of that one. Equal recordings are aligned to the first of them at 0.
+    read: from a recording to its items.
     """
     small_batches(media.sparkSession)
     sounds = media.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).cast("binary").alias("sound"))
-    printed = stored(sounds.mapInArrow(_print, "id long, digest string, n long, keys array<long>, items binary"), "fingerprints")
+    printed = stored(sounds.mapInArrow(partial(_print, read=read), "id long, digest string, n long, keys array<int>, items binary"), "fingerprints")
     with_items = printed.where("id IS NOT NULL AND n > 0")
     reps = stored(with_items.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("items").alias("items")), "recordings")
 
+    total = 4 * (reps.agg(F.sum("n")).first()[0] or 0)
+
     def verify(pairs: DataFrame) -> DataFrame:
+        groups = max(GROUPS, math.ceil(total / GROUP_BYTES), math.ceil(math.sqrt(2 * pairs.count() / CELL_PAIRS)))
+        cells = groups * (groups + 1) // 2
+        x, y = (F.pmod(F.xxhash64(c), F.lit(groups)) for c in ("a", "b"))
+        dealt = pairs.select((F.least(x, y) * groups + F.greatest(x, y)).alias("cell"), "a", "b")
         own = reps.groupBy(F.col("rep").alias("id")).agg(F.min("items").alias("items"))  # one recording per id
-        both = pairs.join(own.toDF("a", "one"), "a").join(own.toDF("b", "two"), "b").select("a", "b", "one", "two")
-        return cut(both.mapInArrow(_aligned, "a long, b long, place long, error double"))
+        needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id").select("cell", "id", "items").toDF("home", "id", "items")
+        both = dealt.repartition(cells, "cell").groupBy("cell").cogroup(needed.repartition(cells, "home").groupBy("home"))
+        return cut(both.applyInArrow(_aligned, "a long, b long, place long, error double"))
 
-    placed = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("bucket"))
+    placed = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("bucket")).withColumn("bucket", F.col("bucket").cast("long"))
     groups, links = link_up(placed, verify)
     named = reps.select("digest", "rep")
     if groups is None:

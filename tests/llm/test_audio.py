@@ -78,6 +78,48 @@ def test_recordings(spark):
     assert chroma.recordings(media.limit(0), "rec", "sound").count() == 0
 
 
+def classes(prints):
+    """Classes of every pair that align() links, without any candidate search."""
+    root = {i: i for i in prints}
+    for i in prints:
+        for j in prints:
+            if i > j and (best := chroma.align(prints[i], prints[j])) and best[1] <= chroma.MAX_ERROR:
+                one, two = sorted((root[i], root[j]))
+                root = {k: one if r == two else r for k, r in root.items()}
+    return root
+
+
+def test_recall_of_clips_and_bit_errors(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 32, 6000, dtype=np.uint32)
+    prints = {0: base}
+    for share in (0.01, 0.02, 0.05, 0.1, 0.3):
+        for start in rng.integers(0, int(6000 * (1 - share)), 4).tolist():
+            prints[len(prints)] = base[start : start + int(6000 * share)]
+    for errors in (0.02, 0.05, 0.1, 0.15, 0.19):
+        for _ in range(3):
+            flips = (rng.random((6000, 32)) < errors) @ (1 << np.arange(32, dtype=np.uint64))
+            prints[len(prints)] = base ^ flips.astype(np.uint32)
+    for _ in range(5):
+        prints[len(prints)] = rng.integers(0, 1 << 32, 500, dtype=np.uint32)
+    want = classes(prints)
+    assert sum(r == 0 for r in want.values()) == len(prints) - 5
+    media = spark.createDataFrame([(i, x.tobytes()) for i, x in prints.items()], "rec long, sound binary")
+    got = chroma.recordings(media, "rec", "sound", read=lambda sound, _: np.frombuffer(sound, "<u4")).collect()
+    assert {r.id: r.class_id for r in got} == want
+
+
+def test_overlap_is_tested_before_offsets_are_ranked():
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 1 << 32, (2, 400), dtype=np.uint32)
+    b[100:] = a[100:] ^ np.uint32(1)  # one bit in 32 differs at offset 0 ...
+    b[300] = a[300]  # ... where one item is equal
+    for k in range(6):  # six offsets of small overlap have two equal items each
+        b[2 * k : 2 * k + 2] = a[360 + 4 * k : 362 + 4 * k]
+    place, error, overlap = chroma.align(a, b)
+    assert place == 0 and overlap == 400 and error < chroma.MAX_ERROR
+
+
 def test_query(spark):
     from tests.oracle import SF
 
