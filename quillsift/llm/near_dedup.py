@@ -1,10 +1,11 @@
 """MinHash near-dedup with ProbMinHash signatures, banding and exact verification.
 
-1. Map tasks turn each whole text into its five-word shingles with weights 1 + ln(count) and a ProbMinHash signature: a
-   shingle arrives at random registers as a Poisson process with its weight as rate, a register keeps the shingle that
-   arrived first, and an element is given up once its next arrival is later than every register's (early termination).
-   Two texts agree in a register with the probability Jaccard of their weighted shingles.
-2. Texts with the same weighted shingles collapse to one representative before any bucket is made, by an aggregation.
+1. Map tasks turn each whole text into its set of five-word shingles and a ProbMinHash signature: a shingle arrives at
+   random registers as a Poisson process with its weight as rate, a register keeps the shingle that arrived first, and an
+   element is given up once its next arrival is later than every register's (early termination). Two texts agree in a
+   register with the probability Jaccard of their weighted shingles. All weights are 1, whatever a shingle's count, so
+   that this is the Jaccard similarity of the sets, on which links are decided (5).
+2. Texts with the same set of shingles collapse to one representative before any bucket is made, by an aggregation.
 3. BANDS bands of ROWS registers each make buckets. At a similarity of 0.8 a pair shares none with probability 3e-6.
 4. Links in a bucket are found by stars: each member is compared with the bucket's hub, not with all others; found links
    are joined into components; some rounds more with other hubs compare only members of different components; last, the
@@ -105,24 +106,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
 
     def done(ids: list, sets: list) -> pa.RecordBatch:
-        lengths = np.array([len(s) for s, _ in sets])
+        lengths = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), lengths)
-        sig = signatures(np.concatenate([s for s, _ in sets]), 1 + np.log(np.concatenate([c for _, c in sets])), owner, len(sets))
+        sig = signatures(np.concatenate(sets), np.ones(len(owner)), owner, len(sets))
         bands = np.zeros((len(sets), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for r in range(ROWS):
             bands = mix(bands * ODD + sig[:, r::ROWS])
         bands = [list(b) if n else [] for b, n in zip(bands.view(np.int64), lengths, strict=True)]
         bins = np.zeros((len(sets), BINS), np.int32)
-        np.add.at(bins, (owner, (np.concatenate([s for s, _ in sets]) >> np.uint64(40)) % np.uint64(BINS)), 1)
-        digests = [xxhash.xxh3_128_digest(s.tobytes() + c.tobytes()) for s, c in sets]
+        np.add.at(bins, (owner, (np.concatenate(sets) >> np.uint64(40)) % np.uint64(BINS)), 1)
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*bins], pa.list_(pa.int32()))], ["id", "digest", "n", "bands", "bins"])
 
     for batch in sliced(batches):
         ids, sets, held = [], [], 0
         for i, t in zip(batch.column(0), batch.column(1), strict=True):
             ids.append(i.as_py())
-            sets.append(shingles(t.as_py(), words))
-            held += len(sets[-1][0]) + 50
+            sets.append(shingles(t.as_py(), words)[0])
+            held += len(sets[-1]) + 50
             if held > BLOCK:
                 yield done(ids, sets)
                 ids, sets, held = [], [], 0

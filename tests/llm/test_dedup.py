@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillsift.llm import exact_dedup, near_dedup
@@ -116,6 +117,42 @@ def test_near(spark):
     assert {r.doc_id for r in kept.collect()} == {None} | set(want.values()) and kept.columns[:2] == ["doc_id", "text"]
 
 
+def bands(rows):
+    """Text id -> (digest, bands), as the map tasks make them."""
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["id", "text"])
+    return {r["id"]: (r["digest"], set(r["bands"])) for out in near_dedup._sign(iter([batch])) for r in out.to_pylist()}
+
+
+def repeated(k, times):
+    """Two texts that share 80 of 100 shingles; a passage of ten words of the second occurs `times` times."""
+    run = lambda name, n: " ".join(f"{name}{k}x{j}" for j in range(n))
+    return run("s", 84) + " " + run("a", 6), run("s", 84) + (" " + run("b", 10)) * times
+
+
+@pytest.mark.parametrize("times", [20, 100])
+def test_repetition_on_one_side_loses_no_candidates(times):
+    rows, words = [], near_dedup.Words()
+    for k in range(400):
+        rows += [*zip((2 * k, 2 * k + 1), repeated(k, times), strict=True)]
+    for k in range(3):
+        one, two = (set(near_dedup.shingles(t, words)[0].tolist()) for _, t in rows[2 * k : 2 * k + 2])
+        assert (len(one & two), len(one | two)) == (80, 100)
+    found = bands(rows)
+    assert all(found[2 * k][1] & found[2 * k + 1][1] for k in range(400))
+
+
+def test_same_set_is_one_representative():
+    text = " ".join(f"w{j}" for j in range(9))
+    found = bands([(1, (text + " ") * 2), (2, (text + " ") * 100), (3, text)])
+    assert found[1] == found[2] and found[3][0] != found[1][0]
+
+
+def test_near_with_repeated_blocks(spark):
+    rows = [(10 * times + k, t) for times in (20, 100) for k, t in enumerate(repeated(times, times))]
+    got = {r.id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()}
+    assert got == brute(rows) == {200: 200, 201: 200, 1000: 1000, 1001: 1000}
+
+
 def test_near_empty(spark):
     assert near_dedup.classes(frame(spark, []).limit(0)).count() == 0
     assert [(r.id, r.class_id, r.class_size) for r in near_dedup.classes(frame(spark, [(1, None), (2, " "), (3, "a")])).orderBy("id").collect()] == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
