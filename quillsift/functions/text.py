@@ -6,7 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a retrieval token must not be.
-STOPWORDS = "a an and are as at be been by for from has have in is it its of on or that the to was were will with using used able experience experienced strong good".split()
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to",
+    "was", "were", "will", "with", "using", "used", "able", "experience", "experienced", "strong", "good",
+)
+#: Numbers of an array that are added up together by running().
+CHUNK = 256
+#: Stands before and after each match while a text is cut up; a text that has one is cut up in another way.
+MARK = "\ue0f5"
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column, op=lambda a, b: a + b, kind: str = "bigint") -> Column:
+    """Running totals (or, by another op, maxima) of an array, the number itself included; in two levels, so the cost isn't quadratic."""
+    none = F.array().cast(f"array<{kind}>")
+    last = lambda a: F.get(a, F.size(a) - 1)
+
+    def within(part: Column) -> Column:
+        return F.aggregate(part, none, lambda out, x: F.concat(out, F.array(F.when(F.size(out) == 0, x.cast(kind)).otherwise(op(last(out), x).cast(kind)))))
+
+    def joined(inner: Column) -> Column:
+        return let(within(F.transform(inner, last)), lambda upto: F.flatten(F.transform(inner, lambda part, k: F.when(k == 0, part).otherwise(F.transform(part, lambda x: op(F.get(upto, k - 1), x))))))
+
+    parts = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda k: F.slice(a, k * CHUNK + 1, CHUNK))
+    return let(numbers, lambda a: F.when(F.size(a) == 0, none).otherwise(let(F.transform(parts(a), within), joined)))
 
 
 def collapsed(t: Column) -> Column:
@@ -43,18 +70,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def matches(t: Column, pattern: str, least: int = 0) -> Column:
-    """Array of (start, end, text) of a pattern's matches, in code points, from gaps and matches."""
-    found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
-    numbered = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m")), lambda z: F.struct(F.length(z["g"]).alias("g"), z["m"].alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+def _cut(t: Column, pattern: str) -> Column:
+    """Pieces of a text: what is before a match and the match, in turn, and the rest; one pass of the pattern, and none if it has no match."""
+    marked = F.split(F.regexp_replace(t, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+    pairs = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m)))
+    return F.when(F.contains(t, F.lit(MARK)), F.flatten(pairs)).otherwise(marked)
+
+
+def matches(t: Column, pattern: str) -> Column:
+    """Array of (start, end, text) of a pattern's matches, in code points; the pattern has no match of no characters."""
 
-    def step(acc: Column, z: Column) -> Column:
-        begin = acc["at"] + z["g"]
-        end = begin + F.length(z["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), z["m"].alias("text")))).alias("out"))
+    def spans(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, F.length), kind="int")
+        both = F.arrays_zip(pieces.alias("text"), ends.alias("end"))
+        found = F.filter(both, lambda z, k: k % 2 == 1)
+        return F.transform(found, lambda z: F.struct((z["end"] - F.length(z["text"])).alias("start"), z["end"].alias("end"), z["text"].alias("text")))
 
-    return F.aggregate(numbered, start, step, lambda acc: acc["out"])
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    return let(_cut(t, pattern), lambda pieces: F.when(F.size(pieces) > 1, spans(pieces)).otherwise(none))
 
 
 def dot(a: Column, b: Column) -> Column:

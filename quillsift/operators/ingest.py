@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.functions.text import running
+
 #: Suffix -> format. Fixed values.
 FORMATS = {".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".txt": "text", ".md": "text", ".markdown": "text"}
 #: Line ends as str.splitlines() has them.
@@ -35,23 +37,25 @@ def is_heading(line: Column) -> Column:
     return (F.upper(s) == s) & (F.lower(s) != s) & (F.length(s) < 40)
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str, pattern: str, form=lambda line: line) -> DataFrame:
+    """(document_id, line_no, start, end, line), with the offsets from the line lengths of the row itself: no shuffle."""
+    split = docs.select(F.col(id_col).alias("document_id"), F.transform(F.split(F.coalesce(text_col, F.lit("")), pattern, -1), form).alias("_lines"))
+    ends = running(F.transform("_lines", lambda line: F.length(line) + 1))
+    rows = split.select("document_id", F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), ends.alias("upto"))).alias("line_no", "x"))
+    end = F.col("x.upto") - 1
+    return rows.select("document_id", "line_no", (end - F.length("x.line")).alias("start"), end.alias("end"), F.col("x.line").alias("line"))
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = "\n") -> DataFrame:
     """(document_id, line_no, start, end, line): every line with its place in the text as it is."""
-    split = docs.select(F.col(id_col).alias("document_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), pattern, -1)).alias("line_no", "line"))
-    upto = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("line") + 1).over(upto) - 1
-    return split.select("document_id", "line_no", (end - F.length("line")).alias("start"), end.alias("end"), "line")
+    return _numbered(docs, id_col, text_col, pattern)
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = LINE_END) -> DataFrame:
     """(document_id, line_no, start, end, line, is_heading) in the accumulated text: right-trimmed lines, each with a
     line end; blank lines take one place and make no block."""
-    split = docs.select(F.col(id_col).alias("document_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), pattern, -1)).alias("line_no", "raw"))
-    split = split.withColumn("line", F.regexp_replace("raw", r"\s+$", ""))
-    upto = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("line") + 1).over(upto) - 1
-    rows = split.select("document_id", "line_no", (end - F.length("line")).alias("start"), end.alias("end"), "line", is_heading(F.col("line")).alias("is_heading"))
-    return rows.where("line <> ''")
+    rows = _numbered(docs, id_col, text_col, pattern, lambda line: F.regexp_replace(line, r"\s+$", ""))
+    return rows.where("line <> ''").withColumn("is_heading", is_heading(F.col("line")))
 
 
 def reading_order(pdf_lines: DataFrame) -> DataFrame:

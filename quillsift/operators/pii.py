@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.functions.text import matches, stripped
+from quillsift.functions.text import let, matches, running, stripped
 
 # Patterns, city and gender words, and words that no name has. (?U): letters and digits of any script.
 EMAIL = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
@@ -18,14 +18,22 @@ INSTITUTION = (
     r"|[A-Z][\w.-]*(?:\s+[A-Z][\w.-]*)?\s+(?:University|College|Institute|Polytechnic|Academy)"
     r"|(?:IIT|NIT|IIIT|BITS|MIT|ETH|EPFL|KTH)\s+[A-Z][\w.-]*|\b(?:IIT|NIT|IIIT|BITS)\b)"
 )
-GENDER_WORDS = "he him his she her hers mr mrs ms miss sir madam male female fraternity sorority husband wife maternity paternity"
+GENDER_WORDS = (
+    "he", "him", "his", "she", "her", "hers", "mr", "mrs", "ms", "miss", "sir", "madam", "male", "female", "fraternity", "sorority", "husband",
+    "wife", "maternity", "paternity",
+)
 CITIES = (
-    "bengaluru bangalore mumbai delhi hyderabad chennai pune kolkata ahmedabad jaipur lucknow noida gurgaon gurugram london manchester berlin munich "
-    "paris amsterdam dublin toronto vancouver sydney melbourne singapore dubai york francisco seattle austin boston chicago denver"
-)
-NOT_NAMES = "curriculum vitae resume cv profile summary objective experience education skills projects contact about"
-GENDER = r"(?iU)\b(?:%s)\b" % GENDER_WORDS.replace(" ", "|")
-CITY = r"(?iU)\b(?:%s)\b" % CITIES.replace(" ", "|")
+    "bengaluru", "bangalore", "mumbai", "delhi", "hyderabad", "chennai", "pune", "kolkata", "ahmedabad", "jaipur", "lucknow", "noida", "gurgaon",
+    "gurugram", "london", "manchester", "berlin", "munich", "paris", "amsterdam", "dublin", "toronto", "vancouver", "sydney", "melbourne",
+    "singapore", "dubai", "york", "francisco", "seattle", "austin", "boston", "chicago", "denver",
+)
+NOT_NAMES = (
+    "curriculum", "vitae", "resume", "cv", "profile", "summary", "objective", "experience", "education", "skills", "projects", "contact", "about",
+)
+#: Each institution that INSTITUTION finds holds one of these.
+INSTITUTIONS = ("University", "College", "Institute", "Polytechnic", "Academy", "IIT", "NIT", "BITS", "MIT", "ETH", "EPFL", "KTH")
+GENDER = r"(?iU)\b(?:%s)\b" % "|".join(GENDER_WORDS)
+CITY = r"(?iU)\b(?:%s)\b" % "|".join(CITIES)
 YEARS = "\\s*(19|20)\\d{2}\\s*[-–—]\\s*(19|20)\\d{2}\\s*"
 #: Categories in the order in which equal spans win; all but url are masked by default.
 CATEGORIES = ["email", "url", "institution", "location", "gender_term", "phone", "name"]
@@ -35,13 +43,12 @@ SPAN = "array<struct<start:int,end:int,category:string,text:string>>"
 
 def _trimmed(found: Column, category: str, ok=lambda text: F.lit(True)) -> Column:
     """Matches without blanks at their ends, as spans of a category."""
-    kept = F.filter(found, lambda m: ok(m["text"]) & (stripped(m["text"]) != ""))
 
     def span(m: Column) -> Column:
-        start = m["start"] + F.length(m["text"]) - F.length(F.regexp_replace(m["text"], r"^\s+", ""))
-        return F.struct(start.alias("start"), (start + F.length(stripped(m["text"]))).alias("end"), F.lit(category).alias("category"), stripped(m["text"]).alias("text"))
+        bare = lambda text: F.struct((m["start"] + F.instr(m["text"], text) - 1).alias("start"), (m["start"] + F.instr(m["text"], text) - 1 + F.length(text)).alias("end"), F.lit(category).alias("category"), text.alias("text"))
+        return let(stripped(m["text"]), bare)
 
-    return F.transform(kept, span)
+    return F.filter(F.transform(F.filter(found, lambda m: ok(m["text"])), span), lambda x: x["text"] != "")
 
 
 def phone_like(text: Column) -> Column:
@@ -57,7 +64,7 @@ def name_span(t: Column) -> Column:
     def step(acc: Column, line: Column) -> Column:
         s = stripped(line)
         parts = F.split(s, r"\s+")
-        shaped = F.forall(parts, lambda w: w.rlike(r"^[A-Za-z][A-Za-z'.\-]*$") & ~F.lower(w).isin(NOT_NAMES.split()))
+        shaped = F.forall(parts, lambda w: w.rlike(r"^[A-Za-z][A-Za-z'.\-]*$") & ~F.lower(w).isin(*NOT_NAMES))
         cased = (F.upper(s) == s) | F.forall(parts, lambda w: w.rlike("^[A-Z]"))
         good = (F.size(acc["out"]) == 0) & (s != "") & F.size(parts).between(2, 4) & (F.length(s) <= 45) & shaped & cased
         begin = acc["at"] + F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))
@@ -67,37 +74,66 @@ def name_span(t: Column) -> Column:
     return F.aggregate(header, start, step, lambda acc: acc["out"])
 
 
+def _among(t: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text may hold one of the words, whatever the case of its letters (also ones with special case forms)."""
+    return reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in words])
+
+
 def detected(t: Column) -> Column:
-    """All spans of all categories; they may overlap."""
-    return F.concat(
-        _trimmed(matches(t, EMAIL), "email"), _trimmed(matches(t, URL), "url"), _trimmed(matches(t, INSTITUTION), "institution"), _trimmed(matches(t, CITY), "location"),
-        _trimmed(matches(t, GENDER), "gender_term"), _trimmed(matches(t, PHONE), "phone", phone_like), name_span(t),
-    )
+    """All spans of all categories; they may overlap. A pattern is tried only on texts that hold what each match of it needs."""
+    none = F.array().cast(SPAN)
+    found = lambda needs, *args: F.when(needs, _trimmed(*args)).otherwise(none)
+
+    def spans(t: Column, folded: Column) -> Column:
+        return F.concat(
+            found(F.contains(t, F.lit("@")), matches(t, EMAIL), "email"), found(_among(t, ("http", "www.", "/")), matches(t, URL), "url"),
+            found(_among(t, INSTITUTIONS), matches(t, INSTITUTION), "institution"), found(_among(folded, CITIES), matches(t, CITY), "location"),
+            found(_among(folded, GENDER_WORDS), matches(t, GENDER), "gender_term"), found(t.rlike(r"(?U)\d{3}"), matches(t, PHONE), "phone", phone_like), name_span(t),
+        )
+
+    return let(F.struct(t.alias("t"), F.lower(F.upper(t)).alias("folded")), lambda x: spans(x["t"], x["folded"]))
 
 
 def resolved(spans: Column) -> Column:
-    """Longest first, then earliest, then in the order found; what overlaps a kept span goes. Ordered by start."""
-    order = lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["s"]["start"] != b["s"]["start"], a["s"]["start"] - b["s"]["start"]).otherwise(a["i"] - b["i"])
-    ranked = F.array_sort(F.transform(spans, lambda s, i: F.struct((s["end"] - s["start"]).alias("n"), i.alias("i"), s.alias("s"))), order)
+    """Longest first, then earliest, then in the order found; what overlaps a kept span goes. Ordered by start.
+
+    Spans that overlap, directly or by way of others, stand together once sorted; only they are compared.
+    """
+    ranked = lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["s"]["start"] != b["s"]["start"], a["s"]["start"] - b["s"]["start"]).otherwise(a["i"] - b["i"])
 
     def step(kept: Column, x: Column) -> Column:
         clash = F.exists(kept, lambda k: (k["start"] < x["s"]["end"]) & (x["s"]["start"] < k["end"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(x["s"])))
 
-    return F.array_sort(F.aggregate(ranked, F.array().cast(SPAN), step))
+    def apart(together: Column) -> Column:
+        best = F.aggregate(F.array_sort(together, ranked), F.array().cast(SPAN), step)
+        return F.when(F.size(together) == 1, F.transform(together, lambda x: x["s"])).otherwise(F.array_sort(best))
+
+    def islands(x: Column) -> Column:
+        sort, upto = x["sort"], x["upto"]
+        heads = F.filter(F.sequence(F.lit(0), F.size(sort) - 1), lambda k: (k == 0) | (F.get(sort, k)["at"] >= F.get(upto, k - 1)))
+        return let(heads, lambda h: F.flatten(F.transform(h, lambda k, i: apart(F.slice(sort, k + 1, F.coalesce(F.get(h, i + 1), F.size(sort)) - k)))))
+
+    def sorted_(spans: Column) -> Column:
+        numbered = F.transform(spans, lambda s, i: F.struct(s["start"].alias("at"), (s["end"] - s["start"]).alias("n"), i.alias("i"), s.alias("s")))
+        return let(F.array_sort(numbered), lambda sort: F.struct(sort.alias("sort"), running(F.transform(sort, lambda x: x["s"]["end"]), F.greatest, "int").alias("upto")))
+    return let(spans, lambda spans: F.when(F.size(spans) <= 1, spans).otherwise(let(sorted_(spans), islands)))
 
 
 def masked(t: Column, spans: Column, categories: list[str] = MASKED) -> Column:
-    """The text with a mask of the same length over each span: [CATEGORY]### or only #."""
-    selected = F.filter(spans, lambda s: s["category"].isin(categories))
+    """The text with a mask of the same length over each span: [CATEGORY]### or only #. The spans are in order and apart, as resolved() has them."""
 
-    def step(text: Column, s: Column) -> Column:
+    def mask(s: Column) -> Column:
         width = s["end"] - s["start"]
         label = F.concat(F.lit("["), F.upper(s["category"]), F.lit("]"))
-        mask = F.when(F.length(label) <= width, F.rpad(label, width, F.lit("#"))).otherwise(F.repeat(F.lit("#"), width))
-        return F.overlay(text, mask, s["start"] + 1, width)
+        return F.when(F.length(label) <= width, F.rpad(label, width, F.lit("#"))).otherwise(F.repeat(F.lit("#"), width))
 
-    return F.aggregate(selected, t, step)
+    def built(chosen: Column) -> Column:
+        pieces = F.transform(chosen, lambda s, i: let(F.when(i == 0, 0).otherwise(F.get(chosen, i - 1)["end"]), lambda at: F.concat(F.substring(t, at + 1, s["start"] - at), mask(s))))
+        rest = let(F.get(chosen, F.size(chosen) - 1)["end"], lambda at: F.substring(t, at + 1, F.length(t)))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    return let(F.filter(spans, lambda s: s["category"].isin(categories)), lambda chosen: F.when(F.size(chosen) == 0, t).otherwise(built(chosen)))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: list[str] = MASKED) -> DataFrame:
@@ -110,5 +146,3 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cate
 def counts(redacted: DataFrame) -> DataFrame:
     """(document_id, category, n)."""
     return redacted.select("document_id", F.explode("spans.category").alias("category")).groupBy("document_id", "category").agg(F.count("*").alias("n"))
-
-

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.functions.text import let
+
 # Heading keywords by section.
 KEYWORDS = {
     "work": ["work experience", "professional experience", "employment history", "work history", "experience", "employment", "internships", "internship"],
@@ -17,15 +19,17 @@ KEYWORDS = {
 ORDERED = sorted(((k, s) for s, ks in KEYWORDS.items() for k in ks), key=lambda p: -len(p[0]))
 
 
-def _fits(t: Column, keyword: Column) -> Column:
-    return (t == keyword) | F.startswith(t, F.concat(keyword, F.lit(" "))) | F.endswith(t, F.concat(F.lit(" "), keyword))
+def classify(heading: Column) -> Column:
+    """Section of a heading that equals, starts or ends with a keyword, the longest counts; null for others and for more than 40 characters."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(heading), "[^a-z0-9]+", " "), "^ | $", "")
+    known = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in ORDERED]), F.array(*[F.struct(F.lit(n).alias("rank"), F.lit(s).alias("section")) for n, (_, s) in enumerate(ORDERED)]))
+    ends = [k for n in range(1, 1 + max(len(k.split()) for k, _ in ORDERED)) for k in (n, -n)]
 
+    def section(t: Column) -> Column:
+        found = F.array_min(F.array(*[F.try_element_at(known, F.substring_index(t, " ", k)) for k in ends]))
+        return F.when((t != "") & (F.length(t) <= 40), found["section"])
 
-def classify(heading: Column) -> Column:
-    """Section of a heading that equals, starts or ends with a keyword; null for others and for more than 40 characters."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(heading), "[^a-z0-9 ]+", " "), r"\s+", " "), "^ | $", "")
-    found = F.filter(F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(s).alias("section")) for k, s in ORDERED]), lambda p: _fits(t, p["keyword"]))
-    return F.when((t != "") & (F.length(t) <= 40), F.get(found, F.lit(0))["section"])
+    return let(plain, section)
 
 
 def boundaries(lines: DataFrame) -> DataFrame:

@@ -79,23 +79,26 @@ def upload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.split("path", r"\.")[0].cast("long").alias("page_id"), "document_id", "reason", "created")
 
 
-# Personal data. The SQL uses ASCII classes, so it takes the ASCII patterns; the operator's own are for all scripts.
-ASCII_EMAIL = r"\b[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+\b"
-ASCII_PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{3,5}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?"
+# Personal data. The SQL has the operator's own patterns in RE2's classes: letters, marks, digits and joiners of any script.
+SQL_WORD = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+SQL_EMAIL = rf"[{SQL_WORD}.+-]+@[{SQL_WORD}-]+\.[{SQL_WORD}.-]*[{SQL_WORD}]"
+SQL_PHONE = r"(?:\+\p{Nd}{1,3}[\s\x0b\p{Z}.-]?)?(?:\(\p{Nd}{2,4}\)[\s\x0b\p{Z}.-]?)?\p{Nd}{3,5}[\s\x0b\p{Z}.-]?\p{Nd}{3,4}(?:[\s\x0b\p{Z}.-]?\p{Nd}{2,4})?"
 
 
-@query("pii_email", f"SELECT doc_id, len(x) AS n, array_to_string(x, ' ') AS emails FROM (SELECT doc_id, regexp_extract_all(text, '{ASCII_EMAIL}') AS x FROM documents) WHERE len(x) > 0")
+@query("pii_email", rf"""
+WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{SQL_EMAIL}'), lambda e: regexp_replace(e, '^[.+-]+', '')), lambda e: NOT starts_with(e, '@')) AS x FROM documents)
+SELECT doc_id, len(x) AS n, array_to_string(x, ' ') AS emails FROM m WHERE len(x) > 0""")
 def pii_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.matches(F.col("text"), ASCII_EMAIL), lambda m: m["text"]).alias("x"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.matches(F.col("text"), pii.EMAIL), lambda m: m["text"]).alias("x"))
     return found.where(F.size("x") > 0).select("doc_id", F.size("x").cast("long").alias("n"), F.array_join("x", " ").alias("emails"))
 
 
 @query("pii_phone", rf"""
-WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{ASCII_PHONE}')) AS x FROM documents), d AS (SELECT *, length(regexp_replace(x, '[^0-9]', '', 'g')) AS n FROM m)
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_PHONE}')) AS x FROM documents), d AS (SELECT *, length(regexp_replace(x, '\P{{Nd}}', '', 'g')) AS n FROM m)
 SELECT doc_id, count(*) AS n, sum(n)::BIGINT AS digits FROM d WHERE n BETWEEN 7 AND 15 AND NOT regexp_full_match(x, '\s*(19|20)[0-9]{{2}}\s*[-–—]\s*(19|20)[0-9]{{2}}\s*') GROUP BY doc_id""")
 def pii_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.matches(F.col("text"), ASCII_PHONE)).alias("m")).where(pii.phone_like(F.col("m.text")))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("m.text", "[^0-9]", ""))).alias("digits"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.matches(F.col("text"), pii.PHONE)).alias("m")).where(pii.phone_like(F.col("m.text")))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("m.text", r"(?U)\D", ""))).alias("digits"))
 
 
 @query("pii_counts")
@@ -125,20 +128,21 @@ def mask_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pii.masked(t, found, ["url"]).alias("masked"))
 
 
-# Citations: the first 60 characters of every line with three words, some quoted loosely, some wrongly.
-CITE_SQL = LINES_SQL + """,
-c AS (SELECT document_id, line_no, start, start + least(60, length(line)) AS "end", substr(line, 1, 60) AS there,
-  CASE line_no % 3 WHEN 0 THEN substr(line, 1, 60) WHEN 1 THEN upper(replace(substr(line, 1, 60), ' ', '  ')) ELSE 'nothing like ' || substr(line, 1, 5) END AS quote FROM v_lines WHERE length(line) > 12 AND NOT regexp_matches(line, '[^\\x20-\\x7E]')),
-n AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(quote), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS a, list_filter(string_split(trim(regexp_replace(lower(there), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS b FROM c)
+# Citations: every line that isn't blank, some quoted with capitals and doubled blanks, some wrongly.
+SPACE = r"[ \t\n\x0b\f\r]+"
+CITE_SQL = LINES_SQL + rf""",
+c AS (SELECT document_id, line_no, line AS there, CASE line_no % 3 WHEN 0 THEN line WHEN 1 THEN translate(replace(line, ' ', '  '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE 'nothing like ' || substr(line, 1, 5) END AS quote
+  FROM v_lines WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]')),
+n AS (SELECT *, list_filter(string_split(regexp_replace(lower(quote), '{SPACE}', ' ', 'g'), ' '), lambda w: w <> '') AS a, list_filter(string_split(regexp_replace(lower(there), '{SPACE}', ' ', 'g'), ' '), lambda w: w <> '') AS b FROM c)
 SELECT document_id, line_no, (a = b OR len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(a || b)) >= 0.85) AS valid FROM n
 """
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).where((F.length("line") > 12) & ~F.col("line").rlike(r"[^\x20-\x7E]"))
-    there = F.substring("line", 1, 60)
-    quote = F.when(F.col("line_no") % 3 == 0, there).when(F.col("line_no") % 3 == 1, F.upper(F.replace(there, F.lit(" "), F.lit("  ")))).otherwise(F.concat(F.lit("nothing like "), F.substring("line", 1, 5)))
-    return rows.select("document_id", F.col("line_no").cast("long"), F.col("start").cast("int"), (F.col("start") + F.length(there)).cast("int").alias("end"), quote.alias("quote"))
+    rows = lines(spark, sf_dir).where(F.col("line").rlike(r"\S"))
+    loud = F.translate(F.replace("line", F.lit(" "), F.lit("  ")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    quote = F.when(F.col("line_no") % 3 == 0, F.col("line")).when(F.col("line_no") % 3 == 1, loud).otherwise(F.concat(F.lit("nothing like "), F.substring("line", 1, 5)))
+    return rows.select("document_id", F.col("line_no").cast("long"), F.col("start").cast("int"), F.col("end").cast("int"), quote.alias("quote"))
 
 
 @query("citation_verify", CITE_SQL)
@@ -156,14 +160,13 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(tx.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
 
 
-# Quotes: ten characters and more out of the middle of every third line, exact or with other blanks and case.
-QUOTE_SQL = LINES_SQL + ", q AS (SELECT document_id, line_no AS quote_id, substr(line, 5, 30) AS exact FROM v_lines WHERE length(line) >= 40 AND line_no % 3 = 0 AND NOT regexp_matches(substr(line, 5, 30), '(^ )|( $)|(  )|[^\\x20-\\x7E]')), t AS (SELECT doc_id AS document_id, text FROM documents)"
+# Quotes: every line that isn't blank, without blanks at its ends; exact, or with other blanks and case.
+QUOTE_SQL = LINES_SQL + r", q AS (SELECT document_id, line_no AS quote_id, regexp_replace(line, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS exact FROM v_lines WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]')), t AS (SELECT doc_id AS document_id, text FROM documents)"
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = F.substring("line", 5, 30)
-    rows = lines(spark, sf_dir).where((F.length("line") >= 40) & (F.col("line_no") % 3 == 0) & ~exact.rlike(r"(^ )|( $)|(  )|[^\x20-\x7E]"))
-    return rows.select("document_id", F.col("line_no").cast("long").alias("quote_id"), exact.alias("exact"))
+    rows = lines(spark, sf_dir).where(F.col("line").rlike(r"\S"))
+    return rows.select("document_id", F.col("line_no").cast("long").alias("quote_id"), tx.stripped(F.col("line")).alias("exact"))
 
 
 @query("locate_exact", QUOTE_SQL + "SELECT document_id, quote_id, strpos(text, exact) - 1 AS start FROM q JOIN t USING (document_id)")
@@ -172,10 +175,10 @@ def locate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("document_id", "quote_id", locate.exact(F.col("text"), F.col("exact")).cast("long").alias("start"))
 
 
-@query("locate_normalised", QUOTE_SQL + r"""SELECT document_id, quote_id, strpos(lower(regexp_replace(text, '\s', ' ', 'g')), lower(exact)) - 1 AS start FROM q JOIN t USING (document_id) WHERE NOT regexp_matches(text, '\s\s') AND length(lower(text)) = length(text)""")
+@query("locate_normalised")
 def locate_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes in capitals with doubled blanks, in texts without doubled blanks."""
-    got = quotes(spark, sf_dir).join(docs(spark, sf_dir), "document_id").where(~F.col("text").rlike(r"\s\s") & (F.length(F.lower("text")) == F.length("text")))
+    """Quotes in capitals with doubled blanks; tested against plain Python, as SQL has no offsets of loose matches."""
+    got = quotes(spark, sf_dir).join(docs(spark, sf_dir), "document_id")
     loose = F.upper(F.replace(F.col("exact"), F.lit(" "), F.lit("  ")))
     return got.select("document_id", "quote_id", locate.normalised_span(F.col("text"), loose)["start"].cast("long").alias("start"))
 
@@ -184,7 +187,7 @@ FUZZY_SQL = LINES_SQL + r""",
 f AS (SELECT *, lead("end") OVER w AS next_end, lead(line) OVER w AS next_line FROM v_lines WHERE trim(line) <> '' WINDOW w AS (PARTITION BY document_id ORDER BY line_no)),
 w AS (SELECT document_id, line_no, 0 AS pair, start, "end", list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+')) AS t FROM f UNION ALL
   SELECT document_id, line_no, 1, start, next_end, list_distinct(regexp_extract_all(lower(line || ' ' || next_line), '[a-z0-9]+')) FROM f WHERE next_end IS NOT NULL),
-q AS (SELECT document_id, line_no AS quote_id, list_distinct(regexp_extract_all(lower('zz ' || line), '[a-z0-9]+')) AS q FROM v_lines WHERE line_no % 4 = 1),
+q AS (SELECT document_id, line_no AS quote_id, list_distinct(regexp_extract_all(lower('zz ' || line), '[a-z0-9]+')) AS q FROM v_lines),
 s AS (SELECT w.document_id, quote_id, line_no, pair, start, "end", len(list_intersect(q, t)) / len(list_distinct(q || t)) AS score FROM q JOIN w ON q.document_id = w.document_id AND len(t) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY document_id, quote_id ORDER BY score DESC, line_no, pair) AS n FROM s WHERE score >= 0.6)
 SELECT document_id, quote_id, start, "end", round(score, 6) AS score FROM r WHERE n = 1"""
@@ -192,9 +195,9 @@ SELECT document_id, quote_id, start, "end", round(score, 6) AS score FROM r WHER
 
 @query("locate_fuzzy", FUZZY_SQL)
 def locate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth line with a word put before it."""
+    """Every line with a word put before it."""
     l = lines(spark, sf_dir)  # noqa: E741
-    q = l.where("line_no % 4 = 1").select("document_id", F.col("line_no").cast("long").alias("quote_id"), F.concat(F.lit("zz "), "line").alias("quote"))
+    q = l.select("document_id", F.col("line_no").cast("long").alias("quote_id"), F.concat(F.lit("zz "), "line").alias("quote"))
     return locate.fuzzy(q, l).withColumn("score", F.round("score", 6))
 
 
