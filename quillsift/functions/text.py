@@ -61,7 +61,7 @@ def plain_tokens(t: Column) -> Column:
 def tokens(t: Column) -> Column:
     """Retrieval tokens: longer than one character and not a stop word; repeats stay."""
     found = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("[a-z0-9+#.]+"), F.lit(0))
-    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
 
 
 def jaccard(a: Column, b: Column) -> Column:

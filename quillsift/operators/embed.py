@@ -15,17 +15,34 @@ DIMENSIONS, NGRAM, NGRAM_WEIGHT = 384, 4, 0.35
 TOKEN = re.compile("[a-z0-9+#.]+")
 
 
-def vector(text: str | None, dimensions: int = DIMENSIONS, n: int = NGRAM) -> np.ndarray:
-    """Length 1, or all zeros without tokens. A feature's bucket is its hash's first four bytes, its sign a bit of the fifth."""
-    out = np.zeros(dimensions)
-    for token in TOKEN.findall((text or "").lower()):
+class Features(dict):
+    """Token -> (buckets, signed weights) of its word and n-grams; tokens that were met are kept, up to a bound.
+
+    A feature's bucket is its hash's first four bytes, its sign a bit of the fifth.
+    """
+
+    def __init__(self, dimensions: int = DIMENSIONS, n: int = NGRAM) -> None:
+        self.dimensions, self.n = dimensions, n
+
+    def __missing__(self, token: str) -> tuple[np.ndarray, np.ndarray]:
         features = [(f"w:{token}", 1.0)]
-        if len(token) > n:
+        if len(token) > self.n:
             edged = f"^{token}$"
-            features += [(f"c:{edged[i : i + n]}", NGRAM_WEIGHT) for i in range(len(edged) - n + 1)]
-        for name, weight in features:
-            h = hashlib.blake2b(name.encode(), digest_size=8).digest()
-            out[int.from_bytes(h[:4], "big") % dimensions] += weight if h[4] & 1 else -weight
+            features += [(f"c:{edged[i : i + self.n]}", NGRAM_WEIGHT) for i in range(len(edged) - self.n + 1)]
+        hashes = [hashlib.blake2b(name.encode(), digest_size=8).digest() for name, _ in features]
+        found = np.array([int.from_bytes(h[:4], "big") % self.dimensions for h in hashes]), np.array([w if h[4] & 1 else -w for h, (_, w) in zip(hashes, features, strict=True)])
+        if len(self) < 100_000:
+            self[token] = found
+        return found
+
+
+def vector(text: str | None, features: Features | None = None) -> np.ndarray:
+    """Length 1, or all zeros without tokens."""
+    features = Features() if features is None else features
+    found = [features[token] for token in TOKEN.findall((text or "").lower())]
+    if not found:
+        return np.zeros(features.dimensions)
+    out = np.bincount(np.concatenate([b for b, _ in found]), np.concatenate([w for _, w in found]), features.dimensions)
     norm = np.sqrt((out**2).sum())
     return out / norm if norm else out
 
@@ -35,8 +52,9 @@ def hashing(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(dimensions)
         for batch in batches:
-            found = [vector(t.as_py(), dimensions) for t in batch.column(1)]
+            found = [vector(t.as_py(), features) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["id", "embedding"])
 
     return rows.select("id", F.col("text").cast("string")).mapInArrow(run, f"id {kind}, embedding array<double>")

@@ -41,6 +41,7 @@ def fuzzy(quotes: DataFrame, lines: DataFrame) -> DataFrame:
 
     quotes: (document_id, quote_id, quote); lines: (document_id, line_no, start, end, line). The first best wins, a line
     before the pair that it begins. Lines meet a quote by a shared word first, so no quote is compared with all lines.
+    Quotes may have a window (low, high) that their lines must lie in; null is the whole text.
     """
     order = Window.partitionBy("document_id").orderBy("line_no")
     full = lines.where(stripped(F.col("line")) != "")
@@ -51,7 +52,8 @@ def fuzzy(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     q = quotes.withColumn("q", F.array_distinct(plain_tokens(F.col("quote")))).where(F.size("q") > 0)
     wanted = q.select("document_id", "quote_id", F.explode("q").alias("w"))
     met = windows.select("document_id", "line_no", "pair", F.explode("t").alias("w")).join(wanted, ["document_id", "w"]).select("document_id", "quote_id", "line_no", "pair").distinct()
-    scored = met.join(windows, ["document_id", "line_no", "pair"]).join(q, ["document_id", "quote_id"]).withColumn("score", jaccard(F.col("q"), F.col("t"))).where(F.col("score") >= FUZZY)
+    inside = (F.col("start") >= F.coalesce("low", F.lit(0))) & (F.col("end") <= F.coalesce("high", F.col("end"))) if "low" in quotes.columns else F.lit(True)
+    scored = met.join(windows, ["document_id", "line_no", "pair"]).join(q, ["document_id", "quote_id"]).where(inside).withColumn("score", jaccard(F.col("q"), F.col("t"))).where(F.col("score") >= FUZZY)
     best = Window.partitionBy("document_id", "quote_id").orderBy(F.desc("score"), "line_no", "pair")
     return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("document_id", "quote_id", "start", "end", "score")
 

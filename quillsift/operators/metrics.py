@@ -5,8 +5,9 @@ Inputs are rows (job, item, score, human). Pairwise measures join within a job b
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,37 +107,34 @@ def z_scores(rows: DataFrame, value: str, out: str, *keys: str) -> DataFrame:
     return rows.join(stats, [*keys]).withColumn(out, F.round(z, 6)).drop("_m", "_s", "_n")
 
 
+#: A replicate takes a row k times if its hash, as a share, is below the k-th number: shares of a Poisson distribution of mean 1.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
 def bootstrap(rows: DataFrame, key: str, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """(key, value, low, high, n): interval of Spearman's coefficient by resampling, for jobs of a bounded number of pairs.
+    """(key, value, low, high, n): interval of Spearman's coefficient by resampling.
 
-    Labelled pairs are few (people made them), so a job is one group; resamples without variance are left out.
+    Each replicate takes each row as often as a hash of (item, replicate, seed) says, by a Poisson distribution, so no job
+    is gathered in one place and reruns agree. Ranks are those of the replicate's rows with their weights; replicates
+    without variance are left out. Fewer than three rows have the interval from -1 to 1.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["item"])
-        x, y = pdf["score"].to_numpy(float), pdf["human"].to_numpy(float)
-        n = len(x)
-
-        def rho(a: np.ndarray, b: np.ndarray) -> float:
-            a, b = pd.Series(a).rank().to_numpy(), pd.Series(b).rank().to_numpy()
-            spread = a.std() * b.std()
-            return float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread > 0 else 0.0
-
-        low, high = -1.0, 1.0
-        if n >= 3:
-            rng = np.random.default_rng(seed)
-            got = []
-            for _ in range(samples):
-                i = rng.integers(0, n, n)
-                if len(np.unique(x[i])) > 1 and len(np.unique(y[i])) > 1:
-                    got.append(rho(x[i], y[i]))
-            if got:
-                got.sort()
-                low, high = got[int(0.025 * len(got))], got[min(len(got) - 1, int(0.975 * len(got)))]
-        return pd.DataFrame([{key: pdf[key].iloc[0], "value": rho(x, y) if n >= 2 else 0.0, "low": low, "high": high, "n": n}])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "item", F.col("score").cast("double"), F.col("human").cast("double")).groupBy(key).applyInPandas(run, f"{key} {kind}, value double, low double, high double, n long")
+    share = (F.xxhash64("item", "replicate", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / F.lit(float(1 << 52))
+    times = reduce(Column.__add__, [(share >= p).cast("int") for p in POISSON])
+    drawn = rows.select(key, "item", F.col("score").cast("double").alias("x"), F.col("human").cast("double").alias("y"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("replicate"))
+    cells = drawn.withColumn("w", times).where("w > 0").groupBy(key, "replicate", "x", "y").agg(F.sum("w").alias("w"))
+    one = Window.partitionBy(key, "replicate")
+    rank = lambda c: F.sum("w").over(one.orderBy(c)) - (F.sum("w").over(Window.partitionBy(key, "replicate", c)) - 1) / 2
+    ranked = cells.select(key, "replicate", "w", rank("x").alias("x"), rank("y").alias("y"))
+    n, sx, sy = F.sum("w"), F.sum(F.col("w") * F.col("x")), F.sum(F.col("w") * F.col("y"))
+    moments = [F.sum(F.col("w") * F.col(a) * F.col(b)) for a, b in (("x", "x"), ("y", "y"), ("x", "y"))]
+    each = ranked.groupBy(key, "replicate").agg((moments[0] * n - sx * sx).alias("xx"), (moments[1] * n - sy * sy).alias("yy"), (moments[2] * n - sx * sy).alias("xy"))
+    rho = F.when((F.col("xx") > 1e-9) & (F.col("yy") > 1e-9), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    got = each.withColumn("rho", rho).groupBy(key).agg(F.array_sort(F.collect_list("rho")).alias("_v"))  # as many as there are replicates
+    whole = rows.groupBy(key).agg(F.count("*").alias("n")).join(spearman(rows, key).select(key, F.col("spearman").alias("value")), key, "left")
+    at = lambda share: F.get("_v", F.least(F.size("_v") - 1, F.floor(F.size("_v") * F.lit(share)).cast("int")))
+    wide = (F.col("n") < 3) | (F.coalesce(F.size("_v"), F.lit(0)) <= 0)
+    ends = [F.round(F.when(wide, F.lit(default)).otherwise(at(p)), 6).alias(c) for c, p, default in (("low", 0.025, -1.0), ("high", 0.975, 1.0))]
+    return whole.join(got, key, "left").select(key, F.coalesce("value", F.lit(0.0)).alias("value"), *ends, "n")
 
 
 def chance_ceiling(rows: DataFrame, trials: int = TRIALS, seed: int = TRIAL_SEED, *keys: str) -> DataFrame:

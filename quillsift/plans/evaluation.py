@@ -93,12 +93,12 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap(labelled(spark, sf_dir), "job", samples=200)
+    return metrics.bootstrap(labelled(spark, sf_dir), "job")
 
 
 @query("random_ceiling")
 def random_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.chance_ceiling(labelled(spark, sf_dir), 50, metrics.TRIAL_SEED, "job")
+    return metrics.chance_ceiling(labelled(spark, sf_dir), metrics.TRIALS, metrics.TRIAL_SEED, "job")
 
 
 @query("regression_gate", """

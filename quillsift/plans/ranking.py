@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.functions.text import STOPWORDS
-from quillsift.operators import retrieve
+from quillsift.operators import embed, retrieve
 from quillsift.plans.registry import query, table
 
 K = 5
@@ -104,9 +104,9 @@ SELECT query, unit, bm25_rank, dense_rank, round(s, 6) AS score, place, CASE WHE
 """
 
 
-@query("rrf_fusion", RRF_SQL)
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 fused with keyword overlap as the second ranker (the benchmark has no vectors)."""
+@query("rrf_keyword", RRF_SQL)
+def rrf_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 fused with keyword overlap as the second ranker."""
     u, q = units(spark, sf_dir), jobs(spark, sf_dir)
     one = retrieve.top(retrieve.bm25(u, q).drop("corpus"), retrieve.POOL, "query")
     two = retrieve.top(retrieve.keyword_overlap(u, q), retrieve.POOL, "query")
@@ -114,8 +114,23 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query", "unit", F.col("bm25_rank").cast("long"), F.col("dense_rank").cast("long"), "score", F.col("place").cast("long"), "found_by")
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by hashed words and n-grams; no SQL has the hash, tests compare with plain Python."""
+    return embed.hashing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 @query("hashing_embed")
 def hashing_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillsift.operators.embed import hashing
+    return embedded(spark, sf_dir)
+
 
-    return hashing(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+@query("rrf_fusion")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 fused with the similarity of hashed vectors, for the benchmark texts against all documents."""
+    u, q = units(spark, sf_dir), jobs(spark, sf_dir)
+    one = retrieve.top(retrieve.bm25(u, q).drop("corpus"), retrieve.POOL, "query")
+    asked = embed.hashing(q.select(F.col("query").alias("id"), "text"))
+    vectors = retrieve.unit_vectors(embedded(spark, sf_dir)).select(F.col("id").alias("unit"), "v")
+    two = retrieve.dense(vectors, retrieve.unit_vectors(asked).select(F.col("id").alias("query"), "v"), retrieve.POOL)
+    got = retrieve.fuse(one, retrieve.top(two.drop("rank"), retrieve.POOL, "query"), K, "query")
+    return got.select("query", "unit", F.col("bm25_rank").cast("long"), F.col("dense_rank").cast("long"), "score", F.col("place").cast("long"), "found_by")

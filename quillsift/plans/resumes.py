@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.functions.dates import month_index
-from quillsift.operators import ingest, resume, risks, scoring, sections, spans
+from quillsift.operators import ingest, resume, risks, scoring, screen, sections, spans
 from quillsift.plans.registry import query, table
+from quillsift.sources.shared import kept
 
 RESUME_SQL = r"""
 WITH o AS (SELECT *, year(o_orderdate) * 12 + month(o_orderdate) AS m, strftime(o_orderdate, '%m/%Y') AS since FROM orders),
@@ -50,7 +51,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = resumes(spark, sf_dir).persist()  # read by every branch below
+    docs = kept(resumes(spark, sf_dir), "resumes")  # read by every branch below
     found = sections.boundaries(ingest.lines(docs, "document_id"))
     return docs, sections.segment(found, docs.select("document_id", F.length("text").alias("length")))
 
@@ -117,7 +118,7 @@ def rule_extract_education(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, found = segmented(spark, sf_dir)
-    l = resume.section_lines(found, docs).persist()  # noqa: E741  roles, projects, skills and the rest all read the lines
+    l = kept(resume.section_lines(found, docs), "lines")  # noqa: E741  roles, projects, skills and the rest all read the lines
     return docs, resume.units(resume.roles(l), resume.highlights(l), resume.projects(l), resume.education(l), resume.skills(l))
 
 
@@ -140,11 +141,14 @@ def evidence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("degenerate_extraction", RESUME_SQL + """,
-c AS (SELECT o_custkey AS document_id, 2 * count(*) + 2 * count_if(o_orderkey % 4 < 2) + 1 AS n FROM orders GROUP BY 1), x AS (SELECT document_id, count(*) + CASE WHEN count(*) > 1 THEN 1 ELSE 0 END AS n FROM b GROUP BY 1)
-SELECT r.document_id, length(text) AS chars, (c.n + coalesce(x.n, 0))::BIGINT AS n_units FROM v_resume r JOIN c USING (document_id) LEFT JOIN x USING (document_id) WHERE length(text) >= 400 AND c.n + coalesce(x.n, 0) < greatest(2, length(text) // 400)""")
+c AS (SELECT o_custkey AS document_id, 2 * count(*) + 2 * count_if(o_orderkey % 4 < 2) + 1 AS n FROM orders GROUP BY 1), x AS (SELECT document_id, count(*) + CASE WHEN count(*) > 1 THEN 1 ELSE 0 END AS n FROM b GROUP BY 1),
+a AS (SELECT r.document_id, length(text) AS chars, (c.n + coalesce(x.n, 0))::BIGINT AS n_units FROM v_resume r JOIN c USING (document_id) LEFT JOIN x USING (document_id) UNION ALL SELECT -1 - doc_id, length(text), 0 FROM documents)
+SELECT * FROM a WHERE chars >= 400 AND n_units < greatest(2, chars // 400)""")
 def degenerate_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, found = evidence(spark, sf_dir)
-    return resume.degenerate(found, docs).withColumn("chars", F.col("chars").cast("long"))
+    """Resumes, and documents as resumes (negative ids) in which the rules find nothing."""
+    prose = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("document_id"), "text")
+    docs = kept(resumes(spark, sf_dir).unionByName(prose), "resumes")
+    return resume.degenerate(screen.extracted(docs)[1], docs).withColumn("chars", F.col("chars").cast("long"))
 
 
 # Requirements for the built-in judge. Fixed values of this catalogue.

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.plans.registry import query, table
+from quillsift.sources.shared import new_path
 from quillsift.streaming import progress
 
 EVENT_SQL = """
@@ -30,11 +29,8 @@ def progress_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("progress_latest", EVENT_SQL + "SELECT * FROM l")
 def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by Structured Streaming, all that is there now."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quillsift-stream-")
     schema = table(spark, sf_dir, "events").schema
-    import uuid
-
-    return progress.stream_latest(spark, f"{sf_dir}/events.parquet*", schema, f"{root}/progress-{uuid.uuid4().hex}", events)
+    return progress.stream_latest(spark, f"{sf_dir}/events.parquet*", schema, new_path(spark, "progress"), events)
 
 
 @query("progress_frames", EVENT_SQL + "SELECT is_terminal AS done, count(*) AS frames FROM l GROUP BY 1")

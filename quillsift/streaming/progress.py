@@ -5,10 +5,9 @@ Events are (event_id, ts, run_id, stage, status). A run that has ended stays end
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 TERMINAL = ["completed", "failed"]
 
@@ -28,16 +27,23 @@ def frames(states: DataFrame) -> DataFrame:
     return states.select("run_id", F.concat(F.lit("event: "), kind, F.lit("\ndata: "), F.to_json(F.struct(*[c for c in states.columns])), F.lit("\n\n")).alias("frame"))
 
 
-def stream_latest(spark: SparkSession, path: str, schema, checkpoint: str, to_events) -> DataFrame:
-    """Read all files below path as a stream, keep the latest state per run, and return the final table.
+def stream_latest(spark: SparkSession, path: str, schema, folder: str, to_events) -> DataFrame:
+    """Read all files below path as a stream, keep the latest state per run, and return the states as they are at the end.
 
-    The state is per run and kept by Spark's state store; the sink is a memory table, as runs are few.
+    The state is kept by Spark's state store. In update mode each batch writes the runs that it has changed to a folder
+    of its number, so a batch that is run again replaces its own rows and nothing goes through the driver.
     """
     stream = to_events(spark.readStream.schema(schema).parquet(path))
-    name = f"progress_{uuid.uuid4().hex}"
-    q = latest(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    states = latest(stream)
+
+    def changed(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
+
+    q = states.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    kept = spark.read.schema(StructType([*states.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/states")
+    columns = states.columns
+    return kept.groupBy("run_id").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select(*[f"s.{c}" for c in columns])
 
 
 def windowed(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
