@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Spans meet by stretches of this many characters, so a long document isn't one join key.
+STRETCH = 2_000
+
+
+def _stretches(start: str, end: str) -> Column:
+    """The stretches of the text that a span lies in; an empty span lies in one."""
+    return F.sequence(F.floor(F.col(start) / STRETCH), F.floor(F.greatest(F.col(start), F.col(end) - 1) / STRETCH))
+
+
 def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of overlapping spans of a document; right's start and end come back as r_start and r_end.
 
-    The document is the equi-key, the overlap is a residual condition.
+    Spans are laid out by stretch, document and stretch are the equi-key, and a pair counts in the first stretch it shares.
     """
-    r = right.withColumnsRenamed({"start": "r_start", "end": "r_end", "document_id": "_d"})
-    return left.join(r, (F.col("document_id") == F.col("_d")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))).drop("_d")
+    r = right.withColumnsRenamed({"start": "r_start", "end": "r_end", "document_id": "_d"}).withColumn("_r", F.explode(_stretches("r_start", "r_end")))
+    rows = left.withColumn("_l", F.explode(_stretches("start", "end")))
+    first = F.greatest(F.floor(F.col("start") / STRETCH), F.floor(F.col("r_start") / STRETCH))
+    on = (F.col("document_id") == F.col("_d")) & (F.col("_l") == F.col("_r")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("_l") == first)
+    return rows.join(r, on).drop("_d", "_l", "_r")
 
 
 def page_of(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """The page of the first block (by block_seq) that holds each span's start; null if none does."""
-    b = blocks.select(F.col("document_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), "page", "block_seq")
-    hit = points.join(b, (F.col("document_id") == F.col("_d")) & (F.col("_s") <= F.col("start")) & (F.col("start") < F.col("_e")), "left")
+    b = blocks.select(F.col("document_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), "page", "block_seq").withColumn("_b", F.explode(_stretches("_s", "_e")))
+    at = F.floor(F.col("start") / STRETCH)
+    hit = points.join(b, (F.col("document_id") == F.col("_d")) & (at == F.col("_b")) & (F.col("_s") <= F.col("start")) & (F.col("start") < F.col("_e")), "left")
     return hit.groupBy(*points.columns).agg(F.min_by("page", "block_seq").alias("page"))
 
 
@@ -48,8 +61,9 @@ def segments(spans: DataFrame, lengths: DataFrame) -> DataFrame:
     """The text cut at all span ends: (document_id, start, end, n_spans, ids), ids of the spans over each piece in order."""
     ends = spans.select("document_id", F.explode(F.array("start", "end")).alias("at")).unionByName(lengths.select("document_id", F.explode(F.array(F.lit(0).cast("bigint"), F.col("length").cast("bigint"))).alias("at")))
     pieces = ends.distinct().withColumn("end", F.lead("at").over(Window.partitionBy("document_id").orderBy("at"))).where("end IS NOT NULL").withColumnRenamed("at", "start")
-    s = spans.select(F.col("document_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), "id")
-    over = pieces.join(s, (F.col("document_id") == F.col("_d")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")), "left")
+    s = spans.select(F.col("document_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), "id").withColumn("_b", F.explode(_stretches("_s", "_e")))
+    at = F.floor(F.col("start") / STRETCH)
+    over = pieces.join(s, (F.col("document_id") == F.col("_d")) & (at == F.col("_b")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")), "left")
     return over.groupBy("document_id", "start", "end").agg(F.count("id").alias("n_spans"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
 
