@@ -4,13 +4,16 @@ A document is a bag of passages of PASSAGE words, its whole text. Every passage
 lengths, repetition within it and against the passage before, hashed words), gated attention weighs the passages, and
 the weighted representation is scored: score = sigmoid(c . sum_k a_k h_k + b), a = softmax(w . (tanh(V h) * sigmoid(U h))).
 
-It is fitted by Adam with numpy on the driver, from a bounded sample of labelled rows: the `max_train` documents with
-the smallest hash of their id, and of each at most MAX_PASSAGES passages, evenly spaced. Scoring reads every passage.
-Only the text is an input of a score. Labels come from rows with crc32(id as text) mod 4 <> 2 only.
+It is fitted by Adam with numpy on the driver, from a bounded sample of labelled rows, each with all its passages: in the
+order of the hash of their ids, `max_train` documents, but no more than come to `max_passages` passages (the first one
+always counts). Scoring reads every passage. Only the text is an input of a score. Labels come from rows with crc32(id as
+text) mod 4 <> 2 only.
 
 Definitions: null text is empty and counts as one empty passage; label rows with a null id or label are left out, of
 repeated label rows the mean decides (0.5 and more is 1); without two classes in the sample the score is the share of
-label 1 (0.5 without labels). Repeated documents each get their row; extra columns are not read.
+label 1 (0.5 without labels). Repeated documents each get their row, and count once in the sample; different texts of one
+id each count, ordered by hash, so reruns agree. Of further columns only those named with `__` in front may clash: one
+named `__score` is replaced. A very long text is a bag of as many passages as it has, in one worker.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.common import sliced, small_batches, table
 
-PASSAGE, MAX_TRAIN, MAX_PASSAGES, THRESHOLD = 64, 4_000, 32, 0.7
+PASSAGE, MAX_TRAIN, MAX_PASSAGES, THRESHOLD = 64, 4_000, 200_000, 0.7
 BUCKETS, HIDDEN, GATE, ROUNDS, RATE, DECAY, SEED = 16, 12, 8, 150, 0.03, 1e-4, 11
 FEATURES = 13 + BUCKETS
 
@@ -88,6 +91,22 @@ def _forward(p: dict, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return {"h": h, "t": t, "s": s, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["b"], -30, 30)))}
 
 
+def gradient(p: dict, x: np.ndarray, y: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> dict:
+    """Of the mean cross entropy, by parameter."""
+    r = _forward(p, x, starts, lengths)
+    dz = (r["y"] - y) / len(y)
+    g = {"b": dz.sum(), "c": r["z"].T @ dz}
+    dzh = np.repeat(np.outer(dz, p["c"]), lengths, axis=0)
+    da = (dzh * r["h"]).sum(1)
+    dl = r["a"] * (da - np.repeat(np.add.reduceat(r["a"] * da, starts), lengths))
+    g["w"] = (r["t"] * r["s"]).T @ dl
+    dt, ds = np.outer(dl, p["w"]) * r["s"] * (1 - r["t"] ** 2), np.outer(dl, p["w"]) * r["t"] * r["s"] * (1 - r["s"])
+    g["v"], g["u"] = r["h"].T @ dt, r["h"].T @ ds
+    dx = (r["a"][:, None] * dzh + dt @ p["v"].T + ds @ p["u"].T) * (1 - r["h"] ** 2)
+    g["e"], g["f"] = x.T @ dx, dx.sum(0)
+    return g
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict:
     """Parameters, with the mean and scale of the features; a constant score if there is one class or none."""
     if not len(labels) or labels.min() == labels.max():
@@ -102,18 +121,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict:
     p = {"e": make(FEATURES, HIDDEN), "f": np.zeros(HIDDEN), "v": make(HIDDEN, GATE), "u": make(HIDDEN, GATE), "w": make(GATE), "c": make(HIDDEN), "b": np.log(y.mean() / (1 - y.mean()))}
     m, q = {k: 0 * v for k, v in p.items()}, {k: 0 * v for k, v in p.items()}
     for step in range(1, ROUNDS + 1):
-        r = _forward(p, x, starts, lengths)
-        dz = (r["y"] - y) / len(y)
-        g = {"b": dz.sum(), "c": r["z"].T @ dz}
-        dzh = np.repeat(np.outer(dz, p["c"]), lengths, axis=0)
-        dh = r["a"][:, None] * dzh
-        da = (dzh * r["h"]).sum(1)
-        dl = r["a"] * (da - np.repeat(np.add.reduceat(r["a"] * da, starts), lengths))
-        g["w"] = (r["t"] * r["s"]).T @ dl
-        dt, ds = np.outer(dl, p["w"]) * r["s"] * (1 - r["t"] ** 2), np.outer(dl, p["w"]) * r["t"] * r["s"] * (1 - r["s"])
-        g["v"], g["u"] = r["h"].T @ dt, r["h"].T @ ds
-        dx = (dh + dt @ p["v"].T + ds @ p["u"].T) * (1 - r["h"] ** 2)
-        g["e"], g["f"] = x.T @ dx, dx.sum(0)
+        g = gradient(p, x, y, starts, lengths)
         for k in p:
             grad = g[k] + DECAY * p[k] * (k not in "bf")
             m[k] = 0.9 * m[k] + 0.1 * grad
@@ -134,30 +142,39 @@ def held_out(i: Column) -> Column:
     return F.coalesce(F.crc32(i.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> dict:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES
+) -> dict:
     """Fit on at most max_train labelled documents that aren't held out."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).alias("_y"))
     known = known.where(~held_out(F.col("_i"))).groupBy("_i").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
-    picked = F.broadcast(known.orderBy(F.xxhash64("_i"), "_i").limit(max_train))  # short rows, max_train of them
-    texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t"))
-    rows = texts.join(picked, texts["_d"] == picked["_i"]).select("_d", "_y", "_t")
+    first = (F.xxhash64("_i"), F.col("_i"))
+    picked = F.broadcast(known.orderBy(*first).limit(max_train))  # short rows, max_train of them
+    texts = docs.select(F.col(id_col).alias("_d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).withColumn("_m", F.xxhash64("_t"))
+    rows = texts.join(picked, texts["_d"] == picked["_i"]).select("_i", "_y", "_m", "_t")
+    long = rows.groupBy("_i", "_m").agg(F.first(F.greatest(F.lit(1), F.ceil(F.regexp_count("_t", F.lit(r"\S+")) / PASSAGE))).alias("n"))
+    taken, total = [], 0
+    for r in long.orderBy(*first, "_m").limit(max_train).collect():  # short rows again
+        total += r.n
+        if taken and total > max_passages:
+            break
+        taken.append((r["_i"], r["_m"]))
+    if not taken:
+        return fit([], np.empty(0))
+    chosen = F.broadcast(spark.createDataFrame(taken, long.select("_i", "_m").schema))
+    rows = rows.join(chosen, ["_i", "_m"]).groupBy("_i", "_m").agg(F.first("_y").alias("_y"), F.first("_t").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in sliced(batches):
-            ids, ys, xs = [], [], []
-            for i, y, t in zip(*(batch.column(c) for c in range(3)), strict=True):
-                bag = passages(t.as_py())
-                places = np.unique(np.linspace(0, len(bag) - 1, min(len(bag), MAX_PASSAGES)).astype(int))
-                ids.append(str(i.as_py()))
-                ys.append(y.as_py())
-                xs.append(encode(bag, buckets)[places].astype("<f4").tobytes())
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ys, pa.int32()), pa.array(xs, pa.binary())], ["i", "y", "x"])
-
-    found = sorted(((r.i, r.y, bytes(r.x)) for r in rows.mapInArrow(run, "i string, y int, x binary").limit(2 * max_train).collect()))
-    return fit([np.frombuffer(x, "<f4").reshape(-1, FEATURES).astype(float) for _, _, x in found], np.array([y for _, y, _ in found]))
+            xs = [encode(passages(t.as_py()), buckets).astype("<f4").tobytes() for t in batch.column("_t")]
+            if xs:
+                yield pa.RecordBatch.from_arrays([batch.column("_i").cast(pa.string()), batch.column("_m"), batch.column("_y"), pa.array(xs, pa.binary())], ["i", "m", "y", "x"])
+
+    found = sorted((r.i, r.m, r.y, bytes(r.x)) for r in rows.mapInArrow(run, "i string, m long, y int, x binary").collect())  # len(taken) rows
+    return fit([np.frombuffer(x, "<f4").reshape(-1, FEATURES).astype(float) for *_, x in found], np.array([y for _, _, y, _ in found]))
 
 
 def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
