@@ -9,7 +9,8 @@ longest rule wins.
 Definitions: null url, or one without ://, has empty host and path and meets no rule. A rule fits its host and all
 subdomains if the path starts with the rule's. Equal rules that both allow and block: block wins. An url without a rule
 gets the verdict `default`. Each row gets its row with its other columns, but for columns named host, path, rule or verdict, which are replaced. An
-empty table or list is fine.
+empty table or list is fine. Of rules that fit equally long, the last by code point wins. Very long urls ask for one key
+per label of the host and listed path length.
 """
 
 from __future__ import annotations
@@ -63,9 +64,11 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     possible = asked.withColumns({"block": block, "mask": mask}).join(bloom, "block").where(F.col("mask").bitwiseAND(F.col("word")) == F.col("mask"))
     exact = possible.select("_url", "_key").join(sized(rules), "_key")
     best = exact.groupBy("_url").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("_best")).withColumnRenamed("_url", "_u")
-    judged = pages.join(best, pages[url_col].eqNullSafe(best["_u"]), "left").drop("_u")
-    host, path = parts(F.col(url_col))
-    return judged.withColumns({"host": host, "path": path, "rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
+    whole = pages.select(F.struct(*[pages[f"`{c}`"] for c in pages.columns]).alias("page"))  # so that no column's name can clash
+    judged = whole.join(best, F.col("page").getField(url_col).eqNullSafe(best["_u"]), "left")
+    host, path = parts(F.col("page").getField(url_col))
+    own = [F.col("page").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return judged.select(*own, host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
