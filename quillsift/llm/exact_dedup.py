@@ -4,14 +4,17 @@
 2. The directory doubles until no bucket has more than `capacity` different keys, or it has 2**MAX_DEPTH slots. It is
    worked out from counts by key prefix (at most 2**MAX_DEPTH numbers), and written beside the entries. A group of
    copies is one key, so it never overfills a bucket.
-3. Only texts whose key occurs twice are read again. Map tasks collapse copies that they meet (comparing bytes), so a
-   group holding a third of all rows sends one text per map task. Owner tasks take whole buckets, each a range of keys,
+3. Map tasks read and hash the texts again, and go on with those whose key occurs twice (a semi join, before any shuffle
+   of texts where these keys are counted and few). They collapse copies that they meet (comparing bytes), so a group
+   holding a third of all rows sends one text per map task. Owner tasks take whole buckets, each a range of keys,
    sorted by key; texts of one key are chained and compared byte by byte.
 4. Entries are joined with the chains.
 
 Definitions: null text is empty; texts are equal if equal after deleting [\\x20\\x09-\\x0D]; all-blank texts are one
 group. Of equal texts the row with most code points stays, then the smallest id (null ids last); of rows repeated with
-their id, one stays. Only the id and text columns are read. An empty table gives an empty result.
+their id, one stays (any of them: they differ in other columns at most). Ids are integers or strings. Only the id and text
+columns are read; other names may clash, but for names with `__` in front in keep_one(). A very long text is one row, held
+once or twice by a worker. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from quillsift.llm.common import cut, new_folder, same, sized, sliced, small_bat
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 MAX_DEPTH = 16
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
 #: A map task hands on the texts it has collapsed when they reach this many bytes.
 FLUSH_BYTES = 16 << 20
 
@@ -157,7 +161,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     twice = sized(keys.where("n > 1").select("key"), 1_000_000)
     run, schema = _entries(kind, True, digest)
     columns = "key long, hash string, body binary, rows long, size long, id " + kind
-    arrow = pa.schema([("key", pa.int64()), ("hash", pa.string()), ("body", pa.binary()), ("rows", pa.int64()), ("size", pa.int64()), ("id", pa.string() if kind == "string" else pa.int64())])
+    arrow = pa.schema([("key", pa.int64()), ("hash", pa.string()), ("body", pa.binary()), ("rows", pa.int64()), ("size", pa.int64()), ("id", ARROW[kind])])
     texts = picked.mapInArrow(run, schema).join(twice, "key", "left_semi").mapInArrow(_collapse(arrow), columns)
     owned = texts.withColumn("slot", slot(len(slots).bit_length() - 1)).join(buckets, "slot").drop("slot", "depth")
     owned = owned.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("key", "hash").drop("bucket")

@@ -13,7 +13,7 @@ Definitions: a null source is a source of its own, ordered last; null text has s
 targets of sources share `factor` times all sizes by weights 3, 1, 2, repeating in code point order of the source; a
 target stops at 2 times its source's size and the excess is shared again by weight (closed form: the water level at
 which min(2 * size, level * weight) adds up). Equal hashes are ordered by id, then size. Only the id, source and text
-columns are read. An empty table gives an empty result.
+columns are read. A very long text is one row, and is cut in its row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The mix itself, with the columns of docs: a document is there as often as it is taken, a part of it cut after its words.
 
-    length_col, if docs has it, is the length of the text again where the text was cut. Equal rows share what they take.
+    length_col, if docs has it, is the length of the text again where the text was cut. Equal rows
+    share what they take; what isn't divisible by their number (fewer words than there are such rows) is left out.
     """
     found = take(sizes(docs, id_col, source_col, text_col))
     found = found.groupBy(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("mark").alias("__m"), F.col("size").alias("__n")).agg(F.floor(F.sum("taken") / F.count("*")).alias("__taken"))
