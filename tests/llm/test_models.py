@@ -1,5 +1,6 @@
 """Quality classifier, SentencePiece, mixing, WARC and the pipeline against plain Python."""
 
+import gzip
 import hashlib
 import math
 import struct
@@ -97,6 +98,67 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert all(np.array_equal(models[0][k], models[1][k]) for k in models[0])
 
 
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(5)
+    lengths = np.array([1, 4, 2])
+    starts, x, y = np.array([0, 1, 5]), rng.normal(size=(7, 6)), np.array([1.0, 0.0, 1.0])
+    p = {"e": rng.normal(size=(6, 5)), "f": rng.normal(size=5), "v": rng.normal(size=(5, 3)), "u": rng.normal(size=(5, 3)), "w": rng.normal(size=3), "c": rng.normal(size=5), "b": np.array(0.2)}
+
+    def loss(q):
+        s = quality._forward(q, x, starts, lengths)["y"]
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    found = quality.gradient(p, x, y, starts, lengths)
+    for k, v in p.items():
+        for at in np.ndindex(v.shape):
+            step = np.zeros(v.shape)
+            step[at] = 1e-6
+            want = (loss(p | {k: v + step}) - loss(p | {k: v - step})) / 2e-6
+            assert abs(found[k][at] - want) < 1e-7
+
+
+def test_scores_by_brute_force(spark):
+    """Scores of whole texts against the formula, passage by passage in plain Python."""
+    rng = np.random.default_rng(8)
+    n, h, g = quality.FEATURES, 4, 3
+    model = {"e": rng.normal(size=(n, h)), "f": rng.normal(size=h), "v": rng.normal(size=(h, g)), "u": rng.normal(size=(h, g)), "w": rng.normal(size=g), "c": rng.normal(size=h), "b": 0.3, "mean": rng.normal(size=n), "scale": rng.random(n) + 0.5}
+    texts = ["", None, "one", "a b c. " * 300, "Wörter 12 !! " * 64, "x" * 100_000, "long text, " * 30_000]
+    got = {r.doc_id: r for r in quality.scores(spark.createDataFrame([(i, t, 0.5, "m") for i, t in enumerate(texts)], "doc_id long, text string, score double, _m string"), model).collect()}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        bag = [words[k : k + quality.PASSAGE] for k in range(0, len(words), quality.PASSAGE)] or [[]]
+        states, logits = [], []
+        for x in quality.encode(bag, quality.Buckets()):
+            state = [math.tanh(sum((x[r] - model["mean"][r]) / model["scale"][r] * model["e"][r][c] for r in range(n)) + model["f"][c]) for c in range(h)]
+            gate = [math.tanh(sum(state[c] * model["v"][c][k] for c in range(h))) / (1 + math.exp(-sum(state[c] * model["u"][c][k] for c in range(h)))) for k in range(g)]
+            states.append(state)
+            logits.append(math.exp(sum(gate[k] * model["w"][k] for k in range(g))))
+        z = [sum(logits[p] * states[p][c] for p in range(len(bag))) / sum(logits) for c in range(h)]
+        want = 1 / (1 + math.exp(-(sum(z[c] * model["c"][c] for c in range(h)) + 0.3)))
+        assert abs(got[i]["__score"] - want) < 1e-9 and got[i].score == 0.5
+
+
+def test_training_reads_every_passage_and_is_ordered(spark):
+    """The last passage of a long text counts, repeated rows count once, the sample is bounded by documents and passages."""
+    seen = []
+    text = "good words here. " * 2000
+    rows = [(i, text + ("zzz 999 " * 64 if i % 2 else "fine words. " * 64)) for i in (1, 3, 4, 6, 7, 8, 9, 11, 12, 13)]
+    docs = spark.createDataFrame(rows + rows[:4] + [(4, "another text")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    fit = quality.fit
+    try:
+        quality.fit = lambda bags, y: seen.append(([len(b) for b in bags], list(y))) or fit(bags, y)
+        for limits in ({}, {"max_train": 3}, {"max_passages": 250}):
+            a, b = (quality.train(docs, labels, **limits) for _ in range(2))
+            assert all((a[k] == b[k]).all() for k in a) if "constant" not in a else a == b
+    finally:
+        quality.fit = fit
+    known = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    whole = {len(t.split()) // 64 + (len(t.split()) % 64 > 0) for _, t in rows}
+    assert len(seen[0][0]) == len(known) + (4 in known) and set(seen[0][0]) <= whole | {1}
+    assert len(seen[2][0]) <= 3 and sum(seen[4][0]) <= 250
+
+
 def test_quality_edges(spark):
     docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(ODD)] + [(None, "x", "s"), (3, "a", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -175,6 +237,24 @@ def test_warc(spark, tmp_path):
         assert len(block) == int(headers["content-length"]) and headers["warc-date"] == "2024-01-01T00:00:00Z"
 
 
+def test_warc_archives(spark, tmp_path, monkeypatch):
+    """Each record is a gzip member of its own, archives are bounded by bytes and opened by warcinfo, record ids differ."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rng = np.random.default_rng(3)
+    pages = [(i % 50, f"u{i}", rng.bytes(600).hex() if i % 3 else "z" * 300) for i in range(120)] + [(7, None, "x" * 3_000_000)]
+    warc.write(warc.resolve(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)), f"{tmp_path}/w")
+    kinds, ids, files = [], [], [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    for path in files:
+        content = path.read_bytes()
+        found = [h for h, _ in warc.records(content)]
+        assert content.endswith(gzip.compress(b"", mtime=0)) and found[0]["warc-type"] == "warcinfo" and gzip.decompress(content).count(b"WARC/1.1") == len(found)
+        kinds += [h["warc-type"] for h in found]
+        ids += [h["warc-record-id"] for h in found]
+    assert len(files) > 3 and len(set(ids)) == len(ids) and kinds.count("warcinfo") == len(files) and len(kinds) == len(files) + len(pages)
+    got = warc.read(spark, f"{tmp_path}/w", with_payload=True)
+    assert got.where("payload_bytes = 3000000 AND length(payload) = 3000000").count() == 1 and got.where("record_type = 'revisit'").count() == 39
+
+
 def test_warc_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(warc.resolve(df), f"{tmp_path}/w")
