@@ -5,21 +5,27 @@ samples, HOP apart, are folded from their spectrum to 12 pitch classes. 16 filte
 rectangles of frames and pitch classes, are read off the integral image of the chroma; 2 bits (Gray code) of each make
 a 32-bit item, one for each place of a window of WIDTH frames.
 
-Alignment: recordings with the same items are one representative. Each different item of a recording is a key that
-puts it into a bucket. An alignment needs one equal item, so every pair that align() can link shares a bucket, whatever
-the lengths, the share of a clip and the bit errors. Pairs are found by stars (see link_up) and verified: the histogram
-of offsets at which equal items stand, and that let at least half of the shorter recording overlap, gives the best
-offsets, the share of differing bits at an offset (bit error rate) decides. Pairs of at most MAX_ERROR are links.
-
-Chance pairs (one item equal in unrelated recordings) grow faster than the input. So that items don't travel once for
-each pair, recordings are dealt into groups by hash, and a cell (two groups) gets each recording it needs once.
+Alignment: the histogram of offsets at which equal items of two recordings stand gives the offsets to try; at each that
+lets at least half of the shorter one, and LEAST_ITEMS, overlap, the share of differing bits (bit error rate) is counted
+over the whole overlap. Pairs of at most MAX_ERROR are links. LEAST_ITEMS is three windows that share no frame: chance
+pairs of shorter overlaps pass MAX_ERROR, so shorter recordings are the same only if all their items are.
+
+Search: recordings with the same items are one representative. Each different item of a recording (a run of equal ones
+counts once) puts it into a bucket, so all pairs with an equal item meet. Pairs are found by stars (see Stars): a
+member and a hub with an equal item give one offset, and go on only if the overlap suffices and the items WIDTH,
+2 * WIDTH and 3 * WIDTH places before and after it, where both have them, differ in no more bits than MAX_ERROR and
+SPREAD standard deviations allow. That is the search's only loss; tests measure its recall against align() of all pairs.
+Items don't travel once for each pair: recordings are dealt into groups by hash, and a cell (two groups) gets each
+recording that it needs once.
 
 The test tables have no audio: the query takes the UTF-8 bytes of each whole text as 8-bit PCM, so equal texts are
 equal recordings and near copies are recordings that run together in parts.
 
 Definitions: null and empty recordings, and ones that can't be read, have no items and are each a class of their own.
-Shorter recordings than a window are padded with silence to one item. Rows with one id count as one recording; a null id gets a null
-class. Only the id (an integer) and the recording are read. An empty table gives an empty result.
+Shorter recordings than a window are padded with silence to one item. Rows with one id count as one recording, the first
+by its items; a null id gets a null class. Of alignments of equal error, the one with most votes counts, then the
+nearest. Only the id (an integer) and the recording are read, under names of their own. Very long recordings are worked
+on in blocks of BLOCK frames. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,22 +35,26 @@ import io
 import math
 import wave
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, link_up, sliced, small_batches, stored, table
+from quillsift.llm.common import Stars, release, sliced, small_batches, stored, table
 
 RATE, FRAME, HOP, WIDTH = 8000, 512, 64, 16
 LOW_HZ, HIGH_HZ = 60.0, 1800.0
-MAX_ERROR, OFFSETS = 0.2, 5
+MAX_ERROR, LEAST_ITEMS = 0.2, 3 * WIDTH
+#: Items that are compared around an equal one, and the standard deviations that their bit errors may lie over MAX_ERROR.
+AROUND, SPREAD = tuple(k * WIDTH for k in (-3, -2, -1, 1, 2, 3)), 2.5
 #: Chroma frames that are worked on together.
 BLOCK = 20_000
-#: Bytes of items in a group, pairs in a cell, groups at least.
-GROUP_BYTES, CELL_PAIRS, GROUPS = 100 << 20, 500_000, 6
+#: Hubs of a bucket in the first round: most buckets hold few recordings and are done with it.
+FIRST_HUBS = 16
+#: Bytes of items in a group, offsets in a cell, groups at least; items that are compared at once.
+GROUP_BYTES, CELL_PAIRS, GROUPS, AT_ONCE = 100 << 20, 500_000, 6, 2_000_000
 
 
 def _pitch_classes(rate: int) -> np.ndarray:
@@ -146,55 +156,100 @@ Reader = Callable[[bytes | None, Chroma], np.ndarray]
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float, int] | None:
-    """Offset (place in a less place in b), bit error rate and overlap of the best alignment; None without equal items that let half of the shorter one overlap."""
+    """Offset (place in a less place in b), bit error rate and overlap of the best alignment; None if no offset has an equal item and overlap enough."""
     order = np.argsort(b, kind="stable")
-    ordered = b[order]
-    low, high = np.searchsorted(ordered, a, "left"), np.searchsorted(ordered, a, "right")
-    votes: dict[int, int] = {}
+    low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
     width = high - low
-    rare = np.flatnonzero((width > 0) & (width <= np.maximum(4, np.median(width[width > 0]) if (width > 0).any() else 0)))  # stretches of one tone vote for any offset
-    for i in rare:
-        for o in (i - order[low[i] : high[i]]).tolist():
-            votes[o] = votes.get(o, 0) + 1
-    overlap = lambda o: min(len(a) - max(0, o), len(b) - max(0, -o))
-    least = min(len(a), len(b))
+    at = np.repeat(np.arange(len(a)), width)
+    equal = order[np.arange(len(at)) - np.repeat(width.cumsum() - width, width) + np.repeat(low, width)]
+    offsets, votes = np.unique(at - equal, return_counts=True)
     best = None
-    for offset in sorted((o for o in votes if overlap(o) * 2 >= least), key=lambda o: (-votes[o], abs(o), o))[:OFFSETS]:
-        i, j, n = max(0, offset), max(0, -offset), overlap(offset)
-        error = float(np.bitwise_count(a[i : i + n] ^ b[j : j + n]).sum()) / (32 * n)
-        if best is None or error < best[1]:
-            best = offset, error, n
-    return best
-
-
-def keys(found: np.ndarray) -> np.ndarray:
-    """The different items of a recording."""
-    return np.unique(found)
+    for offset, n in zip(offsets.tolist(), votes.tolist(), strict=True):
+        i, j = max(0, offset), max(0, -offset)
+        overlap = min(len(a) - i, len(b) - j)
+        if overlap >= LEAST_ITEMS and 2 * overlap >= min(len(a), len(b)):
+            error = float(np.bitwise_count(a[i : i + overlap] ^ b[j : j + overlap]).sum()) / (32 * overlap)
+            best = min(best, (error, -n, abs(offset), offset, overlap)) if best else (error, -n, abs(offset), offset, overlap)
+    return best and (best[3], best[0], best[4])
 
 
 def _print(batches: Iterator[pa.RecordBatch], read: Reader = fingerprint) -> Iterator[pa.RecordBatch]:
-    """(id, recording) -> (id, digest, n, keys, items)."""
+    """(id, recording) -> (id, digest, n, items)."""
     chroma = Chroma()
     for batch in sliced(batches):
         rows = []
         for i, r in zip(batch.column(0), batch.column(1), strict=True):
             found = read(r.as_py(), chroma)
-            body = found.astype("<u4").tobytes()
-            rows.append((i.as_py(), hashlib.sha256(body).hexdigest(), len(found), keys(found).view(np.int32).tolist(), body))
+            rows.append((i.as_py(), hashlib.sha256(found.astype("<u4").tobytes()).hexdigest(), len(found), found.view(np.int32)))
         if rows:
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "digest", "n", "keys", "items"])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "digest", "n", "items"])
+
+
+def placed(own: DataFrame) -> DataFrame:
+    """Rows (bucket, id, weight, fact) of recordings (id, items): one per run of equal items."""
+    item = lambda k: F.get("items", k)
+    n = F.size("items")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (item(k) != F.get("items", k - 1)))
+    runs = own.where(n >= LEAST_ITEMS).select("id", "items", starts.alias("starts")).select("id", "items", F.posexplode("starts").alias("k", "first"), "starts")
+    last = F.coalesce(F.get("starts", F.col("k") + 1), n) - 1
+    around = [F.when(F.col("first") + k >= 0, item(F.col("first") + k)).alias(f"at{x}") for x, k in enumerate(AROUND)]
+    fact = F.struct(n.alias("n"), F.col("first"), last.alias("last"), *around)
+    return runs.select(item(F.col("first")).alias("bucket"), "id", n.alias("weight"), fact.alias("fact"))
+
+
+def met(joined: DataFrame) -> DataFrame:
+    """(a, b, low, high): pairs a > b and the offsets, place in a less place in b, at which a member and a hub may align."""
+    one, two = F.col("fact"), F.col("hub_fact")
+    low, high = one["first"] - two["last"], one["last"] - two["first"]
+    overlap = F.least(one["n"] - F.greatest(low, F.lit(0)), two["n"] + F.least(low, F.lit(0)))
+    enough = (overlap >= LEAST_ITEMS) & (2 * overlap >= F.least(one["n"], two["n"]))
+    wrong: Column = F.lit(0)
+    bits: Column = F.lit(0)
+    for x in range(len(AROUND)):
+        apart = F.bit_count(one[f"at{x}"].bitwiseXOR(two[f"at{x}"]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))  # without the sign's copies
+        wrong, bits = wrong + F.coalesce(apart, F.lit(0)), bits + F.when(apart.isNotNull(), 32).otherwise(0)
+    alike = wrong <= MAX_ERROR * bits + SPREAD * F.sqrt(MAX_ERROR * (1 - MAX_ERROR) * bits)
+    up = F.col("id") > F.col("hub")
+    fits = joined.where((F.col("id") != F.col("hub")) & ((low != high) | (enough & alike)))
+    return fits.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"), F.when(up, low).otherwise(-high).alias("low"), F.when(up, high).otherwise(-low).alias("high")).distinct()
 
 
 def _aligned(pairs: pa.Table, prints: pa.Table) -> pa.Table:
-    """Pairs (cell, a, b) and recordings (home, id, items) of one cell -> (a, b, place, error) of the links."""
-    found = {i: np.frombuffer(x.as_buffer(), "<u4").astype(np.uint32, copy=False) for i, x in zip(prints["id"].to_pylist(), prints["items"], strict=True)}
+    """Offsets (cell, a, b, low, high) and recordings (home, id, items) of one cell -> (a, b, place, error) of the links."""
+    ids, items = prints["id"].to_numpy(), prints["items"].combine_chunks()
+    order = np.argsort(ids)
+    ids, starts, sizes = ids[order], items.offsets.to_numpy()[:-1][order].astype(np.int64), np.diff(items.offsets.to_numpy())[order].astype(np.int64)
+    body = items.values.to_numpy().view(np.uint32)
     out = []
-    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
-        if (best := align(found[a], found[b])) and best[1] <= MAX_ERROR:
-            out.append((a, b, best[0], best[1]))
+    a, b, low, high = (pairs[c].to_numpy().astype(np.int64) for c in ("a", "b", "low", "high"))
+    x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
+    todo = np.arange(len(a))
+    for part in np.array_split(todo, max(1, math.ceil(int((high - low + 1).sum()) / CELL_PAIRS))):
+        tries = (high - low + 1)[part]
+        row = np.repeat(part, tries)
+        offset = low[row] + np.arange(len(row)) - np.repeat(tries.cumsum() - tries, tries)
+        i, j = np.maximum(0, offset), np.maximum(0, -offset)
+        overlap = np.minimum(sizes[x[row]] - i, sizes[y[row]] - j)
+        fits = (overlap >= LEAST_ITEMS) & (2 * overlap >= np.minimum(sizes[x[row]], sizes[y[row]]))
+        row, offset, i, j, overlap = (v[fits] for v in (row, offset, i, j, overlap))
+        for k in np.array_split(np.arange(len(row)), max(1, math.ceil(int(overlap.sum()) / AT_ONCE))):
+            if not len(k):
+                continue
+            n = overlap[k]
+            heads = n.cumsum() - n
+            along = np.arange(int(n.sum())) - np.repeat(heads, n)
+            one, two = body[np.repeat(starts[x[row[k]]] + i[k], n) + along], body[np.repeat(starts[y[row[k]]] + j[k], n) + along]
+            error = np.add.reduceat(np.bitwise_count(one ^ two).astype(np.int64), heads) / (32 * n)
+            votes = np.add.reduceat((one == two).astype(np.int64), heads)
+            ok = (error <= MAX_ERROR) & (votes > 0)
+            out += [*zip(a[row[k]][ok].tolist(), b[row[k]][ok].tolist(), error[ok].tolist(), (-votes[ok]).tolist(), np.abs(offset[k][ok]).tolist(), offset[k][ok].tolist(), strict=True)]
+    best: dict[tuple[int, int], tuple] = {}
+    for one, two, *rank in out:
+        best[one, two] = min(best.get((one, two), (2.0,)), tuple(rank))
+    found = [(*k, v[3], v[0]) for k, v in best.items()]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["a", "b", "place", "error"])
+    return pa.Table.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], ["a", "b", "place", "error"])
 
 
 def recordings(media: DataFrame, id_col: str = "id", audio_col: str = "audio", read: Reader = fingerprint) -> DataFrame:
@@ -206,33 +261,35 @@ def recordings(media: DataFrame, id_col: str = "id", audio_col: str = "audio", r
     """
     small_batches(media.sparkSession)
     sounds = media.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).cast("binary").alias("sound"))
-    printed = stored(sounds.mapInArrow(partial(_print, read=read), "id long, digest string, n long, keys array<int>, items binary"), "fingerprints")
+    printed = stored(sounds.mapInArrow(partial(_print, read=read), "id long, digest string, n long, items array<int>"), "fingerprints")
     with_items = printed.where("id IS NOT NULL AND n > 0")
-    reps = stored(with_items.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("items").alias("items")), "recordings")
-
-    total = 4 * (reps.agg(F.sum("n")).first()[0] or 0)
+    reps = stored(with_items.groupBy("digest").agg(F.min("id").alias("rep"), F.first("items").alias("items")), "recordings")
+    own = stored(reps.groupBy(F.col("rep").alias("id")).agg(F.min("items").alias("items")), "items")
+    total = 4 * (own.agg(F.sum(F.size("items"))).first()[0] or 0)
 
     def verify(pairs: DataFrame) -> DataFrame:
         groups = max(GROUPS, math.ceil(total / GROUP_BYTES), math.ceil(math.sqrt(2 * pairs.count() / CELL_PAIRS)))
         cells = groups * (groups + 1) // 2
         x, y = (F.pmod(F.xxhash64(c), F.lit(groups)) for c in ("a", "b"))
-        dealt = pairs.select((F.least(x, y) * groups + F.greatest(x, y)).alias("cell"), "a", "b")
-        own = reps.groupBy(F.col("rep").alias("id")).agg(F.min("items").alias("items"))  # one recording per id
-        needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id").select("cell", "id", "items").toDF("home", "id", "items")
+        dealt = pairs.select((F.least(x, y) * groups + F.greatest(x, y)).alias("cell"), "a", "b", "low", "high")
+        needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id").select(F.col("cell").alias("home"), "id", "items")
         both = dealt.repartition(cells, "cell").groupBy("cell").cogroup(needed.repartition(cells, "home").groupBy("home"))
-        return cut(both.applyInArrow(_aligned, "a long, b long, place long, error double"))
+        return stored(both.applyInArrow(_aligned, "a long, b long, place long, error double"), "links")
 
-    placed = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("bucket")).withColumn("bucket", F.col("bucket").cast("long"))
-    groups, links = link_up(placed, verify)
+    stars = Stars(met, verify)
+    stars.run(placed(own), FIRST_HUBS)
+    release(own)
     named = reps.select("digest", "rep")
-    if groups is None:
+    if stars.groups is None:
         named = named.select("digest", "rep", F.col("rep").alias("class_id"), F.lit(None).cast("long").alias("aligned_to"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("error"))
     else:
+        links = reduce(DataFrame.unionByName, stars.links)
         ways = links.select(F.col("a").alias("x"), F.col("b").alias("aligned_to"), "place", "error").unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("aligned_to"), (-F.col("place")).alias("place"), "error"))
         best = ways.groupBy("x").agg(F.min(F.struct("error", "aligned_to", "place")).alias("best"))
-        named = named.join(groups, F.col("rep") == F.col("id"), "left").join(best, F.col("rep") == F.col("x"), "left")
+        named = named.join(stars.groups, F.col("rep") == F.col("id"), "left").join(best, F.col("rep") == F.col("x"), "left")
         named = named.select("digest", "rep", F.coalesce("class_id", "rep").alias("class_id"), "best.aligned_to", "best.place", "best.error")
-    named = cut(named.withColumnRenamed("digest", "_d"))
+    named = stored(named.withColumnRenamed("digest", "_d"), "named")
+    release(reps, stars.groups, *stars.links)
     rows = printed.select("id", "digest", "n").join(named, (F.col("digest") == F.col("_d")) & F.col("id").isNotNull() & (F.col("n") > 0), "left")
     copy = F.col("rep").isNotNull() & (F.col("id") != F.col("rep"))
     return rows.select(

@@ -9,45 +9,61 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Setting by which a finished query's shuffle files are removed, not only once the driver's memory is collected.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; a temporary one where that is unset and the master is local (tests)."""
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
-        root = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quillsift-")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quillsift-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder now and go on from the written rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder; it is deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/quillsift-{what}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
-    def remove() -> None:
-        with contextlib.suppress(Exception):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    atexit.register(remove)
-    return path
+def stored(df: DataFrame, what: str = "cut") -> DataFrame:
+    """Write df to the shared folder now, as Parquet, and go on from the written rows; its shuffle files go at once."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, what)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
 
+cut = stored
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Like cut(), as compressed Parquet: for wide rows."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what stored() has written for these frames, if it has; nothing may read them any more."""
+    for df in frames:
+        if folder := getattr(df, "_folder", None):
+            _delete(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,29 +86,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a long, b long) links: one row (id, class_id) per id that has a link.
+    """Connected components of (a long, b long) links: one row (id, class_id) per id that has a link; it is stored.
 
-    class_id is the smallest id of the component. Alternating large-star and small-star steps; each step is an
-    aggregate with map-side combine and a join, so a hub with very many links is split by the skew join. Lineage is
-    cut after every round. Self links and repeated links do no harm; an empty input gives an empty result.
+    class_id is the smallest id of the component. Alternating large-star and small-star steps. A step's smallest
+    neighbours come from an aggregation with map-side combine and are stored before the join, so the join is one of two
+    plain shuffles (or a broadcast, where few), and a hub with very many links is split by the skew join. Self links and
+    repeated links do no harm; an empty input gives an empty result.
     """
     pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    pairs, seen = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
-        size, mark = pairs.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.lit(0))).first()
-        if (size, mark) == seen:
+        mark = pairs.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.lit(0))).first()
+        if mark == seen:
             break
-        seen = (size, mark)
+        seen = mark
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = stored(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        low = stored(down.groupBy("a").agg(F.min("b").alias("m")))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        pairs = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        after = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        release(pairs, least, down, low)
+        pairs = after
     roots = pairs.groupBy("a").agg(F.min("b").alias("class_id")).select(F.col("a").alias("id"), "class_id")
-    return roots.unionByName(roots.select(F.col("class_id").alias("id"), "class_id").distinct())
+    return stored(roots.unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("class_id")).distinct()), "classes")
 
 
 def sized(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
@@ -108,45 +126,58 @@ def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
     return out
 
 
-def link_up(placed: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame | None = None, fits: Callable[[Column, Column], Column] | None = None, star_rounds: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
-    """Classes (id, class_id) of the ids that share buckets and are links, and the links; None where there are none.
+Pairs = Callable[[DataFrame], DataFrame]
+
+
+class Stars:
+    """Classes of ids that share buckets and are links, found by comparing a bucket's members with a few hubs of it.
 
-    placed: (id long, bucket long). facts: (id, fact), from which fits(fact, fact) rules pairs out that can't be links.
-    verify: from pairs (a, b), a > b, to the links among them. In each round the members of a bucket are compared with its
-    hub only, and after the first only those of another class than the hub's; in the last round so are the pairs of a
-    bucket that are still in different classes and that fits() doesn't rule out. So a bucket of many near copies costs as
-    many comparisons as it has members, and no pair of different classes goes unseen.
+    A round takes rows (bucket, id long, weight, fact). Buckets whose members are all of one class drop out. In
+    every other one some members become hubs (the one of the largest weight, and about `hubs` more, by hash) and are
+    compared with the members of other classes; after that a hub has nothing more to find and leaves the bucket. So a
+    round's comparisons are hubs times members, not pairs, a bucket of copies is done after one round, and no pair of
+    different classes goes unseen once no bucket is left.
+
+    candidates: from joined rows (id, fact, hub, hub_fact) to distinct rows (a, b, ...); verify: those that are links.
     """
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    placed = cut(placed.join(shared, "bucket"))
-    found, groups, seen = None, None, None
-    for turn in range(star_rounds + 1):
-        if groups is None:
-            now = placed.withColumn("class_id", F.col("id"))
-        else:
-            now = placed.join(groups, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        # One aggregation, combined before its shuffle, gives the buckets of several classes and their hubs.
-        hub = F.min_by(F.struct(F.col("id").alias("hub"), F.col("class_id").alias("hub_class")), F.xxhash64("id", "bucket", F.lit(turn)))  # another one in each bucket
-        mixed = now.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), hub.alias("h")).where("x < y")
-        if turn < star_rounds:
-            pairs = now.join(mixed.select("bucket", "h.*"), "bucket").where("id <> hub AND class_id <> hub_class")
-        else:
-            now = now.join(mixed.select("bucket"), "bucket")
-            if facts is not None:
-                now = now.join(facts, "id")
-            other = now.withColumnsRenamed({"id": "hub", "class_id": "hub_class", "fact": "hub_fact"})
-            pairs = now.join(other, "bucket").where("id > hub AND class_id <> hub_class")
-            if facts is not None:
-                pairs = pairs.where(fits(F.col("fact"), F.col("hub_fact")))
-        pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-        if facts is not None and turn < star_rounds:
-            pairs = pairs.join(facts.toDF("a", "_a"), "a").join(facts.toDF("b", "_b"), "b").where(fits(F.col("_a"), F.col("_b"))).select("a", "b")
-        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            continue
-        links = verify(pairs)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = links if found is None else found.unionByName(links)
-        if links.limit(1).count():
-            groups = components(found).select("id", "class_id")
-    return groups, found
+
+    def __init__(self, candidates: Pairs, verify: Pairs) -> None:
+        self.candidates, self.verify = candidates, verify
+        self.groups: DataFrame | None = None  # (id, class_id) of the ids that have links
+        self.links: list[DataFrame] = []
+
+    def round(self, rows: DataFrame, hubs: int) -> DataFrame | None:
+        """The rows that are left after a round; None if no bucket is mixed. The rows given are released."""
+        best = F.max_by("id", F.struct("weight", F.xxhash64("id")))
+        state = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("class_id").alias("low"), F.max("class_id").alias("high"), best.alias("best"))
+        state = stored(state.where("low < high").select("bucket", "members", "best"), "buckets")
+        if not state.limit(1).count():
+            return release(rows, state)
+        turn = F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("members") / hubs))
+        live = stored(rows.join(state, "bucket").withColumn("is_hub", (F.col("members") <= 3) | (F.col("id") == F.col("best")) | ((turn == 0) & F.lit(hubs > 1))).drop("members", "best"), "members")
+        release(rows, state)
+        hub = live.where("is_hub").select("bucket", F.col("id").alias("hub"), F.col("fact").alias("hub_fact"), F.col("class_id").alias("hub_class"))
+        met = live.join(hub, "bucket").where("class_id <> hub_class AND (NOT is_hub OR id > hub)")
+        pairs = stored(self.candidates(met), "pairs")
+        links = self.verify(pairs)
+        release(pairs)
+        left = live.where("NOT is_hub").select(rows.columns)
+        if not links.limit(1).count():
+            release(links)
+            left._folder = live._folder
+            return left
+        edges, former = links.select("a", "b"), self.groups
+        self.groups = components(edges if former is None else edges.unionByName(former.select(F.col("id").alias("a"), F.col("class_id").alias("b"))))
+        self.links.append(links)
+        now = left.drop("class_id").join(self.groups, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        left = stored(now.select(rows.columns), "left")
+        release(former, live)
+        return left
+
+    def run(self, rows: DataFrame, hubs: int = 1, factor: int = 16) -> None:
+        """Rounds with more and more hubs, until no bucket is mixed."""
+        left: DataFrame | None = rows.withColumn("class_id", F.col("id"))
+        left._folder = getattr(rows, "_folder", None)
+        while left is not None:
+            left = self.round(left, hubs)
+            hubs *= factor

@@ -7,22 +7,26 @@
    that this is the Jaccard similarity of the sets, on which links are decided (5).
 2. Texts with the same set of shingles collapse to one representative before any bucket is made, by an aggregation.
 3. BANDS bands of ROWS registers each make buckets. At a similarity of 0.8 a pair shares none with probability 3e-6.
-4. Links in a bucket are found by stars: each member is compared with the bucket's hub, not with all others; found links
-   are joined into components; some rounds more with other hubs compare only members of different components; last, the
-   pairs of a bucket that are still in different components are compared. No bucket, group or candidate is capped. A
-   pair is skipped only if its components are one already or if the counts of its shingles, in BINS bins by hash, rule
-   0.8 out (what two texts share is at most the sum of the smaller counts).
-5. A pair is a link if the Jaccard similarity of its shingle sets, from the whole texts, is at least 0.8.
+4. Links in a bucket are found by stars (see Stars). The first hub of a bucket is its most central member, that shares
+   most buckets with others; most copies are found by it, in as many comparisons as the buckets have members. Rounds
+   with other hubs go on among members of different classes until each bucket is of one class. No bucket, group or
+   candidate is capped. A member and a hub are a candidate only if their shingles may be alike enough: each set is
+   marked in MARKS bits, a shingle flips one of them, so as many bits as differ in two sets' marks, so many shingles
+   differ at least. That is exact, and decided within the join.
+5. A pair is a link if the Jaccard similarity of its shingle sets, from the whole texts, is at least LEAST.
 
 Definitions: words are runs of letters, digits and characters beyond ASCII, lower-cased; a text of one to four words is
-one shingle; texts without words (null, empty, blank) form one class. class_id is the smallest id of the class. Rows
-with the same id count as one document; rows with a null id get a null class. Only the id (an integer) and the text are
-read. An empty table gives an empty result.
+one shingle; texts without words (null, empty, blank) form one class. class_id is the smallest id of the class,
+class_size its rows; repeated rows each count. Texts of rows with one id count as texts of one document. Rows with a null
+id get a null class. Only the id (an integer) and the text are read, under names of their own, so further columns may
+have any names. Equal similarities need no order: a link is a link. Very long texts are one row of as many shingles as
+they have words, about 12 bytes a word in a worker. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, link_up, sized, sliced, small_batches, stored, table
+from quillsift.llm.common import Stars, release, sized, sliced, small_batches, stored, table
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-STAR_ROUNDS = 2
 #: Shingles that are signed together.
 BLOCK = 150_000
-BINS = 128
+MARKS = 1024
 SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,7 +51,6 @@ def step(k: int) -> np.uint64:
     return np.uint64(k * int(ODD) % (1 << 64))
 
 
-
 class Words(dict):
     """Word -> 64-bit hash; the words that were met are kept, up to a bound."""
 
@@ -102,7 +104,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, digest, n, bands, bins)."""
+    """(id, text) -> (id, digest, n, bands, marks)."""
     words = Words()
 
     def done(ids: list, sets: list) -> pa.RecordBatch:
@@ -113,10 +115,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(ROWS):
             bands = mix(bands * ODD + sig[:, r::ROWS])
         bands = [list(b) if n else [] for b, n in zip(bands.view(np.int64), lengths, strict=True)]
-        bins = np.zeros((len(sets), BINS), np.int32)
-        np.add.at(bins, (owner, (np.concatenate(sets) >> np.uint64(40)) % np.uint64(BINS)), 1)
+        flips = np.bincount(owner * MARKS + ((np.concatenate(sets) >> np.uint64(40)) % np.uint64(MARKS)).astype(np.int64), minlength=len(sets) * MARKS)
+        marks = np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), -1)
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*bins], pa.list_(pa.int32()))], ["id", "digest", "n", "bands", "bins"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*marks], pa.list_(pa.int64()))], ["id", "digest", "n", "bands", "marks"])
 
     for batch in sliced(batches):
         ids, sets, held = [], [], 0
@@ -131,58 +133,65 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done(ids, sets)
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) -> (a, b, similarity), for similarities of LEAST and more."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, digest, shingles)."""
     words = Words()
-    last: tuple = (None, None)
-    for batch in sliced(batches):
-        out: list[tuple] = []
-        for a, b, ta, tb in zip(*(batch.column(c) for c in range(4)), strict=True):
-            if last[0] != b.as_py():
-                last = b.as_py(), shingles(tb.as_py(), words)[0]
-            one, two = shingles(ta.as_py(), words)[0], last[1]
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            if both >= LEAST * (len(one) + len(two) - both) - 1e-9:
-                out.append((a.as_py(), b.as_py(), both / max(1, len(one) + len(two) - both)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
-
-
-def fits(a: Column, b: Column) -> Column:
-    """Whether two texts can be links, from their shingle counts by bin: the sum of the smaller counts bounds what they share."""
-    both = F.aggregate(F.zip_with(a["bins"], b["bins"], lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    total = a["n"] + b["n"]
-    return (F.least(a["n"], b["n"]) * (1 + LEAST) >= total * LEAST - 1e-6) & (both * (1 + LEAST) >= total * LEAST - 1e-6)
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b), already cut, that are links; texts: (id, text)."""
-    ids = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 500_000)
-    own = stored(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    one, two = own.toDF("a", "text_a"), own.toDF("b", "text_b")
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return cut(found.mapInArrow(_similar, "a long, b long, similarity double"))
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per row of docs: id, class_id, class_size (documents), links of the class's different texts aren't expanded."""
+    for batch in sliced(batches, 200):
+        sets = [shingles(t.as_py(), words)[0] for t in batch.column(1)]
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], ["id", "digest", "shingles"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) that are links; sets: (id, digest, shingles)."""
+    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b") - both).alias("either"))
+    return stored(found.where(F.col("both") >= LEAST * F.col("either") - 1e-9).select("a", "b", (F.col("both") / F.col("either")).alias("similarity")), "links")
+
+
+def met(joined: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members and hubs that may be links: what their shingles can have in common suffices."""
+    one, two = F.col("fact"), F.col("hub_fact")
+    apart = reduce(Column.__add__, [F.bit_count(one["marks"][k].bitwiseXOR(two["marks"][k])) for k in range(MARKS // 64)])
+    total = one["n"] + two["n"]
+    most = F.least((total - apart) / 2, one["n"], two["n"])
+    fits = joined.where(most * (1 + LEAST) >= LEAST * total - 1e-6)
+    return fits.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, class_id, class_size (rows); links between copies of one text aren't expanded."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>, bins array<int>"), "signatures")
-    reps = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins"))
-    reps = stored(reps, "representatives")
-
-    placed = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    facts = reps.select(F.col("rep").alias("id"), F.struct("n", "bins").alias("fact"))
-    groups, _ = link_up(placed, lambda pairs: verify(pairs, texts), facts, fits, star_rounds)
-    if groups is None:
-        named = reps.select("digest", F.col("rep").alias("class_id"), "size")
+    signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>, marks array<long>"), "signatures")
+    one = F.first(F.struct("n", "bands", "marks")).alias("of")  # the same in all rows of a digest
+    reps = stored(signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), one), "representatives")
+
+    placed = reps.select(F.explode("of.bands").alias("bucket"), F.col("rep").alias("id"))
+    shared = stored(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    rows = stored(placed.join(shared, "bucket"), "bands")
+    ids = stored(rows.groupBy("id").agg(F.sum("members").alias("weight")), "ids")
+    facts = ids.join(reps, F.col("id") == F.col("rep")).select("id", "weight", F.struct(F.col("of.n").alias("n"), F.col("of.marks").alias("marks")).alias("fact"))
+    whole = texts.join(sized(ids.select("id"), 500_000), "id", "left_semi").mapInArrow(_sets, "id long, digest binary, shingles array<long>")
+    sets = stored(whole.groupBy("id", "digest").agg(F.first("shingles").alias("shingles")), "sets")
+
+    stars = Stars(met, lambda pairs: similar(pairs, sets))
+    stars.run(stored(rows.drop("members").join(facts, "id").select("bucket", "id", "weight", "fact"), "placed"))
+    release(shared, rows, sets, ids)
+    named = reps.select("digest", "rep", "size")
+    if stars.groups is None:
+        named = named.withColumn("class_id", F.col("rep"))
     else:
-        named = reps.select("digest", "rep", "size").join(groups, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), "size")
-    totals = named.groupBy("class_id").agg(F.sum("size").alias("class_size"))
-    named = cut(named.join(totals, "class_id").select(F.col("digest").alias("_d"), "class_id", "class_size"))
+        named = named.join(stars.groups, F.col("rep") == F.col("id"), "left").withColumn("class_id", F.coalesce("class_id", "rep"))
+    named = stored(named.select(F.col("digest").alias("_d"), "class_id", "size"), "named")
+    totals = stored(named.groupBy("class_id").agg(F.sum("size").alias("class_size")), "totals")
+    named, former = stored(named.join(totals, "class_id").select("_d", "class_id", "class_size"), "named"), named
+    release(former, totals, stars.groups, reps, *stars.links)
+    known = F.col("id").isNotNull()
     joined = signed.select("id", "digest").join(named, F.col("digest") == F.col("_d"), "left")
-    return joined.select("id", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("id").isNotNull(), F.col("class_size")).alias("class_size"))
+    return joined.select("id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("class_size")).alias("class_size"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,5 +201,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the smallest id of each class; all columns stay as they are."""
-    gone = sized(cut(classes(docs, id_col, text_col).where("id <> class_id").select(F.col("id").alias("__gone")).distinct()), 500_000)
+    gone = sized(stored(classes(docs, id_col, text_col).where("id <> class_id").select(F.col("id").alias("__gone")).distinct(), "gone"), 500_000)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
