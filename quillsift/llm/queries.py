@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import chroma, exact_dedup, licenses, mixing, near_dedup, quality, secrets_scan, sentencepieces, url_filter, warc
+from quillsift.llm import chroma, exact_dedup, licenses, merkle, mixing, near_dedup, product_codes, quality, secrets_scan, sentencepieces, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.query,
         "op9_warc": warc.query,
         "op10_chroma": chroma.query,
+        "op12_product_codes": product_codes.query,
+        "op13_merkle": merkle.query,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
         "op9_warc": warc.ORACLE,
+        "op12_product_codes": product_codes.ORACLE,
+        "op13_merkle": merkle.ORACLE,
     }
