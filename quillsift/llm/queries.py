@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import chroma, exact_dedup, licenses, merkle, mixing, near_dedup, product_codes, quality, secrets_scan, sentencepieces, url_filter, warc
+from quillsift.llm import chroma, exact_dedup, licenses, merkle, mixing, near_dedup, product_codes, quality, secrets_scan, sentencepieces, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.query,
         "op9_warc": warc.query,
         "op10_chroma": chroma.query,
+        "op11_suffix_dedup": suffix_dedup.query,
         "op12_product_codes": product_codes.query,
         "op13_merkle": merkle.query,
     }
