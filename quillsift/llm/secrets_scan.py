@@ -13,7 +13,7 @@ and keys of documentation. Pattern spans are never suppressed.
 
 Null text is empty and has no spans. Spans that start together are ordered by kind. Repeated rows each get their row;
 only the id and text columns are read, under names of their own; an empty table gives an empty result. Matches of a row
-are laid out as rows for the offsets, so long texts cost in proportion.
+are laid out as rows for the offsets, characters of a candidate as an array, so long texts and candidates cost in proportion.
 """
 
 from __future__ import annotations
@@ -33,11 +33,16 @@ WINDOW = 20
 #: Least bits per character by class of the whole candidate, the first that fits; 4.32 is the most that a window of 20 can have.
 BITS = [("[0-9]+", 3.2), ("[0-9a-f]+|[0-9A-F]+", 3.0), ("[a-z]+|[A-Z]+", 3.7), ("[A-Za-z]+", 4.0), (".*", 3.8)]
 UUID = "(?i)(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])"
-#: Whole candidates that are no secrets.
-ALLOWED = [
-    "([A-Z]?[a-z]{1,15}|[A-Z]{1,15}|[vV]?[0-9]{1,8})([/_+-]+([A-Z]?[a-z]{1,15}|[A-Z]{1,15}|[vV]?[0-9]{1,8}))*[/_+-]*",
-    "[A-Za-z0-9+/]{1,33}EXAMPLE(KEY)?",
-]
+#: Whole candidates that are no secrets: words and numbers joined by marks, and keys of documentation.
+JOINED, WORD = "[/_+-]+", "[A-Z]?[a-z]{1,15}|[A-Z]{1,15}|[vV]?[0-9]{1,8}"
+DOCUMENTED = "[A-Za-z0-9+/]{1,33}EXAMPLE(KEY)?"
+
+
+def allowed(candidate: Column) -> Column:
+    """Tested word by word: a pattern that repeats a group would recurse once per word."""
+    words = F.split(candidate, JOINED, -1)  # marks may stand at the end, not at the beginning
+    named = F.forall(words, lambda w: w.rlike(f"^({WORD})$") | (w == "")) & (F.get(words, F.lit(0)) != "")
+    return named | candidate.rlike(f"^({DOCUMENTED})$")
 
 
 def _matches(text: Column, kind: int, pattern: str, found_at: Column, ok) -> Column:
@@ -63,18 +68,22 @@ def _blanked(text: Column, kind: int, pattern: str, found_at: Column, least: int
 
 def _stretches(s: Column, least: Column) -> Column:
     """(start, end) in s of the runs of windows of WINDOW characters whose entropy is at least `least`."""
+    return _let(F.transform(F.split(s, ""), F.ascii), lambda codes: _over(codes, F.length(s), least))
+
+
+def _over(codes: Column, size: Column, least: Column) -> Column:
+    """_stretches of character codes, each of which is met twice: as it enters the window and as it leaves."""
     counts = lambda state, c: F.ascii(F.substring(state["counts"], c + 1, F.lit(1)).cast("string"))
-    code = lambda i: F.ascii(F.substring(s, i, F.lit(1)))
+    code = lambda i: F.get(codes, i - 1)
     term = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
     byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
 
     def changed(state: Column, c: Column, by: int) -> Column:
         """The state after one character more or less of code c."""
-        now = counts(state, c)
-        return F.struct(
+        return _let(counts(state, c), lambda now: F.struct(
             F.overlay(state["counts"], byte(now + by), c + 1, F.lit(1)).alias("counts"), (state["total"] + term(now + by) - term(now)).alias("total"),
             state["start"].alias("start"), state["end"].alias("end"), state["done"].alias("done"),
-        )
+        ))
 
     def judged(state: Column, i: Column) -> Column:
         """The state with the window that ends after i characters added to its stretch, if it reaches the threshold."""
@@ -94,7 +103,7 @@ def _stretches(s: Column, least: Column) -> Column:
     kind = "struct<counts:binary,total:double,start:int,end:int,done:array<struct<start:int,end:int>>>"
     start = F.struct(F.unhex(F.lit("00" * 128)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("start"), F.lit(-1).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("done")).cast(kind)
     last = lambda x: F.when(x["end"] > 0, F.concat(x["done"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))).otherwise(x["done"])
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, lambda state, i: step(state, i).cast(kind), last)
+    return F.aggregate(F.sequence(F.lit(1), size), start, lambda state, i: step(state, i).cast(kind), last)
 
 
 def _let(value: Column, use) -> Column:
@@ -123,10 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = F.lit(None).cast("double")
     for p, bits in reversed(BITS):
         least = F.when(whole(p), bits).otherwise(least)
-    allowed = whole(ALLOWED[0])
-    for p in ALLOWED[1:]:
-        allowed = allowed | whole(p)
-    hot = F.when(~allowed, _stretches(F.col("candidate"), least))
+    hot = F.when(~allowed(F.col("candidate")), _stretches(F.col("candidate"), least))
     own = F.when(F.col("valid") & (F.col("kind") < 3), F.array(F.struct("start", "kind", "end")))
     more = F.transform(hot, lambda h: F.struct((F.col("start") + h["start"]).alias("start"), F.lit(3).alias("kind"), (F.col("start") + h["end"]).alias("end")))
     rows = rows.withColumn("spans", F.when(F.col("kind") < 3, own).otherwise(F.when(F.col("kind") == 3, more)))
