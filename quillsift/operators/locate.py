@@ -1,78 +1,215 @@
-"""Finding a quote in a text: exact, then with blanks and case normalised, then by lines that share most words."""
+"""Finding quotes in texts: exact, then with blanks and case normalised, then by lines that share most words.
+
+The first two go by runs of words. A document's words stand in an array with their places; a rolling hash gives each run of
+n words its number, quotes of n words look theirs up among all runs of that length, and the places found are compared
+character by character. As many lengths as quotes have are tried, at most about the root of twice the words of all quotes. No
+pattern is made of a quote.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions.text import jaccard, plain_tokens, stripped
+from quillsift.operators.beside import beside
 
 LEAST_LENGTH, FUZZY = 4, 0.6
-
-
-def exact(text: Column, quote: Column, low: Column | None = None, high: Column | None = None) -> Column:
-    """Place of the quote within [low, high); null if it isn't there."""
-    low = F.lit(0) if low is None else low
-    at = F.call_function("locate", quote, text, low + 1) - 1
-    fits = at + F.length(quote) <= (F.length(text) if high is None else high)
-    return F.when((at >= 0) & fits & (quote != ""), at)
-
-
-def normalised_span(text: Column, quote: Column) -> Column:
-    """(start, end) of the first place where the quote stands but for blanks and case; null if there is none."""
-    parts = F.filter(F.split(stripped(quote), r"\s+"), lambda w: w != "")
-    quoted = F.transform(parts, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    pattern = F.concat(F.lit("(?iu)"), F.array_join(quoted, r"\s+"))
-    found = F.call_function("regexp_substr", text, pattern)
-    start = F.call_function("locate", found, text) - 1
-    return F.when((F.size(parts) > 0) & found.isNotNull(), F.struct(start.alias("start"), (start + F.length(found)).alias("end")))
-
-
-def unique_short(text: Column, quote: Column) -> Column:
-    """Start of a quote of fewer than four characters that stands alone in just one place."""
-    pattern = F.concat(F.lit(r"(?iu)(?<![\w+#])\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\w+#])"))
-    found = F.call_function("regexp_extract_all", text, pattern, F.lit(0))
-    head = F.get(F.call_function("split", text, pattern), F.lit(0))
-    return F.when((quote != "") & (F.size(found) == 1), F.length(head))
+MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+def folded(t: str) -> str:
+    """Lower case, each character by one."""
+    low = t.lower().replace("ς", "σ")
+    return low if len(low) == len(t) and "Σ" not in t else "".join(x if len(x := c.lower()) == 1 else c for c in t).replace("ς", "σ")
+
+
+class Words:
+    """The words of a text: where they stand, and the hashes of their runs."""
+
+    def __init__(self, text: str) -> None:
+        self.text, low = text, folded(text)
+        self.low = low
+        self.words = low.split()
+        self.starts, at = [], 0
+        for w in self.words:
+            at = low.index(w, at)
+            self.starts.append(at)
+            at += len(w)
+        self.joined = " ".join(self.words)
+        self.begins = np.cumsum([0, *(len(w) + 1 for w in self.words)]).tolist()  # in joined
+        h, k = np.array([hash(w) & (1 << 64) - 1 for w in self.words], np.uint64), np.uint64(MULTIPLIER)
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.append(np.uint64(1), np.full(len(h), k)))
+            self.sums = np.append(np.uint64(0), np.cumsum(h * self.powers[:-1]))
+
+    def runs(self, n: int) -> np.ndarray:
+        """For each place a number that all equal runs of n words have; what runs differ in is compared later."""
+        with np.errstate(over="ignore"):
+            return (self.sums[n:] - self.sums[: len(self.sums) - n]) * self.powers[len(self.words) - n :: -1][: len(self.sums) - n]
+
+    def span(self, at: int, size: int) -> tuple[int, int]:
+        """Where the characters [at, at + size) of joined stand in the text; they start and end within words."""
+        i, j = bisect_left(self.begins, at + 1) - 1, bisect_left(self.begins, at + size) - 1
+        return self.starts[i] + at - self.begins[i], self.starts[j] + at + size - self.begins[j]
+
+    def loose(self, quote: str, low: int, high: int, first: Iterator[int]) -> tuple[int, int] | None:
+        """First place but for blanks and case within [low, high); first: where the quote may start in joined, ascending."""
+        for at in first:
+            start, end = self.span(at, len(quote))
+            if start >= low:
+                return (start, end) if end <= high else None
+        return None
+
+    def places(self, asked: list[tuple[str, ...]]) -> dict[tuple[str, ...], np.ndarray]:
+        """For quotes of three and more words the places (word numbers) of the run between their first and last word."""
+        by_size: dict[int, list[tuple[str, ...]]] = {}
+        for words in asked:
+            if len(words) <= len(self.words):
+                by_size.setdefault(len(words) - 2, []).append(words)
+        out = {}
+        for n, group in by_size.items():
+            runs = self.runs(n)
+            order = np.argsort(runs, kind="stable")
+            ranked = runs[order]
+            with np.errstate(over="ignore"):
+                inner = np.array([[hash(w) & (1 << 64) - 1 for w in words[1:-1]] for words in group], np.uint64)
+                want = (inner * self.powers[:n]).sum(1, dtype=np.uint64) * self.powers[len(self.words) - n]
+            for words, a, b in zip(group, np.searchsorted(ranked, want, "left"), np.searchsorted(ranked, want, "right"), strict=True):
+                out[words] = order[a:b]
+        return out
+
+    def starting(self, words: tuple[str, ...], inner: dict[tuple[str, ...], np.ndarray]) -> Iterator[int]:
+        """Where a normalised quote starts in joined; its first word may be the end of a longer one, its last word the beginning."""
+        quote = " ".join(words)
+        if len(words) < 3:
+            at = self.joined.find(quote) if quote else -1
+            while at >= 0:
+                yield at
+                at = self.joined.find(quote, at + 1)
+            return
+        for i in inner.get(words, ()):
+            at = self.begins[i] - 1 - len(words[0])
+            if i > 0 and at >= self.begins[i - 1] and self.joined.startswith(quote, at):
+                yield at
+
+
+def unique_short(words: Words, quote: str, low: int, high: int) -> tuple[int, int] | None:
+    """A quote of fewer than four characters that stands alone in just one place."""
+    part = lambda k: 0 <= k < len(words.text) and (words.text[k].isalnum() or words.text[k] in "_+#")
+    quote, found, at = folded(quote), [], -1
+    while len(found) < 2 and (at := words.low.find(quote, max(low, at + 1), high)) >= 0:
+        if not part(at - 1) and not part(at + len(quote)):
+            found.append(at)
+    return (found[0], found[0] + len(quote)) if len(found) == 1 else None
+
+
+STRATEGIES = ("exact", "normalised", "unique-short")
+HIT = ("struct<start:int,end:int,score:double,strategy:string>", pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("strategy", pa.string())]))
+
+
+def placed(quotes: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """quotes (document_id, quote, ...) with hit (start, end, score, strategy), null where the quote isn't found.
+
+    Quotes may have a window (low, high) in which they are sought; null is the whole text. Blanks at a quote's ends
+    don't count; one without anything else, or null, isn't found. Quotes of fewer than LEAST_LENGTH characters must stand alone.
+    """
+    windowed = "low" in quotes.columns
+
+    def work(text: str | None, rows: list[dict]) -> list[tuple]:
+        if text is None:
+            return [(None,)] * len(rows)
+        words = Words(text)
+        asked = [(r["quote"] or "").strip() for r in rows]
+        split = [tuple(folded(q).split()) for q in asked]
+        inner = words.places([*{s for s in split if len(s) > 2}])
+        out = []
+        for r, quote, parts in zip(rows, asked, split, strict=True):
+            low, high = (max(0, r["low"] or 0), len(text) if r["high"] is None else min(r["high"], len(text))) if windowed else (0, len(text))
+            hit = None
+            if not quote:
+                pass
+            elif len(quote) < LEAST_LENGTH and "unique-short" in strategies:
+                if span := unique_short(words, quote, low, high):
+                    hit = (*span, 0.9, "unique-short")
+            else:
+                at = -1
+                if "exact" in strategies:
+                    if len(parts) < 3:
+                        at = text.find(quote, low, high)
+                    else:
+                        starts = (words.span(k, len(" ".join(parts)))[0] for k in words.starting(parts, inner))
+                        at = next((s for s in starts if s >= low and s + len(quote) <= high and text.startswith(quote, s)), -1)
+                if at >= 0:
+                    hit = (at, at + len(quote), 1.0, "exact")
+                elif "normalised" in strategies and len(" ".join(parts)) >= (LEAST_LENGTH if "unique-short" in strategies else 1):
+                    if span := words.loose(" ".join(parts), low, high, words.starting(parts, inner)):
+                        hit = (*span, 0.95, "normalised")
+            out.append((hit and dict(zip(("start", "end", "score", "strategy"), hit, strict=True)),))
+        return out
+
+    return beside(quotes, docs, ["quote", *(["low", "high"] if windowed else [])], work, {"hit": HIT})
+
+
+def _by_rarity(lines: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(document_id, line_no, t) and (document_id, quote_id, q): different words, the rarest of the document first.
+
+    Before each word stands the number of the document's lines that have it. Everything follows from one shuffle by document.
+    """
+    name = F.struct("quote_id")
+    none = F.lit(None).cast(quotes.select(name).schema[0].dataType)
+    rows = lines.select("document_id", "line_no", none.alias("id"), F.array_distinct(plain_tokens(F.col("line"))).alias("t"))
+    rows = rows.unionByName(quotes.select("document_id", F.lit(None).cast(lines.schema["line_no"].dataType).alias("line_no"), name.alias("id"), F.array_distinct(plain_tokens(F.col("quote"))).alias("t")))
+    each = rows.select("document_id", "line_no", "id", F.explode("t").alias("w")).repartition("document_id")
+    each = each.withColumn("n", F.count("line_no").over(Window.partitionBy("document_id", "w")))
+    ranked = F.concat(F.lpad(F.col("n").cast("string"), 10, "0"), "w")
+    sets = each.groupBy("document_id", "line_no", "id").agg(F.sort_array(F.collect_list(ranked)).alias("t"))
+    return sets.where("id IS NULL").drop("id"), sets.where("id IS NOT NULL").select("document_id", F.col("id.quote_id").alias("quote_id"), F.col("t").alias("q"))
 
 
 def fuzzy(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     """Best of single lines and pairs of neighbouring lines by shared words, at least FUZZY.
 
     quotes: (document_id, quote_id, quote); lines: (document_id, line_no, start, end, line). The first best wins, a line
-    before the pair that it begins. Lines meet a quote by a shared word first, so no quote is compared with all lines.
-    Quotes may have a window (low, high) that their lines must lie in; null is the whole text.
+    before the pair that it begins. Quotes may have a window (low, high) that their lines must lie in; null is the whole text.
+
+    A join of similar sets: words are ordered by rarity within the document, and two sets that are alike enough share one of
+    the first n - ceil(FUZZY * n) + 1 of each. So only those are joined, sizes are compared, and a pair counts at the
+    first word that it shares there.
     """
     order = Window.partitionBy("document_id").orderBy("line_no")
-    full = lines.where(stripped(F.col("line")) != "")
-    full = full.withColumns({"next_end": F.lead("end").over(order), "next_line": F.lead("line").over(order)})
-    single = full.select("document_id", "line_no", F.lit(0).alias("pair"), "start", "end", plain_tokens(F.col("line")).alias("t"))
-    double = full.where("next_end IS NOT NULL").select("document_id", "line_no", F.lit(1).alias("pair"), "start", F.col("next_end").alias("end"), plain_tokens(F.concat_ws(" ", "line", "next_line")).alias("t"))
-    windows = single.unionByName(double).withColumn("t", F.array_distinct("t"))
-    q = quotes.withColumn("q", F.array_distinct(plain_tokens(F.col("quote")))).where(F.size("q") > 0)
-    wanted = q.select("document_id", "quote_id", F.explode("q").alias("w"))
-    met = windows.select("document_id", "line_no", "pair", F.explode("t").alias("w")).join(wanted, ["document_id", "w"]).select("document_id", "quote_id", "line_no", "pair").distinct()
-    inside = (F.col("start") >= F.coalesce("low", F.lit(0))) & (F.col("end") <= F.coalesce("high", F.col("end"))) if "low" in quotes.columns else F.lit(True)
-    scored = met.join(windows, ["document_id", "line_no", "pair"]).join(q, ["document_id", "quote_id"]).where(inside).withColumn("score", jaccard(F.col("q"), F.col("t"))).where(F.col("score") >= FUZZY)
-    best = Window.partitionBy("document_id", "quote_id").orderBy(F.desc("score"), "line_no", "pair")
-    return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("document_id", "quote_id", "start", "end", "score")
+    full = lines.where(stripped(F.col("line")) != "").withColumn("next_end", F.lead("end").over(order)).select("document_id", "line_no", "start", "end", "next_end", "line")
+    ranked, asked = _by_rarity(full, quotes)
+    none = F.array().cast("array<string>")
+    full = full.drop("line").join(ranked, ["document_id", "line_no"], "left").withColumn("t", F.coalesce("t", none)).withColumn("next", F.lead("t").over(order))
+    single = full.select("document_id", "line_no", F.lit(0).alias("pair"), "start", "end", "t")
+    double = full.where("next_end IS NOT NULL").select("document_id", "line_no", F.lit(1).alias("pair"), "start", F.col("next_end").alias("end"), F.sort_array(F.array_union("t", "next")).alias("t"))
+    prefix = lambda c: F.slice(c, F.lit(1), F.size(c) - F.ceil(F.lit(FUZZY) * F.size(c) - 1e-9).cast("int") + 1)
+    windows = single.unionByName(double).where(F.size("t") > 0).withColumn("ahead", prefix(F.col("t")))
+    kept = [c for c in ("low", "high") if c in quotes.columns]
+    asked = asked.join(quotes.select("document_id", "quote_id", *kept), ["document_id", "quote_id"]) if kept else asked
+    asked = asked.withColumn("q_ahead", prefix(F.col("q")))
+    inside = (F.col("start") >= F.coalesce("low", F.lit(0))) & (F.col("end") <= F.coalesce("high", F.col("end"))) if kept else F.lit(True)
+    met = windows.withColumn("w", F.explode("ahead")).join(asked.withColumn("w", F.explode("q_ahead")), ["document_id", "w"])
+    alike = (F.size("t") >= FUZZY * F.size("q") - 1e-9) & (F.size("q") >= FUZZY * F.size("t") - 1e-9)
+    first = F.get(F.array_intersect("ahead", "q_ahead"), F.lit(0)) == F.col("w")
+    scored = met.where(alike & inside & first).withColumn("score", jaccard(F.col("q"), F.col("t"))).where(F.col("score") >= FUZZY)
+    best = F.struct((-F.col("score")).alias("s"), "line_no", "pair", "start", "end")
+    return scored.groupBy("document_id", "quote_id").agg(F.min(best).alias("b")).select("document_id", "quote_id", "b.start", "b.end", (-F.col("b.s")).alias("score"))
 
 
 def located(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Cascade over (document_id, quote_id, quote): start, end, score and strategy; null where nothing is found."""
+    """Cascade over (document_id, quote_id, quote), perhaps with a window (low, high): start, end, score and strategy, null where
+    nothing is found. All quotes of a document, and what they are found as, at once."""
     from quillsift.operators.ingest import lines
 
-    text = docs.select("document_id", "text")
-    q = quotes.withColumn("quote", stripped(F.col("quote"))).join(text, "document_id")
-    short = F.length("quote") < LEAST_LENGTH
-    at, loose, alone = exact(F.col("text"), F.col("quote")), normalised_span(F.col("text"), F.col("quote")), unique_short(F.col("text"), F.col("quote"))
-    size = F.length("quote")
-    hit = (
-        F.when(short, F.when(alone.isNotNull(), F.struct(alone.alias("start"), (alone + size).alias("end"), F.lit(0.9).alias("score"), F.lit("unique-short").alias("strategy"))))
-        .when(at.isNotNull(), F.struct(at.alias("start"), (at + size).alias("end"), F.lit(1.0).alias("score"), F.lit("exact").alias("strategy")))
-        .when(loose.isNotNull(), F.struct(loose["start"].alias("start"), loose["end"].alias("end"), F.lit(0.95).alias("score"), F.lit("normalised").alias("strategy")))
-    )
-    q = q.withColumn("hit", hit)
-    rest = q.where(F.col("hit").isNull() & ~short).select("document_id", "quote_id", "quote")
-    near = fuzzy(rest, lines(docs, "document_id")).select("document_id", "quote_id", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score", F.lit("fuzzy").alias("strategy")).alias("near"))
-    return q.join(near, ["document_id", "quote_id"], "left").select("document_id", "quote_id", F.coalesce("hit", "near").alias("hit")).select("document_id", "quote_id", "hit.*")
+    found = placed(quotes, docs)
+    rest = found.where(F.col("hit").isNull() & (F.length(stripped(F.col("quote"))) >= LEAST_LENGTH))
+    near = fuzzy(rest.drop("hit"), lines(docs.select("document_id", "text"), "document_id"))
+    near = near.select("document_id", "quote_id", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score", F.lit("fuzzy").alias("strategy")).alias("near"))
+    return found.join(near, ["document_id", "quote_id"], "left").select("document_id", "quote_id", F.coalesce("hit", "near").alias("hit")).select("document_id", "quote_id", "hit.*")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.functions.text import dot, tokens
+from quillsift.functions.text import dot, let, tokens
+from quillsift.sources.shared import kept
 
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 20
 
@@ -24,19 +25,21 @@ def term_stats(units: DataFrame) -> DataFrame:
 def bm25(units: DataFrame, queries: DataFrame) -> DataFrame:
     """(corpus, query, unit, score) where a query (corpus, query, text) and a unit (corpus, unit, text) share a term.
 
-    Statistics are those of each corpus. Query terms that repeat count again. Only postings of query terms are shuffled.
+    Statistics are those of each corpus, of which there may be many (each document's own units, say). Queries without a
+    corpus are put to all of them. Query terms that repeat count again. Only postings of query terms are shuffled.
     """
+    on = ["corpus", "term"] if "corpus" in queries.columns else ["term"]
     sized = units.select("corpus", "unit", tokens(F.col("text")).alias("t"))
     totals = sized.groupBy("corpus").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length"))
-    asked = queries.select("corpus", "query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("corpus", "query", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("corpus", "term").distinct()
-    postings = sized.select("corpus", "unit", F.size("t").alias("length"), F.explode("t").alias("term")).join(terms, ["corpus", "term"], "left_semi")
+    asked = queries.select(*on[:-1], "query", F.explode(tokens(F.col("text"))).alias("term")).groupBy(*on, "query").agg(F.count("*").alias("times"))
+    terms = asked.select(*on).distinct()
+    postings = sized.select("corpus", "unit", F.size("t").alias("length"), F.explode("t").alias("term")).join(terms, on, "left_semi")
     postings = postings.groupBy("corpus", "term", "unit", "length").agg(F.count("*").alias("tf"))
     rare = postings.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(totals, "corpus")
     rare = rare.select("corpus", "term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf, scaled = F.col("tf"), F.col("length") / F.col("mean_length")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * scaled)) * F.col("times")
-    hits = postings.join(rare, ["corpus", "term"]).join(asked, ["corpus", "term"])
+    hits = postings.join(rare, ["corpus", "term"]).join(asked, on)
     return hits.groupBy("corpus", "query", "unit").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -49,41 +52,84 @@ def top(scores: DataFrame, k: int, *keys: str, tie: str = "unit", positive: bool
 def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """`v`: the vector in doubles at length 1; null for a zero vector, which is then similar to nothing."""
     v = F.transform(column, lambda x: x.cast("double"))
-    norm = F.sqrt(dot(v, v))
-    return vectors.withColumn("v", F.when(norm > 0, F.transform(v, lambda x: x / norm)))
+    at_one = lambda w: let(F.sqrt(dot(w, w)), lambda norm: F.when(norm > 0, F.transform(w, lambda x: x / norm)))
+    return vectors.withColumn("v", let(v, at_one))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2_000) -> DataFrame:
+def packed(vectors: DataFrame, name: str, rows: int) -> DataFrame:
+    """(size, names, numbers): up to `rows` vectors of one size (name long, v) side by side in a row, numbers as the bytes of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy()
+            for size in np.unique(sizes[sizes > 0]):
+                own = batch.filter(pa.array(sizes == size))
+                for at in range(0, own.num_rows, rows):
+                    part = own.slice(at, rows)
+                    matrix = part.column(1).flatten().to_numpy().astype(float)
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], ["size", "names", "numbers"])
+
+    return vectors.where("v IS NOT NULL").select(F.col(name).cast("long"), "v").mapInArrow(run, "size long, names array<long>, numbers binary")
+
+
+def _meet(k: int) -> Callable:
+    """(names, numbers, block, block_names, block_numbers, size) -> (query, unit, score): a task's k best of each query.
+
+    A block's k-th best scores run along: a chunk of vectors hands over only what reaches them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, queries, matrix = None, np.empty(0, np.int64), np.empty((0, 0))
+        best: tuple[np.ndarray, ...] = ()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(queries[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query", "unit", "score"])
+
+        for batch in batches:
+            for names, numbers, block, asked, theirs, size in zip(*(batch.column(c) for c in ("names", "numbers", "block", "block_names", "block_numbers", "size")), strict=True):
+                if block.as_py() != now:
+                    yield from done()
+                    now, queries, best = block.as_py(), asked.values.to_numpy(), ()
+                    matrix = np.frombuffer(theirs.as_buffer(), float).reshape(-1, size.as_py())
+                    least = np.full(len(queries), -np.inf)
+                units = names.values.to_numpy()
+                scores = np.round(matrix @ np.frombuffer(numbers.as_buffer(), float).reshape(-1, size.as_py()).T, 6) + 0.0
+                if scores.shape[1] > k:
+                    edge = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                else:
+                    edge = least
+                q, u = np.nonzero(scores >= edge[:, None])
+                rows = [q, units[u], scores[q, u]]
+                if best:
+                    rows = [np.concatenate(x) for x in zip(best, rows, strict=True)]
+                order = np.lexsort((rows[1], -rows[2], rows[0]))
+                q = rows[0][order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                order = order[place < k]
+                best = tuple(x[order] for x in rows)
+                full = best[0][np.flatnonzero(np.arange(len(order)) - np.searchsorted(best[0], best[0]) == k - 1)]
+                least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+        yield from done()
+
+    return run
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2_000, chunk: int = 2_000, spread: int = 8) -> DataFrame:
     """(query, unit, score, rank): the k most similar of all (unit, v) for each of a stated query set (query, v).
 
-    Queries go out in blocks of bounded size; every batch of vectors is multiplied with a block and hands on its own k
-    best, so what is shuffled is k rows per query and batch. Equal scores (6 places) are ordered by unit.
+    Exact. Queries and vectors are packed, so many to a row. Each chunk of vectors goes to every block of queries of its
+    size (an equi-join on block and slice: a block stands in `spread` slices, so that its chunks aren't one task's), where one
+    product of matrices gives all scores; what is shuffled afterwards is k rows per query and task. Equal scores (6 places)
+    are ordered by unit.
     """
-    asked = queries.where("v IS NOT NULL")
-    blocks = max(1, -(-asked.count() // block))
-    out = None
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "v").collect()
-        names, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-
-        def run(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                units = batch.column(0).to_numpy()
-                scores = np.round(matrix @ np.array(batch.column(1).to_pylist(), float).T, 6) + 0.0
-                q, u = [], []
-                for i, row in enumerate(scores):
-                    at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    at = at[np.lexsort((units[at], -row[at]))][:k]
-                    q.append(np.full(len(at), i))
-                    u.append(at)
-                q, u = np.concatenate(q), np.concatenate(u)
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(units[u]), pa.array(scores[q, u])], ["query", "unit", "score"])
-
-        size = matrix.shape[1] if len(matrix) else 0
-        part = vectors.where("v IS NOT NULL").where(F.size("v") == size).select(F.col("unit").cast("long"), "v").mapInArrow(run, "query long, unit long, score double")
-        out = part if out is None else out.unionByName(part)
+    blocks = packed(queries, "query", block).select("size", F.col("names").alias("block_names"), F.col("numbers").alias("block_numbers"))
+    blocks = kept(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    wide = kept(blocks.groupBy("size").agg(F.collect_list("block").alias("blocks")), "sizes")  # a number for each block
+    chunks = packed(vectors, "unit", chunk).join(F.broadcast(wide), "size").withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(spread)))
+    chunks = chunks.select("size", "names", "numbers", "slice", F.explode("blocks").alias("block"))
+    met = chunks.join(blocks.drop("size").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>"))), ["block", "slice"])
+    out = met.select("names", "numbers", "block", "block_names", "block_numbers", "size").mapInArrow(_meet(k), "query long, unit long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "unit")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

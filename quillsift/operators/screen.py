@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.functions.text import let, stripped
+from quillsift.functions.text import stripped
 from quillsift.operators import ingest, locate, pii, resume, risks, scoring, sections, spans
 from quillsift.operators.scoring import NAMES
 from quillsift.sources.shared import kept
@@ -14,47 +14,27 @@ INFERRED, TOP_K = 0.3, 4
 LEVELS = ("high", "medium", "low")
 
 
-def _place(text: Column, quote: Column, low: Column | None, high: Column | None) -> Column:
-    """(start, end, score) of a quote within a window (the whole text without one): alone if short, exact, or but for blanks and case."""
-    if low is None:
-        window, shift = text, F.lit(0)
-    else:
-        window, shift = F.substring(text, low + 1, high - low), low
-    found = lambda start, end, score: F.struct((start + shift).alias("start"), (end + shift).alias("end"), F.lit(score).alias("score"))
-
-    def sought(q: Column) -> Column:
-        short, at, loose = locate.unique_short(window, q), locate.exact(window, q), locate.normalised_span(window, q)
-        few = F.when(short.isNotNull(), found(short, short + F.length(q), 0.9))
-        many = F.when(at.isNotNull(), found(at, at + F.length(q), 1.0)).when(loose.isNotNull(), found(loose["start"], loose["end"], 0.95))
-        return F.when(q == "", None).when(F.length(q) < locate.LEAST_LENGTH, few).otherwise(many)
-
-    return let(F.coalesce(stripped(quote), F.lit("")), sought)
-
-
 def cite(fields: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds start, end, confidence and grounded to fields (document_id, field_id, value, quote, low, high).
 
     Sought in turn: the quote in the field's window, the value there, the quote anywhere, the value anywhere; each exactly,
-    then loosely, then by lines that share most of its words. A field without a place is inferred, at confidence 0.3; one
-    without a window (null) is only sought anywhere.
+    then loosely, then by lines that share most of its words, which are looked for only where nothing before was found. A field
+    without a place is inferred, at confidence 0.3; one without a window (null) is only sought anywhere.
     """
-    rows = fields.join(docs.select(F.col("document_id").alias("_d"), F.col("text").alias("_t")), F.col("document_id") == F.col("_d"), "left")
-    scoped = F.col("low").isNotNull()
-    tries = [(F.when(scoped, F.col("quote")), True), (F.when(scoped, F.col("value")), True), (F.col("quote"), False), (F.col("value"), False)]
-    for k, (quote, within) in enumerate(tries):
-        window = (F.col("low"), F.col("high")) if within else (None, None)
-        earlier = F.coalesce(*(F.col(f"_at{j}") for j in range(k)), F.lit(None)) if k else F.lit(None)
-        rows = rows.withColumn(f"_at{k}", F.when(F.lit(k == 0) | earlier.isNull(), _place(F.col("_t"), quote, *window)))
-    kind = "array<struct<try:int,quote:string,low:int,high:int>>"
-    todo = [F.when(F.coalesce(*(F.col(f"_at{j}") for j in range(k + 1))).isNull(), F.struct(F.lit(k).alias("try"), stripped(q).alias("quote"), F.when(F.lit(w), F.col("low")).alias("low"), F.when(F.lit(w), F.col("high")).alias("high"))) for k, (q, w) in enumerate(tries)]
-    sought = rows.select("document_id", "field_id", F.explode(F.array_compact(F.array(*todo)).cast(kind)).alias("x")).select("document_id", F.struct("field_id", "x.try").alias("quote_id"), "x.quote", "x.low", "x.high")
-    sought = sought.where(F.length("quote") >= locate.LEAST_LENGTH)
-    near = locate.fuzzy(sought, ingest.lines(docs, "document_id"))
-    near = near.groupBy("document_id", F.col("quote_id.field_id").alias("field_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("quote_id.try"), F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score")))).alias("_near"))
-    rows = rows.join(near, ["document_id", "field_id"], "left")
-    best = F.coalesce(*(x for k in range(len(tries)) for x in (F.col(f"_at{k}"), F.try_element_at("_near", F.lit(k)))))
-    found = rows.withColumn("_best", best)
-    return found.select(*fields.columns, F.col("_best.start").alias("start"), F.col("_best.end").alias("end"), F.coalesce("_best.score", F.lit(INFERRED)).alias("confidence"), F.col("_best").isNotNull().alias("grounded"))
+    tries = [("quote", True), ("value", True), ("quote", False), ("value", False)]
+    each = [F.struct(F.lit(k).alias("try"), stripped(F.col(c)).alias("quote"), F.when(F.lit(w), F.col("low")).alias("low"), F.when(F.lit(w), F.col("high")).alias("high"), F.lit(w).alias("within")) for k, (c, w) in enumerate(tries)]
+    asked = fields.select("document_id", "field_id", F.explode(F.filter(F.array(*each), lambda x: (x["quote"] != "") & (~x["within"] | x["low"].isNotNull()))).alias("x"))
+    found = kept(locate.placed(asked.select("document_id", F.struct("field_id", "x.try").alias("quote_id"), "x.quote", "x.low", "x.high"), docs), "quotes")
+    first = Window.partitionBy("document_id", "quote_id.field_id")
+    left = found.withColumn("_hit", F.min(F.when(F.col("hit").isNotNull(), F.col("quote_id.try"))).over(first)).where(F.col("_hit").isNull() | (F.col("quote_id.try") < F.col("_hit")))
+    left = left.where(F.length("quote") >= locate.LEAST_LENGTH).select("document_id", "quote_id", "quote", "low", "high")
+    near = locate.fuzzy(left, ingest.lines(docs.select("document_id", "text"), "document_id"))
+    place = lambda start, end, score: F.struct("quote_id.try", F.col(start).cast("int").alias("start"), F.col(end).cast("int").alias("end"), F.col(score).alias("score"))
+    hits = found.where("hit IS NOT NULL").select("document_id", F.col("quote_id.field_id").alias("field_id"), place("hit.start", "hit.end", "hit.score").alias("b"))
+    best = hits.unionByName(near.select("document_id", F.col("quote_id.field_id").alias("field_id"), place("start", "end", "score").alias("b")))
+    best = best.groupBy("document_id", "field_id").agg(F.min_by("b", "b.try").alias("_best"))  # a try has one place at most
+    rows = fields.join(best, ["document_id", "field_id"], "left")
+    return rows.select(*fields.columns, F.col("_best.start").alias("start"), F.col("_best.end").alias("end"), F.coalesce("_best.score", F.lit(INFERRED)).alias("confidence"), F.col("_best").isNotNull().alias("grounded"))
 
 
 def assembled(cited: DataFrame, key_fields: dict[str, str]) -> DataFrame:

@@ -70,9 +70,7 @@ def segments(spans: DataFrame, lengths: DataFrame) -> DataFrame:
 def verify(citations: DataFrame, docs: DataFrame) -> DataFrame:
     """Citations (document_id, start, end, quote) with `valid`: within the text, and the quote stands for what is there."""
     from quillsift.functions.text import same_text
+    from quillsift.operators.beside import passages
 
-    text = docs.select(F.col("document_id").alias("_d"), F.col("text").alias("_t"))
-    there = F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start"))
-    joined = citations.join(text, F.col("document_id") == F.col("_d"), "left")
-    ok = (F.col("end") <= F.length("_t")) & same_text(F.col("quote"), there)
-    return joined.withColumn("valid", F.coalesce(ok, F.lit(False))).drop("_d", "_t")
+    found = passages(citations, docs, "_there")
+    return found.withColumn("valid", F.coalesce(same_text(F.col("quote"), F.col("_there")), F.lit(False))).drop("_there")

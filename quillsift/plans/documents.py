@@ -171,16 +171,16 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("locate_exact", QUOTE_SQL + "SELECT document_id, quote_id, strpos(text, exact) - 1 AS start FROM q JOIN t USING (document_id)")
 def locate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = quotes(spark, sf_dir).join(docs(spark, sf_dir), "document_id")
-    return got.select("document_id", "quote_id", locate.exact(F.col("text"), F.col("exact")).cast("long").alias("start"))
+    got = locate.placed(quotes(spark, sf_dir).withColumnRenamed("exact", "quote"), docs(spark, sf_dir), ("exact",))
+    return got.select("document_id", "quote_id", F.col("hit.start").cast("long").alias("start"))
 
 
 @query("locate_normalised")
 def locate_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes in capitals with doubled blanks; tested against plain Python, as SQL has no offsets of loose matches."""
-    got = quotes(spark, sf_dir).join(docs(spark, sf_dir), "document_id")
     loose = F.upper(F.replace(F.col("exact"), F.lit(" "), F.lit("  ")))
-    return got.select("document_id", "quote_id", locate.normalised_span(F.col("text"), loose)["start"].cast("long").alias("start"))
+    got = locate.placed(quotes(spark, sf_dir).select("document_id", "quote_id", loose.alias("quote")), docs(spark, sf_dir), ("normalised",))
+    return got.select("document_id", "quote_id", F.col("hit.start").cast("long").alias("start"))
 
 
 FUZZY_SQL = LINES_SQL + r""",

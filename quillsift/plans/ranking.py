@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.text import STOPWORDS
 from quillsift.operators import embed, retrieve
-from quillsift.plans.registry import query, table
+from quillsift.plans.registry import query, spread, table
 
 K = 5
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -18,8 +18,8 @@ def sql_tokens(text: str) -> str:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as units; each language is a corpus."""
-    return table(spark, sf_dir, "documents").select(F.lit(0).alias("corpus"), F.col("doc_id").alias("unit"), "text")
+    """Documents as units of one corpus."""
+    return spread(table(spark, sf_dir, "documents")).select(F.lit(0).alias("corpus"), F.col("doc_id").alias("unit"), "text")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def rrf_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by hashed words and n-grams; no SQL has the hash, tests compare with plain Python."""
-    return embed.hashing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return embed.hashing(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("hashing_embed")
@@ -130,7 +130,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, q = units(spark, sf_dir), jobs(spark, sf_dir)
     one = retrieve.top(retrieve.bm25(u, q).drop("corpus"), retrieve.POOL, "query")
     asked = embed.hashing(q.select(F.col("query").alias("id"), "text"))
-    vectors = retrieve.unit_vectors(embedded(spark, sf_dir)).select(F.col("id").alias("unit"), "v")
-    two = retrieve.dense(vectors, retrieve.unit_vectors(asked).select(F.col("id").alias("query"), "v"), retrieve.POOL)
+    some = F.exists("v", lambda x: x != 0)  # vectors have length 1, or no tokens
+    vectors = embedded(spark, sf_dir).select(F.col("id").alias("unit"), F.col("embedding").alias("v")).where(some)
+    two = retrieve.dense(vectors, asked.select(F.col("id").alias("query"), F.col("embedding").alias("v")).where(some), retrieve.POOL)
     got = retrieve.fuse(one, retrieve.top(two.drop("rank"), retrieve.POOL, "query"), K, "query")
     return got.select("query", "unit", F.col("bm25_rank").cast("long"), F.col("dense_rank").cast("long"), "score", F.col("place").cast("long"), "found_by")
