@@ -42,13 +42,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def stored(df: DataFrame, what: str = "cut") -> DataFrame:
+def stored(df: DataFrame, what: str = "cut", codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder now, as Parquet, and go on from the written rows; its shuffle files go at once."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, what)
     before = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -32,21 +32,22 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import release, sized, sliced, small_batches, stored, table
 from quillsift.llm.suffixes import common_prefixes, suffix_array
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 STEP = 1 << 18
 #: Bytes of segments that are sorted together.
 SHARD = 1 << 20
-CROWD = 1000
+CROWD = 5000
 LAST = (1 << 63) - 1  # stands for a null id
-ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def keys(body: np.ndarray) -> np.ndarray:
     """The key of each window of some bytes."""
     h, n = body.astype(np.uint64), 1
-    while n < GRAM:
-        h = h[:-n] * ODD[n.bit_length() - 1] + h[n:]
-        n *= 2
+    while n < GRAM:  # twice as many bytes each time, overlapping in the last step
+        more = min(n, GRAM - n)
+        h = h[:-more] * ODD[n.bit_length() - 1] + h[more:]
+        n += more
     h ^= h >> np.uint64(32)
     h *= ODD[0]
     h ^= h >> np.uint64(29)
@@ -203,7 +204,7 @@ def repeats(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     copies = stored(hashed.join(firsts, "whole").where(f"doc > first AND n >= {LENGTH}").select("doc", "mark", "n").distinct(), "copies")
     release(hashed)
 
-    found = stored(texts.select("doc", "body").mapInArrow(_keys, "key long, doc long"), "keys")
+    found = stored(texts.select("doc", "body").mapInArrow(_keys, "key long, doc long"), "keys", "zstd")
     gone = sized(copies.select("doc").distinct(), 500_000)
     alone = found.join(gone, "doc", "left_anti")
     several = stored(alone.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key"), "several")
@@ -211,9 +212,9 @@ def repeats(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     release(found, several)
 
     cut = texts.join(wanted, "doc").select("doc", "mark", "body", "keys").mapInArrow(_segments, "key long, mold binary, doc long, mark long, at int, segment binary")
-    placed = stored(cut, "segments")
+    placed = stored(cut, "segments", "zstd")
     molds = placed.groupBy("mold").agg(F.min("doc").alias("doc"), F.min_by(F.struct("key", "segment"), "doc").alias("of"))
-    molds = stored(molds.select("mold", "doc", "of.key", "of.segment"), "molds")
+    molds = stored(molds.select("mold", "doc", "of.key", "of.segment"), "molds", "zstd")
     crowded = stored(molds.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
     small = sized(crowded)
     spans = "mold binary, start int, end int"
