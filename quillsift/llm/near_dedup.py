@@ -1,19 +1,21 @@
 """MinHash near-dedup with ProbMinHash signatures, banding and exact verification.
 
-1. Map tasks turn each whole text into its set of five-word shingles and a ProbMinHash signature: a shingle arrives at
-   random registers as a Poisson process with its weight as rate, a register keeps the shingle that arrived first, and an
-   element is given up once its next arrival is later than every register's (early termination). Two texts agree in a
-   register with the probability Jaccard of their weighted shingles. All weights are 1, whatever a shingle's count, so
-   that this is the Jaccard similarity of the sets, on which links are decided (5).
-2. Texts with the same set of shingles collapse to one representative before any bucket is made, by an aggregation.
-3. BANDS bands of ROWS registers each make buckets. At a similarity of 0.8 a pair shares none with probability 3e-6.
+1. Map tasks turn each whole text into its five-word shingles, weighted by their counts, and a ProbMinHash signature: a
+   shingle arrives at random registers as a Poisson process with its weight as rate, a register keeps the shingle that
+   arrived first, and an element is given up once its next arrival is later than every register's (early
+   termination). Two texts agree in a register with the probability Jaccard of their weighted shingles. A text that repeats
+   some shingles more than others has a second signature with all weights 1, for the Jaccard of the sets.
+2. Texts with the same shingles and counts collapse to one representative before any bucket is made, by an aggregation.
+3. BANDS bands of ROWS registers of each signature make buckets. A pair at 0.8 by either measure shares none with
+   probability 3e-6.
 4. Links in a bucket are found by stars (see Stars). The first hub of a bucket is its most central member, that shares
    most buckets with others; most copies are found by it, in as many comparisons as the buckets have members. Rounds
    with other hubs go on among members of different classes until each bucket is of one class. No bucket, group or
-   candidate is capped. A member and a hub are a candidate only if their shingles may be alike enough: each set is
-   marked in MARKS bits, a shingle flips one of them, so as many bits as differ in two sets' marks, so many shingles
-   differ at least. That is exact, and decided within the join.
-5. A pair is a link if the Jaccard similarity of its shingle sets, from the whole texts, is at least LEAST.
+   candidate is capped. Of two texts with one signature each, member and hub are a candidate only if their sets may be
+   alike enough: each set is marked in MARKS bits, a shingle flips one of them, so as many bits as differ in two sets'
+   marks, so many shingles differ at least. That is exact, and decided within the join.
+5. A pair is a link if the Jaccard similarity of its shingle sets, or the probability Jaccard of its weighted shingles, is
+   at least LEAST; both are worked out exactly, from the whole texts.
 
 Definitions: words are runs of letters, digits and characters beyond ASCII, lower-cased; a text of one to four words is
 one shingle; texts without words (null, empty, blank) form one class. class_id is the smallest id of the class,
@@ -81,6 +83,31 @@ def shingles(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(s, return_counts=True)
 
 
+def is_plain(counts: np.ndarray) -> bool:
+    return not len(counts) or bool((counts == counts[0]).all())
+
+
+def digest(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Of the shingles and their relative weights."""
+    return xxhash.xxh3_128_digest(hashes.tobytes() + (b"" if is_plain(counts) else counts.tobytes()))
+
+
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of shingles a with weights x and b with weights y: the sum over i in both of 1 / sum over j of max(x[j] / x[i], y[j] / y[i]).
+
+    Sorted by x / y, the maximum is the first ratio from i on and the second before it, so running sums give all of them.
+    """
+    every = np.union1d(a, b)
+    p, q = np.zeros(len(every)), np.zeros(len(every))
+    p[np.searchsorted(every, a)], q[np.searchsorted(every, b)] = x, y
+    with np.errstate(divide="ignore"):
+        order = np.argsort(p / q, kind="stable")
+    p, q = p[order], q[order]
+    above, below = np.cumsum(p[::-1])[::-1], np.cumsum(q) - q
+    both = (p > 0) & (q > 0)
+    return float((1 / (above[both] / p[both] + below[both] / q[both])).sum())
+
+
 def signatures(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
     """REGISTERS shingle hashes for each of `docs` texts; element e, of text owner[e], has hash hashes[e] and weight weights[e]."""
     first = np.full(docs * REGISTERS, np.inf)
@@ -104,28 +131,37 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, digest, n, bands, marks)."""
+    """(id, text) -> (id, digest, n, bands, marks, plain); plain: all shingles have one weight, so one signature says it all."""
     words = Words()
 
-    def done(ids: list, sets: list) -> pa.RecordBatch:
+    def done(ids: list, found: list) -> pa.RecordBatch:
+        sets, counts = [s for s, _ in found], [c for _, c in found]
         lengths = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), lengths)
-        sig = signatures(np.concatenate(sets), np.ones(len(owner)), owner, len(sets))
-        bands = np.zeros((len(sets), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+        plain = [is_plain(c) for c in counts]
+        again = [k for k, p in enumerate(plain) if not p]  # signed by weight too
+        own = np.concatenate([owner, *(np.full(lengths[k], len(sets) + j) for j, k in enumerate(again))])
+        weights = np.concatenate([np.ones(len(owner)), *(counts[k].astype(float) for k in again)])
+        sig = signatures(np.concatenate([*sets, *(sets[k] for k in again)]), weights, own, len(sets) + len(again))
+        bands = np.zeros((len(sig), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for r in range(ROWS):
             bands = mix(bands * ODD + sig[:, r::ROWS])
-        bands = [list(b) if n else [] for b, n in zip(bands.view(np.int64), lengths, strict=True)]
+        bands = bands.view(np.int64)
+        of = {k: np.union1d(bands[k], bands[len(sets) + j]) for j, k in enumerate(again)}
+        bands = [list(of.get(k, bands[k])) if n else [] for k, n in enumerate(lengths)]
         flips = np.bincount(owner * MARKS + ((np.concatenate(sets) >> np.uint64(40)) % np.uint64(MARKS)).astype(np.int64), minlength=len(sets) * MARKS)
         marks = np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), -1)
-        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*marks], pa.list_(pa.int64()))], ["id", "digest", "n", "bands", "marks"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array([*map(digest, sets, counts)], pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*marks], pa.list_(pa.int64())), pa.array(plain)],
+            ["id", "digest", "n", "bands", "marks", "plain"],
+        )
 
     for batch in sliced(batches):
         ids, sets, held = [], [], 0
         for i, t in zip(batch.column(0), batch.column(1), strict=True):
             ids.append(i.as_py())
-            sets.append(shingles(t.as_py(), words)[0])
-            held += len(sets[-1]) + 50
+            sets.append(shingles(t.as_py(), words))
+            held += len(sets[-1][0]) * (1 if is_plain(sets[-1][1]) else 2) + 50
             if held > BLOCK:
                 yield done(ids, sets)
                 ids, sets, held = [], [], 0
@@ -134,21 +170,42 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, digest, shingles)."""
+    """(id, text) -> (id, digest, shingles, counts); counts are null where all are alike."""
     words = Words()
     for batch in sliced(batches, 200):
-        sets = [shingles(t.as_py(), words)[0] for t in batch.column(1)]
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], ["id", "digest", "shingles"])
+        found = [shingles(t.as_py(), words) for t in batch.column(1)]
+        ends = np.concatenate([[0], np.cumsum([len(s) for s, _ in found])])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([s for s, _ in found]).view(np.int64)))
+        counts = pa.array([None if is_plain(c) else c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(*f) for f in found], pa.binary()), lists, counts], ["id", "digest", "shingles", "counts"])
+
+
+def _by_weight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, of_a, of_b, x, y) -> (a, b, similarity) of the pairs that are links by weight."""
+    for batch in sliced(batches, 200):
+        rows = []
+        for a, b, one, two, x, y in zip(*(batch.column(k) for k in range(6)), strict=True):
+            one, two = (v.values.to_numpy().view(np.uint64) for v in (one, two))
+            x, y = (v.values.to_numpy() if v.is_valid else np.ones(len(own)) for v, own in ((x, one), (y, two)))
+            rows.append((a.as_py(), b.as_py(), probability_jaccard(one, x, two, y)))
+        a, b, found = (np.array(c) for c in zip(*rows, strict=True))
+        near = found >= LEAST - 1e-9
+        yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near]), pa.array(found[near])], ["a", "b", "similarity"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) that are links; sets: (id, digest, shingles)."""
-    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    """(a, b, similarity) of the pairs (a, b) that are links; sets: (id, digest, shingles, counts)."""
+    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}"), F.col("counts").alias(n)) for c, n in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b") - both).alias("either"))
-    return stored(found.where(F.col("both") >= LEAST * F.col("either") - 1e-9).select("a", "b", (F.col("both") / F.col("either")).alias("similarity")), "links")
+    met_both = pairs.join(one, "a").join(two, "b").withColumn("both", both).withColumn("either", F.size("of_a") + F.size("of_b") - F.col("both"))
+    near = F.col("both") >= LEAST * F.col("either") - 1e-9
+    weighed = ~near & (F.col("x").isNotNull() | F.col("y").isNotNull())
+    kept = F.when(weighed, F.struct("of_a", "of_b", "x", "y"))
+    judged = stored(met_both.where(near | weighed).select("a", "b", (F.col("both") / F.col("either")).alias("similarity"), kept.alias("w")), "judged")
+    more = judged.where("w IS NOT NULL").select("a", "b", "w.*").mapInArrow(_by_weight, "a long, b long, similarity double")
+    links = stored(judged.where("w IS NULL").drop("w").unionByName(more), "links")
+    release(judged)
+    return links
 
 
 def met(joined: DataFrame) -> DataFrame:
@@ -157,7 +214,7 @@ def met(joined: DataFrame) -> DataFrame:
     apart = reduce(Column.__add__, [F.bit_count(one["marks"][k].bitwiseXOR(two["marks"][k])) for k in range(MARKS // 64)])
     total = one["n"] + two["n"]
     most = F.least((total - apart) / 2, one["n"], two["n"])
-    fits = joined.where(most * (1 + LEAST) >= LEAST * total - 1e-6)
+    fits = joined.where(~one["plain"] | ~two["plain"] | (most * (1 + LEAST) >= LEAST * total - 1e-6))
     return fits.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
 
 
@@ -165,17 +222,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of docs: id, class_id, class_size (rows); links between copies of one text aren't expanded."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>, marks array<long>"), "signatures")
-    one = F.first(F.struct("n", "bands", "marks")).alias("of")  # the same in all rows of a digest
+    signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>, marks array<long>, plain boolean"), "signatures")
+    one = F.first(F.struct("n", "bands", "marks", "plain")).alias("of")  # the same in all rows of a digest
     reps = stored(signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), one), "representatives")
 
     placed = reps.select(F.explode("of.bands").alias("bucket"), F.col("rep").alias("id"))
     shared = stored(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     rows = stored(placed.join(shared, "bucket"), "bands")
     ids = stored(rows.groupBy("id").agg(F.sum("members").alias("weight")), "ids")
-    facts = ids.join(reps, F.col("id") == F.col("rep")).select("id", "weight", F.struct(F.col("of.n").alias("n"), F.col("of.marks").alias("marks")).alias("fact"))
-    whole = texts.join(sized(ids.select("id"), 500_000), "id", "left_semi").mapInArrow(_sets, "id long, digest binary, shingles array<long>")
-    sets = stored(whole.groupBy("id", "digest").agg(F.first("shingles").alias("shingles")), "sets")
+    facts = ids.join(reps, F.col("id") == F.col("rep")).select("id", "weight", F.struct("of.n", "of.marks", "of.plain").alias("fact"))
+    whole = texts.join(sized(ids.select("id"), 500_000), "id", "left_semi").mapInArrow(_sets, "id long, digest binary, shingles array<long>, counts array<int>")
+    sets = stored(whole.groupBy("id", "digest").agg(F.first(F.struct("shingles", "counts")).alias("s")).select("id", "digest", "s.*"), "sets")
 
     stars = Stars(met, lambda pairs: similar(pairs, sets))
     stars.run(stored(rows.drop("members").join(facts, "id").select("bucket", "id", "weight", "fact"), "placed"))

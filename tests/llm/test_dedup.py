@@ -2,7 +2,8 @@
 
 import hashlib
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -73,9 +74,18 @@ def test_exact_empty(spark):
     assert exact_dedup.groups(frame(spark, []).limit(0)).count() == 0 and exact_dedup.keep_one(frame(spark, []).limit(0)).count() == 0
 
 
+def weighted(text):
+    """Five-word shingles and their counts, in words of letters, digits and characters beyond ASCII."""
+    words = re.findall("[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
+    return Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def probability(x, y):
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
 def brute(rows):
-    words = near_dedup.Words()
-    sets = {i: frozenset(near_dedup.shingles(t, words)[0].tolist()) for i, t in rows if i is not None}
+    sets = {i: weighted(t) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
     def find(i):
@@ -85,12 +95,14 @@ def brute(rows):
 
     where = defaultdict(set)
     for i, s in sets.items():
-        for x in s or {-1}:
+        for x in s or {()}:
             where[x].add(i)
     pairs = {(a, b) for own in where.values() for a in own for b in own if a < b}
     for a, b in pairs:
-        both = len(sets[a] & sets[b])
-        if both >= 0.8 * len(sets[a] | sets[b]):
+        x, y = sets[a], sets[b]
+        both = len(x.keys() & y.keys())
+        plain = len({*x.values()}) < 2 and len({*y.values()}) < 2
+        if both >= 0.8 * len(x.keys() | y.keys()) or not plain and sum(min(x[i] / x.total(), y[i] / y.total()) for i in x.keys() & y.keys()) > 0.6 and probability(x, y) >= 0.8 - 1e-9:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}
@@ -141,10 +153,35 @@ def test_repetition_on_one_side_loses_no_candidates(times):
     assert all(found[2 * k][1] & found[2 * k + 1][1] for k in range(400))
 
 
-def test_same_set_is_one_representative():
+def heavy(k, times):
+    """Two texts whose sets are unlike, and that are alike by weight: both repeat one passage, beside words of their own."""
+    run = lambda name, n: " ".join(f"{name}{k}x{j}" for j in range(n))
+    return [run("s", 40) + (" " + run("b", 10)) * times + " " + run(own, 16) for own in "pq"]
+
+
+@pytest.mark.parametrize("times", [20, 100])
+def test_weight_finds_what_sets_do_not(spark, times):
+    rows = [(2 * k + j, t) for k in range(300) for j, t in enumerate(heavy(k, times))]
+    x, y = map(weighted, heavy(0, times))
+    assert len(x.keys() & y.keys()) < 0.8 * len(x.keys() | y.keys()) and probability(x, y) >= 0.8
+    found = bands(rows)
+    assert sum(bool(found[2 * k][1] & found[2 * k + 1][1]) for k in range(300)) >= 299
+    got = {r.id: r.class_id for r in near_dedup.classes(frame(spark, rows[:40])).collect()}
+    assert got == brute(rows[:40]) == {i: i // 2 * 2 for i in range(40)}
+
+
+def test_probability_jaccard():
+    for seed in range(40):
+        r = random.Random(seed)
+        x, y = ({r.randrange(40): r.randint(1, 9) for _ in range(r.randint(1, 30))} for _ in "ab")
+        arrays = [(np.array(sorted(v), np.uint64), np.array([v[i] for i in sorted(v)])) for v in (x, y)]
+        assert abs(near_dedup.probability_jaccard(*arrays[0], *arrays[1]) - probability(x, y)) < 1e-9
+
+
+def test_same_weights_are_one_representative():
     text = " ".join(f"w{j}" for j in range(9))
-    found = bands([(1, (text + " ") * 2), (2, (text + " ") * 100), (3, text)])
-    assert found[1] == found[2] and found[3][0] != found[1][0]
+    found = bands([(1, text), (2, text.upper() + " "), (3, (text + " ") * 3), (4, text + ", " + text + " " + text)])
+    assert found[1] == found[2] and found[3] == found[4] and found[3][0] != found[1][0]
 
 
 def test_near_with_repeated_blocks(spark):
