@@ -56,9 +56,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     spark = docs.sparkSession
     known = known or templates()
     longest = max(len(t[3]) for t in known)
-    grams = spark.createDataFrame(known, "template int, label string, base boolean, phrase array<string>")
+    facts = spark.createDataFrame(known, "template int, label string, base boolean, phrase array<string>")
     at = F.explode(F.sequence(F.lit(0), F.size("phrase") - K))
-    grams = grams.select("*", at.alias("at")).withColumn("hash", _hash(F.col("phrase"), F.col("at")))
+    grams = facts.select("template", "phrase", at.alias("at")).select("template", "at", _hash(F.col("phrase"), F.col("at")).alias("hash"))
     listed = [r[0] for r in grams.select("hash").distinct().collect()]  # as many as the templates have
 
     words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
@@ -70,15 +70,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     votes = hits.select("row", "id", "n_words", "hit.*").join(F.broadcast(grams), "hash", "left").withColumn("diagonal", F.col("place") - F.col("at"))
 
     keys = ["row", "id", "n_words", "template"]
-    diagonals = votes.groupBy(*keys, "label", "base", "phrase", "diagonal").agg(F.count("at").alias("votes"), F.min_by("near", "at").alias("near"), F.min("at").alias("first"))
+    diagonals = votes.groupBy(*keys, "diagonal").agg(F.count("at").alias("votes"), F.min_by("near", "at").alias("near"), F.min("at").alias("first"))
+    diagonals = diagonals.join(F.broadcast(facts.select("template", "phrase")), "template", "left")
     along = Window.partitionBy(*keys).orderBy("diagonal")
     width, need = F.size("phrase"), F.size("phrase") - K + 1
     whole = (F.col("votes") == need) & (F.slice("near", 1, width) == F.col("phrase"))
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True)) | F.coalesce(F.lag("whole").over(along), F.lit(False)) | F.col("whole")
     islands = diagonals.withColumn("whole", F.coalesce(whole, F.lit(False))).withColumn("island", F.sum(apart.cast("int")).over(along))
-    merged = islands.groupBy(*keys, "label", "base", "phrase", "island").agg(
+    merged = islands.groupBy(*keys, "island").agg(
         F.sum("votes").alias("votes"), F.min("diagonal").cast("long").alias("start"), F.max("whole").alias("whole"), F.min_by("near", F.struct("first", "diagonal")).alias("near"), F.min("first").alias("first")
-    )
+    ).join(F.broadcast(facts), "template", "left")
     rest = F.array_distinct(F.slice("phrase", F.col("first") + 1, width))
     share = F.size(F.array_intersect(rest, F.slice("near", 1, width + GAP))) / F.size(F.array_distinct("phrase"))
     cover = F.when(F.col("whole"), F.lit(1.0)).otherwise(F.least(F.col("votes") / need, share, F.lit(0.99)))
