@@ -67,24 +67,24 @@ def education(lines: DataFrame) -> DataFrame:
 
 
 def units(role_rows: DataFrame, highlight_rows: DataFrame, project_rows: DataFrame, education_rows: DataFrame, skill_rows: DataFrame) -> DataFrame:
-    """Evidence units (document_id, unit_id, section, text): work, projects, education, skills, numbered as they come.
+    """Evidence units (document_id, unit_id, n, section, text, quote): work, projects, education, skills, numbered as they come.
 
     A role's company comes with its title, each highlight with "title at company", a project's description with its
-    name; skills come one by one and once together.
+    name; skills come one by one and once together. quote is what the unit rests on, as the document says it.
     """
-    def rows(df: DataFrame, section: str, text: Column, at: Column, sub: int) -> DataFrame:
-        return df.select("document_id", F.lit(section).alias("section"), at.cast("long").alias("at"), F.lit(sub).alias("sub"), text.alias("text"))
+    def rows(df: DataFrame, section: str, text: Column, at: Column, sub: int, quote: Column) -> DataFrame:
+        return df.select("document_id", F.lit(section).alias("section"), at.cast("long").alias("at"), F.lit(sub).alias("sub"), text.alias("text"), quote.alias("quote"))
 
     named = highlight_rows.join(role_rows.select("document_id", "role", "title", "company"), ["document_id", "role"])
     together = skill_rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "skill"))).alias("s")).where(F.size("s") > 1)
     parts = [
-        rows(role_rows, "work", F.concat_ws(" ", "title", "company"), F.col("at"), 0),
-        rows(named, "work", F.concat("title", F.lit(" at "), "company", F.lit(" "), "text"), F.col("at"), 1),
-        rows(project_rows, "projects", F.col("name"), F.col("seq"), 0),
-        rows(project_rows.where("description <> ''"), "projects", F.concat(F.lit("Project "), "name", F.lit(" "), "description"), F.col("seq"), 1),
-        rows(education_rows, "education", F.concat_ws(" ", "degree", "institution"), F.col("seq"), 0),
-        rows(skill_rows, "skills", F.col("skill"), F.col("seq"), 0),
-        rows(together, "skills", F.concat(F.lit("Skills: "), F.array_join(F.transform("s", lambda x: x["skill"]), ", ")), F.lit(1 << 62), 1),
+        rows(role_rows, "work", F.concat_ws(" ", "title", "company"), F.col("at"), 0, F.concat_ws(", ", "title", "company")),
+        rows(named, "work", F.concat("title", F.lit(" at "), "company", F.lit(" "), "text"), F.col("at"), 1, F.col("text")),
+        rows(project_rows, "projects", F.col("name"), F.col("seq"), 0, F.col("name")),
+        rows(project_rows.where("description <> ''"), "projects", F.concat(F.lit("Project "), "name", F.lit(" "), "description"), F.col("seq"), 1, F.col("description")),
+        rows(education_rows, "education", F.concat_ws(" ", "degree", "institution"), F.col("seq"), 0, F.concat_ws(", ", "degree", "institution")),
+        rows(skill_rows, "skills", F.col("skill"), F.col("seq"), 0, F.col("skill")),
+        rows(together, "skills", F.concat(F.lit("Skills: "), F.array_join(F.transform("s", lambda x: x["skill"]), ", ")), F.lit(1 << 62), 1, F.col("s")[0]["skill"]),
     ]
     every = parts[0]
     for p in parts[1:]:
@@ -92,7 +92,7 @@ def units(role_rows: DataFrame, highlight_rows: DataFrame, project_rows: DataFra
     place = F.array_position(F.array(*map(F.lit, SECTION_ORDER)), F.col("section"))
     n = F.row_number().over(Window.partitionBy("document_id").orderBy(place, "at", "sub"))
     numbered = every.where("text <> ''").withColumn("n", n)
-    return numbered.select("document_id", F.concat_ws("-", F.col("document_id").cast("string"), "section", F.lpad(F.col("n").cast("string"), 3, "0")).alias("unit_id"), "n", "section", "text")
+    return numbered.select("document_id", F.concat_ws("-", F.col("document_id").cast("string"), "section", F.lpad(F.col("n").cast("string"), 3, "0")).alias("unit_id"), "n", "section", "text", "quote")
 
 
 def degenerate(unit_rows: DataFrame, docs: DataFrame) -> DataFrame:

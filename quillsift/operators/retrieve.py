@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillsift.functions.text import dot, let, tokens
+from quillsift.operators import embed
 from quillsift.sources.shared import kept
 
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 20
@@ -150,8 +152,51 @@ def fuse(lexical: DataFrame, semantic: DataFrame, k: int, *keys: str) -> DataFra
 
 
 def keyword_overlap(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Share of a query's different terms that a unit has; pairs that share none are left out."""
+    """Share of a query's different terms that a unit has; pairs that share none are left out.
+
+    Units of several corpora (with that column, which the queries then lack) keep their corpus.
+    """
+    own = ["corpus"] if "corpus" in units.columns and "corpus" not in queries.columns else []
     q = queries.select("query", F.array_distinct(tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
     asked = q.select("query", F.size("t").alias("n"), F.explode("t").alias("term"))
-    have = units.select("unit", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return have.join(asked, "term").groupBy("query", "unit").agg(F.round(F.count("*") / F.first("n"), 6).alias("score"))
+    have = units.select(*own, "unit", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return have.join(asked, "term").groupBy(*own, "query", "unit").agg(F.round(F.count("*") / F.first("n"), 6).alias("score"))
+
+
+def similarity(units: DataFrame, queries: DataFrame, most: int = 1_000) -> DataFrame:
+    """(corpus, query, unit, score) of a few queries, a rubric's, to the units of every corpus, by hashed vectors; above 0 only.
+
+    The queries go out with the function, so more than `most` raise.
+    """
+    rows = queries.select("query", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} queries")
+    names, matrix = [r[0] for r in rows], np.array([embed.vector(r[1]) for r in rows]).reshape(len(rows), -1)
+    kinds = StructType([units.schema["corpus"], units.schema["unit"], queries.schema["query"]]).add("score", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, asked = embed.Features(), pa.array(names)
+        for batch in batches:
+            if batch.num_rows and names:
+                scores = np.round(np.array([embed.vector(t.as_py(), features) for t in batch.column(2)]) @ matrix.T, 6)
+                u, q = np.nonzero(scores > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(u)), batch.column(1).take(pa.array(u)), asked.take(pa.array(q)), pa.array(scores[u, q])], ["corpus", "unit", "query", "score"])
+
+    return units.select("corpus", "unit", "text").mapInArrow(run, kinds)
+
+
+def search(units: DataFrame, queries: DataFrame, k: int, second: Callable[[DataFrame, DataFrame], DataFrame] = similarity) -> DataFrame:
+    """The k best units of each corpus for each query, by BM25 and a second ranker fused: (corpus, query, unit, place, score, ...).
+
+    Each corpus is searched by itself, with its own statistics: a document's units, say, of which there are a few dozen.
+    """
+    one, two = (top(scores, POOL, "corpus", "query") for scores in (bm25(units, queries), second(units, queries)))
+    return fuse(one, two, k, "corpus", "query")
+
+
+#: Rankers that a ranking is measured against: (units, queries) -> (query, unit, score).
+BASELINES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "bm25": lambda units, queries: bm25(units.withColumn("corpus", F.lit(0)), queries.drop("corpus")).drop("corpus"),
+    "keyword": lambda units, queries: keyword_overlap(units.drop("corpus"), queries.drop("corpus")),
+    "similarity": lambda units, queries: similarity(units.withColumn("corpus", F.lit(0)), queries.drop("corpus")).drop("corpus"),
+}

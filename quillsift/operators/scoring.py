@@ -23,11 +23,12 @@ def ordinal(verdict: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, NAMES)), verdict).cast("int") - 1
 
 
-def judged_by_overlap(requirement: Column, evidence: Column) -> Column:
-    """Verdict of the built-in judge: share of the requirement's words of more than four letters found in the evidence."""
+def judged_by_overlap(requirement: Column, evidence: Column, leniency: float = 0.0) -> Column:
+    """Verdict of the built-in judge: share of the requirement's words of more than four letters found in the evidence,
+    and so much more if it's lenient (less, if negative)."""
     asked = F.transform(F.filter(F.split(F.lower(requirement), r"\s+"), lambda w: F.length(w) > 4), lambda w: F.regexp_replace(F.regexp_replace(w, "^[,.]+|[,.]+$", ""), "s+$", ""))
     hits = F.size(F.filter(asked, lambda w: F.lower(evidence).contains(w)))
-    share = hits / F.greatest(F.size(asked), F.lit(1))
+    share = hits / F.greatest(F.size(asked), F.lit(1)) + leniency
     return F.when(share >= 0.55, "strong").when(share >= 0.38, "clear").when(share >= 0.22, "partial").when(share > 0.08, "weak").otherwise("none")
 
 

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.functions.dates import month_index
 from quillsift.functions.text import stripped
-from quillsift.operators import ingest, locate, pii, resume, risks, scoring, sections, spans
+from quillsift.operators import ingest, locate, pii, resume, retrieve, risks, scoring, sections, spans
 from quillsift.operators.scoring import NAMES
-from quillsift.sources.shared import kept
+from quillsift.sources.shared import kept, release
 
 INFERRED, TOP_K = 0.3, 4
+#: Leniency of the built-in judge in each of its samples.
+SAMPLES = (-0.1, 0.0, 0.1)
+#: Characters of the longest text that is screened.
+LONGEST = 2_000_000
+Ranker = Callable[[DataFrame, DataFrame], DataFrame]
 LEVELS = ("high", "medium", "low")
 
 
@@ -62,16 +70,13 @@ def heading_boundaries(docs: DataFrame) -> DataFrame:
     return flagged.unionByName(rest)
 
 
-def judged(units: DataFrame, requirements: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(document_id, requirement, verdict, hits): the built-in judge's best verdict over a document's units, and the k units
-    that it rests on, best first; requirements: (requirement, asked), a rubric's few rows."""
-    pairs = units.select("document_id", "n", "unit_id", "text").join(F.broadcast(requirements.select("requirement", "asked")))
-    rows = pairs.withColumn("o", scoring.ordinal(scoring.judged_by_overlap(F.col("asked"), F.col("text"))))
-    place = F.row_number().over(Window.partitionBy("document_id", "requirement").orderBy(F.desc("o"), "n"))
-    best = rows.withColumn("rank", place).where(F.col("rank") <= k)
-    hits = F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit_id", "o"))), lambda h: F.struct(h["unit_id"].alias("unit_id"), h["o"].alias("o")))
-    got = best.groupBy("document_id", "requirement").agg(F.max("o").alias("o"), hits.alias("hits"))
-    return got.select("document_id", "requirement", F.element_at(F.array(*map(F.lit, NAMES)), F.col("o") + 1).alias("verdict"), "hits")
+def judged(hits: DataFrame, samples: tuple[float, ...] = SAMPLES) -> DataFrame:
+    """Verdict samples (document_id, requirement, sample, verdict) over retrieved units (document_id, requirement, place, unit_id,
+    asked, text): the built-in judge's best verdict over the units, once for each leniency."""
+    each = [F.struct(F.lit(k).alias("sample"), scoring.ordinal(scoring.judged_by_overlap(F.col("asked"), F.col("text"), more)).alias("o")) for k, more in enumerate(samples)]
+    rows = hits.select("document_id", "requirement", F.inline(F.array(*each)))
+    best = rows.groupBy("document_id", "requirement", "sample").agg(F.max("o").alias("o"))
+    return best.select("document_id", "requirement", "sample", F.element_at(F.array(*map(F.lit, NAMES)), F.col("o") + 1).alias("verdict"))
 
 
 def cited_units(verdict: Column, named: Column, hits: Column) -> Column:
@@ -100,41 +105,113 @@ def risk_table(*flags: DataFrame) -> DataFrame:
 
 def extracted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines below the headings of (document_id, text), and the evidence units that the rules find in them; the lines are kept, as all rules read them."""
+    lines, units, _ = _extracted(docs)
+    return lines, units
+
+
+def _extracted(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = sections.segment(heading_boundaries(docs), docs.select("document_id", F.length("text").alias("length")))
     lines = kept(resume.section_lines(found, docs), "lines")
-    return lines, resume.units(resume.roles(lines), resume.highlights(lines), resume.projects(lines), resume.education(lines), resume.skills(lines))
+    return lines, resume.units(resume.roles(lines), resume.highlights(lines), resume.projects(lines), resume.education(lines), resume.skills(lines)), found
+
+
+def sorted_out(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that can be screened, and (document_id, reason) of those that can't: unread (a column `error` says why), without
+    text, or longer than LONGEST characters. No document of a batch stops the others."""
+    error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    reason = F.coalesce(error, F.when(F.coalesce(stripped(F.col("text")), F.lit("")) == "", "no text").when(F.length("text") > LONGEST, "too long"))
+    rows = docs.withColumn("reason", reason)
+    return rows.where("reason IS NULL").select("document_id", "text"), rows.where("reason IS NOT NULL").select("document_id", "reason")
+
 
+def cited(units: DataFrame, sections_: DataFrame, docs: DataFrame) -> DataFrame:
+    """units with the place of their quote: start, end, confidence, grounded; sought in their section first."""
+    windows = sections_.groupBy("document_id", F.col("kind").alias("section")).agg(F.min("start").cast("int").alias("low"), F.max("end").cast("int").alias("high"))
+    fields = units.join(windows, ["document_id", "section"], "left").withColumnRenamed("n", "field_id").withColumn("value", F.lit(None).cast("string"))
+    return cite(fields, docs).withColumnRenamed("field_id", "n").drop("value", "low", "high")
 
-def screen(docs: DataFrame, requirements: DataFrame, blind: bool = True, categories: list[str] = pii.MASKED) -> DataFrame:
-    """One row per document of (document_id, text): score and range, band, gate, citations by requirement, flags, rank.
 
-    requirements: (requirement, asked, kind, weight) of one rubric. blind: personal data is masked first, by masks that
-    keep every offset. Documents whose extraction fails (too few units for their length) are ranked last and flagged.
+def screen_batch(
+    docs: DataFrame, requirements: DataFrame, blind: bool = True, categories: list[str] = pii.MASKED, k: int = TOP_K, second: Ranker = retrieve.similarity, samples: tuple[float, ...] = SAMPLES
+) -> tuple[DataFrame, DataFrame]:
+    """Results and quarantine of (document_id, text).
+
+    A document is sorted out, masked if blind, cut into sections and evidence units; each unit's quote is cited and verified;
+    for every requirement (requirement, asked, kind, weight) of the rubric the document's own units are searched (BM25
+    and a second ranker, fused), the k best are judged, several times, and the samples agreed on; scores, flags and questions
+    follow, and the rank among all.
+
+    Results have a row per document: score and range, band, gate, agreement, rates of grounding and of valid citations, cited
+    units by requirement, flags, questions, rank. Quarantine has (document_id, reason).
     """
+    docs, unfit = sorted_out(docs)
     if blind:
         docs = pii.redact(docs, "document_id", "text", categories).select("document_id", F.col("redacted_text").alias("text"))
     docs = kept(docs, "texts")
-    lines, units = extracted(docs)
-    units = kept(units, "units")
-    verdicts = judged(units, requirements)
-    ids = F.transform("hits", lambda h: h["unit_id"])
-    named = F.transform(F.filter("hits", lambda h: h["o"] == F.get("hits", F.lit(0))["o"]), lambda h: h["unit_id"])
-    agreed = verdicts.select("document_id", "requirement", "verdict", cited_units(F.col("verdict"), named, ids).alias("cited"), F.lit(1.0).alias("agreement"), F.lit(False).alias("ambiguous"), scoring.worth(F.col("verdict")).alias("low"), scoring.worth(F.col("verdict")).alias("high"))
-    scored = kept(scoring.requirement_scores(agreed, F.broadcast(requirements.select("requirement", "kind", "weight"))), "scores")
+    lines, units, found = _extracted(docs)
+    units = kept(cited(units, found, docs), "units")
+    counts = units.groupBy("document_id").agg(F.count("*").alias("n_units"), F.count_if("grounded").alias("grounded"))
+    sparse = resume.degenerate(units, docs).select("document_id", F.lit("failed extraction").alias("reason"))
+    none = docs.join(counts, "document_id", "left_anti").join(sparse, "document_id", "left_anti").select("document_id", F.lit("no evidence").alias("reason"))
+    failed = kept(sparse.unionByName(none), "failed")
+    unit = units.where("grounded").join(failed, "document_id", "left_anti")
+
+    asked = requirements.select(F.col("requirement").alias("query"), F.col("asked").alias("text"))
+    near = retrieve.search(unit.select(F.col("document_id").alias("corpus"), F.col("n").alias("unit"), "text"), asked, k, second)
+    near = near.select(F.col("corpus").alias("document_id"), F.col("query").alias("requirement"), F.col("unit").alias("n"), "place")
+    hits = kept(near.join(unit.select("document_id", "n", "unit_id", "text"), ["document_id", "n"]).join(requirements.select("requirement", "asked"), "requirement"), "hits")
+
+    agreed = scoring.consensus(judged(hits, samples), "document_id", "requirement")
+    best = hits.withColumn("o", scoring.ordinal(scoring.judged_by_overlap(F.col("asked"), F.col("text")))).groupBy("document_id", "requirement").agg(F.array_sort(F.collect_list(F.struct("place", "unit_id", "o"))).alias("h"))
+    named = F.transform(F.filter("h", lambda h: h["o"] == F.array_max(F.transform("h", lambda x: x["o"]))), lambda h: h["unit_id"])
+    agreed = agreed.join(best, ["document_id", "requirement"]).withColumn("cited", cited_units(F.col("verdict"), named, F.transform("h", lambda h: h["unit_id"]))).drop("h", "n_samples")
+    # A requirement for which nothing was retrieved has the verdict none.
+    every = docs.select("document_id").join(failed, "document_id", "left_anti").withColumn("requirement", F.explode(F.array(*[F.lit(r[0]) for r in requirements.select("requirement").collect()])))
+    agreed = every.join(agreed, ["document_id", "requirement"], "left").withColumns({
+        "verdict": F.coalesce("verdict", F.lit("none")), "agreement": F.coalesce("agreement", F.lit(1.0)), "ambiguous": F.coalesce("ambiguous", F.lit(False)), "cited": F.coalesce("cited", F.array().cast("array<string>")),
+    })
+    scored = kept(scoring.requirement_scores(agreed, requirements.select("requirement", "kind", "weight")), "scores")
+
     totals = scoring.candidate_scores(scored, "document_id")
-    cited = scored.groupBy("document_id").agg(F.sum(F.size("cited")).alias("n_cited"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("requirement", "cited")))).alias("citations"))
-    vague = risks.vague_claims(resume.highlights(lines)).select("document_id", F.lit("vague_claims").alias("code"), F.lit("low").alias("level"), F.col("n_vague").alias("detail"))
-    bare = risks.unlinked_projects(resume.projects(lines)).select("document_id", F.lit("unlinked_projects").alias("code"), "level", F.col("names").alias("detail"))
-    unmet = risks.judgement_flags(scored, "document_id").select("document_id", "code", "level", F.col("first").alias("detail"))
-    failed = resume.degenerate(units, docs).select("document_id", F.lit("failed_extraction").alias("code"), F.lit("high").alias("level"), F.col("n_units").alias("detail"))
-    flags = risk_table(vague, bare, unmet, failed).groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x["code"]).alias("flags"))
-    rows = docs.select("document_id").join(totals, "document_id", "left").join(cited, "document_id", "left").join(flags, "document_id", "left")
-    rows = rows.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))).withColumn("failed", F.array_contains("flags", "failed_extraction") | F.col("score").isNull())
-    # Ranks of all candidates: by counts of the candidates ahead, first by score (few values), then within equal ones.
-    ahead = rows.groupBy("failed", "meets_all", "score").agg(F.count("*").alias("_n"))
-    order = Window.orderBy("failed", F.desc_nulls_last("meets_all"), F.desc_nulls_last("score")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = ahead.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).select(F.struct("failed", "meets_all", "score").alias("_key"), "_before")
-    tied = Window.partitionBy("failed", "meets_all", "score").orderBy("document_id")
-    rows = rows.withColumn("_own", F.row_number().over(tied))
-    rows = rows.join(F.broadcast(ahead), F.struct("failed", "meets_all", "score").eqNullSafe(F.col("_key")))
-    return rows.select("document_id", "score", "band", "meets_all", "unmet_must_haves", F.coalesce("n_cited", F.lit(0)).alias("n_cited"), "citations", "flags", (F.col("_before") + F.col("_own")).alias("rank"))
+    cites = scored.groupBy("document_id").agg(F.sum(F.size("cited")).alias("n_cited"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("requirement", "cited")))).alias("citations"))
+    valid = verified(units.where("grounded").select("document_id", "start", "end", "quote"), docs).select("document_id", F.col("rate").alias("validity_rate"))
+    rates = counts.join(valid, "document_id", "left").select("document_id", F.round(F.col("grounded") / F.col("n_units"), 6).alias("grounding_rate"), F.coalesce("validity_rate", F.lit(0.0)).alias("validity_rate"))
+    questions = risks.interview_gaps(scored, "document_id").groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "requirement"))), lambda x: x["requirement"]).alias("questions"))
+    roles = resume.roles(lines)
+    start, end = month_index(F.col("start")), month_index(F.col("end"))
+    gaps = risks.employment_gaps(roles.select("document_id", start.alias("start"), risks.role_end(start, end, F.col("is_current")).alias("end"))).groupBy("document_id").agg(F.max("gap").alias("detail"))
+    flag = lambda df, code, level, detail: df.select("document_id", F.lit(code).alias("code"), level if isinstance(level, Column) else F.lit(level).alias("level"), F.col(detail).alias("detail"))
+    flags = [
+        flag(risks.vague_claims(resume.highlights(lines)), "vague_claims", "low", "n_vague"), flag(risks.unlinked_projects(resume.projects(lines)), "unlinked_projects", F.col("level"), "names"), flag(gaps, "employment_gap", "medium", "detail"),
+        risks.judgement_flags(scored, "document_id").select("document_id", "code", "level", F.col("first").alias("detail")),
+        risks.grounding_flags(counts.select("document_id", F.col("n_units").alias("total"), "grounded", F.lit(0).alias("failed_sections"))).withColumn("detail", F.lit("")),
+    ]
+    flags = risk_table(*flags).groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x["code"]).alias("flags"))
+    rows = totals
+    for part in (cites, rates, questions, flags):
+        rows = rows.join(part, "document_id", "left")
+    empty = F.array().cast("array<string>")
+    rows = kept(rows.withColumns({"flags": F.coalesce("flags", empty), "questions": F.coalesce("questions", empty)}), "results")
+    release(docs, lines, units, hits, scored)
+    out = ranked(rows).select(
+        "document_id", "score", "score_low", "score_high", "band", "meets_all", "unmet_must_haves", "mean_agreement", "n_ambiguous", "grounding_rate", "validity_rate", "n_cited", "citations", "flags", "questions", "rank"
+    )
+    return out, unfit.unionByName(failed)
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows with their rank among all: those that meet all must-haves first, then by score, then by id.
+
+    By counts of the candidates ahead: first by score, of which there are few, then within equal ones.
+    """
+    keys = ["meets_all", "score"]
+    ahead = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    order = Window.orderBy(F.desc("meets_all"), F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.select(F.struct(*keys).alias("_key"), F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    tied = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*keys).orderBy("document_id")))
+    return tied.join(ahead, F.struct(*keys).eqNullSafe(F.col("_key"))).withColumn("rank", F.col("_before") + F.col("_own")).drop("_key", "_before", "_own")
+
+
+def screen(docs: DataFrame, requirements: DataFrame, blind: bool = True, **how) -> DataFrame:
+    """The results of screen_batch()."""
+    return screen_batch(docs, requirements, blind, **how)[0]

@@ -137,7 +137,7 @@ v_units AS (SELECT d AS document_id, section, text, row_number() OVER (PARTITION
 
 @query("evidence_units", UNIT_SQL + "SELECT document_id, document_id || '-' || section || '-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS unit_id, section, text FROM v_units")
 def evidence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence(spark, sf_dir)[1].drop("n")
+    return evidence(spark, sf_dir)[1].drop("n", "quote")
 
 
 @query("degenerate_extraction", RESUME_SQL + """,

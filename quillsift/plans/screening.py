@@ -5,22 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.operators import ingest, resume, screen, sections, values
+from quillsift.operators import ingest, resume, retrieve, screen, sections, values
 from quillsift.plans import documents
+from quillsift.plans.ranking import sql_tokens
 from quillsift.plans.registry import query, table
 from quillsift.plans.resumes import REQUIREMENTS, RESUME_SQL, UNIT_SQL, resumes
 from quillsift.sources.shared import kept
 
 WEIGHTS = {"r1": 40.0, "r2": 40.0, "r3": 13.33, "r4": 6.67}
 RUBRIC_SQL = "(VALUES " + ", ".join(f"('{i}', '{t}', '{k}', {WEIGHTS[i]}::DOUBLE)" for i, t, k in REQUIREMENTS) + ")"
-#: Verdict, points, and citations of each candidate and requirement.
+#: Verdicts and citations of each candidate and requirement: the candidate's own units searched, the four best judged.
 ASSESS_SQL = UNIT_SQL + f""",
-q AS (SELECT * FROM {RUBRIC_SQL} t(requirement, asked, kind, weight)), w AS (SELECT requirement, unnest(list_filter(string_split(lower(asked), ' '), lambda w: length(w) > 4)) AS w FROM q), n AS (SELECT requirement, count(*) AS n FROM w GROUP BY 1),
-h AS (SELECT document_id, u.n AS u, section, requirement, count_if(contains(lower(text), regexp_replace(w, 's+$', ''))) AS hits FROM v_units u, w GROUP BY ALL),
-oo AS (SELECT h.*, CASE WHEN hits / n.n >= 0.55 THEN 4 WHEN hits / n.n >= 0.38 THEN 3 WHEN hits / n.n >= 0.22 THEN 2 WHEN hits / n.n > 0.08 THEN 1 ELSE 0 END AS o FROM h JOIN n USING (requirement)),
-r AS (SELECT *, row_number() OVER (PARTITION BY document_id, requirement ORDER BY o DESC, u) AS k, max(o) OVER (PARTITION BY document_id, requirement) AS best FROM oo),
-v_assessed AS (SELECT document_id, requirement, any_value(best) AS o, coalesce(string_agg(document_id || '-' || section || '-' || lpad(u::VARCHAR, greatest(3, length(u::VARCHAR))::INT, '0'), '+' ORDER BY k) FILTER (k <= 4 AND o = best AND best > 0), '') AS cited,
-  count(*) FILTER (k <= 4 AND o = best AND best > 0) AS n_cited FROM r GROUP BY document_id, requirement)
+q AS (SELECT * FROM {RUBRIC_SQL} t(requirement, asked, kind, weight)),
+tok AS (SELECT document_id, n, {sql_tokens("text")} AS t FROM v_units), stat AS (SELECT document_id, count(*) AS units, avg(len(t)) AS mean_length FROM tok GROUP BY 1),
+tf AS (SELECT document_id, n, length, term, count(*) AS tf FROM (SELECT document_id, n, len(t) AS length, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT document_id, term, count(*) AS df FROM tf GROUP BY ALL),
+asks AS (SELECT requirement, term, count(*) AS times FROM (SELECT requirement, unnest({sql_tokens("asked")}) AS term FROM q) GROUP BY ALL),
+lex AS (SELECT document_id, requirement, n, round(sum(ln(1 + (units - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (length / mean_length))) * times), 6) AS score FROM tf JOIN df USING (document_id, term) JOIN asks USING (term) JOIN stat USING (document_id) GROUP BY ALL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, requirement ORDER BY score DESC, n) AS rank FROM lex WHERE score > 0) WHERE rank <= 20),
+kw AS (SELECT document_id, requirement, n, round(count(*) / any_value(terms), 6) AS score FROM (SELECT DISTINCT document_id, n, term FROM tf) JOIN asks USING (term) JOIN (SELECT requirement, count(*) AS terms FROM asks GROUP BY 1) USING (requirement) GROUP BY ALL),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, requirement ORDER BY score DESC, n) AS rank FROM kw) WHERE rank <= 20),
+fused AS (SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.requirement, b.requirement) AS requirement, coalesce(a.n, b.n) AS n, a.rank AS ra, b.rank AS rb, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS s
+  FROM one a FULL JOIN two b ON a.document_id = b.document_id AND a.requirement = b.requirement AND a.n = b.n),
+v_hits AS (SELECT f.*, text, section FROM (SELECT *, row_number() OVER (PARTITION BY document_id, requirement ORDER BY s DESC, ra NULLS LAST, rb NULLS LAST, n) AS place FROM fused) f JOIN v_units u ON f.document_id = u.document_id AND f.n = u.n WHERE place <= 4),
+w AS (SELECT requirement, unnest(list_filter(string_split(lower(asked), ' '), lambda w: length(w) > 4)) AS w FROM q), words AS (SELECT requirement, count(*) AS words FROM w GROUP BY 1),
+share AS (SELECT document_id, requirement, place, section, n, count_if(contains(lower(text), regexp_replace(w, 's+$', ''))) / any_value(words) AS share FROM v_hits JOIN w USING (requirement) JOIN words USING (requirement) GROUP BY ALL),
+samples AS (SELECT *, unnest([-0.1, 0.0, 0.1]::DOUBLE[]) AS more FROM share),
+marks AS (SELECT *, CASE WHEN share + more >= 0.55::DOUBLE THEN 4 WHEN share + more >= 0.38::DOUBLE THEN 3 WHEN share + more >= 0.22::DOUBLE THEN 2 WHEN share + more > 0.08::DOUBLE THEN 1 ELSE 0 END AS o FROM samples),
+best AS (SELECT document_id, requirement, more, max(o) AS o FROM marks GROUP BY ALL),
+agreed AS (SELECT document_id, requirement, list_sort(list(o))[2] AS o, count_if(o = m) AS same, min(o) AS low, max(o) AS high FROM (SELECT *, list_sort(list(o) OVER (PARTITION BY document_id, requirement))[2] AS m FROM best) GROUP BY ALL),
+names AS (SELECT document_id, requirement, list(document_id || '-' || section || '-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') ORDER BY place) AS named FROM (SELECT *, max(o) OVER (PARTITION BY document_id, requirement) AS top FROM marks WHERE more = 0) WHERE o = top GROUP BY ALL),
+v_assessed AS (SELECT d.document_id, q.requirement, kind, weight, coalesce(o, 0) AS o, round(coalesce(same, 3) / 3, 6) AS agreement, coalesce(low, 0) AS low, coalesce(high, 0) AS high, CASE WHEN coalesce(o, 0) = 0 THEN [] ELSE named END AS cited
+  FROM (SELECT DISTINCT document_id FROM v_units) d CROSS JOIN q LEFT JOIN agreed a ON a.document_id = d.document_id AND a.requirement = q.requirement LEFT JOIN names m ON m.document_id = d.document_id AND m.requirement = q.requirement)
 """
 
 
@@ -28,27 +43,44 @@ def rubric(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, t, k, WEIGHTS[i]) for i, t, k in REQUIREMENTS], "requirement string, asked string, kind string, weight double")
 
 
-@query("screen_resumes", ASSESS_SQL + """,
-p AS (SELECT document_id, requirement, kind, o, cited, n_cited, weight * [0, 0.2, 0.5, 0.8, 1.0][o + 1]::DOUBLE AS points FROM v_assessed JOIN q USING (requirement)),
-c AS (SELECT document_id, round(sum(points), 1) AS score, count_if(kind = 'must_have' AND o < 2) AS unmet_must_haves, sum(n_cited)::BIGINT AS n_cited, string_agg(requirement || '=' || cited, ';' ORDER BY requirement) AS citations FROM p GROUP BY 1),
+WORTH = "[0, 0.2, 0.5, 0.8, 1.0]::DOUBLE[]"
+SCREEN_SQL = ASSESS_SQL + f""",
+p AS (SELECT *, weight * ({WORTH})[o + 1] AS points, weight * ({WORTH})[low + 1] AS low_points, weight * ({WORTH})[high + 1] AS high_points, ({WORTH})[high + 1] - ({WORTH})[low + 1] > 0.3::DOUBLE AS ambiguous,
+  CASE WHEN kind = 'must_have' AND o < 2 THEN 0 WHEN o = 2 THEN 1 WHEN ({WORTH})[high + 1] - ({WORTH})[low + 1] > 0.3::DOUBLE THEN 2 END AS reason FROM v_assessed),
+c AS (SELECT document_id, round(sum(points), 1) AS score, round(sum(low_points), 1) AS score_low, round(sum(high_points), 1) AS score_high, round(avg(agreement), 3) AS mean_agreement, count_if(ambiguous) AS n_ambiguous, count_if(kind = 'must_have' AND o < 2) AS unmet_must_haves, sum(len(cited))::BIGINT AS n_cited,
+  string_agg(requirement || '=' || array_to_string(cited, '+'), ';' ORDER BY requirement) AS citations, coalesce(string_agg(requirement, ',' ORDER BY reason, requirement) FILTER (reason IS NOT NULL), '') AS questions FROM p GROUP BY 1),
 vague AS (SELECT o_custkey AS document_id FROM orders GROUP BY 1 HAVING count(*) >= 3 AND count_if(o_orderkey % 3 <> 1) >= 2), bare AS (SELECT o_custkey AS document_id FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 1 HAVING count(*) >= 2),
+spells AS (SELECT o_custkey AS document_id, m AS start, CASE WHEN o_orderstatus = 'O' THEN 99999 * 12 ELSE m + 3 + o_orderkey % 9 END AS e FROM (SELECT *, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders)),
+gap AS (SELECT DISTINCT document_id FROM (SELECT document_id, start, max(e) OVER (PARTITION BY document_id ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM spells) WHERE start - latest >= 12 AND latest <> 99999 * 12),
 bb AS (SELECT *, unmet_must_haves = 0 AS meets_all, CASE WHEN unmet_must_haves > 0 THEN 'missing_must_have' WHEN score >= 75 THEN 'strong' WHEN score >= 55 THEN 'solid' WHEN score >= 35 THEN 'mixed' ELSE 'weak' END AS band,
-  concat_ws(',', CASE WHEN unmet_must_haves > 0 THEN 'unmet_must_have' END, CASE WHEN document_id IN (SELECT document_id FROM bare) THEN 'unlinked_projects' END, CASE WHEN document_id IN (SELECT document_id FROM vague) THEN 'vague_claims' END) AS flags FROM c)
-SELECT document_id, score, band, meets_all, unmet_must_haves, n_cited, citations, flags, row_number() OVER (ORDER BY meets_all DESC, score DESC, document_id) AS rank FROM bb""")
+  concat_ws(',', CASE WHEN unmet_must_haves > 0 THEN 'unmet_must_have' END, CASE WHEN n_ambiguous > 0 THEN 'ambiguous_judgement' END, CASE WHEN document_id IN (SELECT document_id FROM gap) THEN 'employment_gap' END, CASE WHEN document_id IN (SELECT document_id FROM bare) THEN 'unlinked_projects' END, CASE WHEN document_id IN (SELECT document_id FROM vague) THEN 'vague_claims' END) AS flags FROM c)
+SELECT document_id, score, score_low, score_high, band, meets_all, unmet_must_haves, mean_agreement, n_ambiguous, 1.0::DOUBLE AS grounding_rate, 1.0::DOUBLE AS validity_rate, n_cited, citations, flags, questions, row_number() OVER (ORDER BY meets_all DESC, score DESC, document_id) AS rank FROM bb"""
+
+
+@query("screen_resumes", SCREEN_SQL)
 def screen_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates against one rubric, texts as they are."""
-    return _said(screen.screen(kept(resumes(spark, sf_dir), "resumes"), rubric(spark), blind=False))
+    """All candidates against one rubric, texts as they are; BM25 is fused with keyword overlap, which SQL can say."""
+    return _said(screen.screen(kept(resumes(spark, sf_dir), "resumes"), rubric(spark), blind=False, second=retrieve.keyword_overlap))
 
 
 @query("screen_blind")
 def screen_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on masked texts; tested against the unmasked scores and for what the masks leave."""
+    """The same on masked texts, with hashed vectors as second ranker; tested against plain Python and for what the masks leave."""
     return _said(screen.screen(kept(resumes(spark, sf_dir), "resumes"), rubric(spark)))
 
 
+@query("screen_quarantine", RESUME_SQL + """,
+a AS (SELECT document_id, text, 1000 AS n FROM v_resume UNION ALL SELECT -1 - doc_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text END, 0 FROM documents)
+SELECT document_id, CASE WHEN regexp_matches(text, '[^ \t\n\x0b\f\r]') THEN CASE WHEN length(text) >= 400 THEN 'failed extraction' ELSE 'no evidence' END ELSE 'no text' END AS reason FROM a WHERE n = 0""")
+def screen_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumes in one batch with documents in which the rules find nothing (negative ids), some of them blank: who is left out, and why."""
+    prose = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("document_id"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text")).alias("text"))
+    return screen.screen_batch(resumes(spark, sf_dir).unionByName(prose), rubric(spark), blind=False, second=retrieve.keyword_overlap)[1]
+
+
 def _said(found: DataFrame) -> DataFrame:
-    cited = F.array_join(F.transform(F.map_entries("citations"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";")
-    return found.select("document_id", "score", "band", "meets_all", "unmet_must_haves", "n_cited", cited.alias("citations"), F.array_join("flags", ",").alias("flags"), F.col("rank").cast("long"))
+    said = F.array_join(F.transform(F.map_entries("citations"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";")
+    return found.withColumns({"citations": said, "flags": F.array_join("flags", ","), "questions": F.array_join("questions", ","), "rank": F.col("rank").cast("long")})
 
 
 def role_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -25,17 +25,27 @@ def new_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder; it is deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
-    def remove() -> None:
-        with contextlib.suppress(Exception):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    atexit.register(remove)
+    atexit.register(remove, spark, path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """df as a written table: what several branches read is worked out once, and nothing stays cached afterwards."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what kept() has written for these frames; nothing may read them any more."""
+    for df in frames:
+        if folder := getattr(df, "_folder", None):
+            remove(df.sparkSession, folder)
