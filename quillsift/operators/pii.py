@@ -41,6 +41,21 @@ MASKED = [c for c in CATEGORIES if c != "url"]
 SPAN = "array<struct<start:int,end:int,category:string,text:string>>"
 
 
+#: A run of so many characters in which no address starts where its first word does has none further on: it's stepped over as a
+#: match of its own, so that it isn't tried again from each of its words.
+LONG_RUNS = {"email": r"|\b[\w.+-]{200,}+", "url": r"|\b[\w-]{200,}+(?<!www)(?<!http)(?<!https)"}
+
+
+def emails(t: Column) -> Column:
+    """Matches of EMAIL."""
+    return F.filter(matches(t, EMAIL + LONG_RUNS["email"]), lambda m: F.contains(m["text"], F.lit("@")))
+
+
+def urls(t: Column) -> Column:
+    """Matches of URL; each holds a dot or a colon."""
+    return F.filter(matches(t, URL + LONG_RUNS["url"]), lambda m: F.contains(m["text"], F.lit(".")) | F.contains(m["text"], F.lit(":")))
+
+
 def _trimmed(found: Column, category: str, ok=lambda text: F.lit(True)) -> Column:
     """Matches without blanks at their ends, as spans of a category."""
 
@@ -86,7 +101,7 @@ def detected(t: Column) -> Column:
 
     def spans(t: Column, folded: Column) -> Column:
         return F.concat(
-            found(F.contains(t, F.lit("@")), matches(t, EMAIL), "email"), found(_among(t, ("http", "www.", "/")), matches(t, URL), "url"),
+            found(F.contains(t, F.lit("@")), emails(t), "email"), found(_among(t, ("http", "www.", "/")), urls(t), "url"),
             found(_among(t, INSTITUTIONS), matches(t, INSTITUTION), "institution"), found(_among(folded, CITIES), matches(t, CITY), "location"),
             found(_among(folded, GENDER_WORDS), matches(t, GENDER), "gender_term"), found(t.rlike(r"(?U)\d{3}"), matches(t, PHONE), "phone", phone_like), name_span(t),
         )

@@ -89,7 +89,7 @@ SQL_PHONE = r"(?:\+\p{Nd}{1,3}[\s\x0b\p{Z}.-]?)?(?:\(\p{Nd}{2,4}\)[\s\x0b\p{Z}.-
 WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{SQL_EMAIL}'), lambda e: regexp_replace(e, '^[.+-]+', '')), lambda e: NOT starts_with(e, '@')) AS x FROM documents)
 SELECT doc_id, len(x) AS n, array_to_string(x, ' ') AS emails FROM m WHERE len(x) > 0""")
 def pii_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.matches(F.col("text"), pii.EMAIL), lambda m: m["text"]).alias("x"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.transform(pii.emails(F.col("text")), lambda m: m["text"]).alias("x"))
     return found.where(F.size("x") > 0).select("doc_id", F.size("x").cast("long").alias("n"), F.array_join("x", " ").alias("emails"))
 
 
