@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 2.0
+#: Variants times modes that are broadcast.
+MOST_CELLS = 100_000
 
 
 def plan(variants: DataFrame, per_axis: int) -> DataFrame:
@@ -15,12 +17,11 @@ def plan(variants: DataFrame, per_axis: int) -> DataFrame:
 
 
 def matrix(profiles: DataFrame, variants: DataFrame, modes: tuple[bool, ...] = (True, False)) -> DataFrame:
-    """Every profile with every variant and mode. The variants are a handful, laid out as an array beside each profile."""
-    few = [r.asDict() for r in variants.select("axis", "label", "group").orderBy("axis", "label").limit(1001).collect()]
-    if len(few) > 1000:
-        raise ValueError("more than 1000 variants")
-    cells = [F.struct(F.lit(v["axis"]).alias("axis"), F.lit(v["label"]).alias("label"), F.lit(v["group"]).alias("group"), F.lit(m).alias("blind")) for v in few for m in modes]
-    return profiles.select("*", F.explode(F.array(*cells)).alias("_c")).select(*profiles.columns, "_c.*") if cells else profiles.limit(0)
+    """Every profile with every variant and mode, which is what an experiment is. The variants of a plan go to the profiles where
+    they are counted and few; else the profiles are laid out first."""
+    cells = variants.select("axis", "label", "group", F.explode(F.array(*map(F.lit, modes)).cast("array<boolean>")).alias("blind"))
+    few = cells.limit(MOST_CELLS + 1).count() <= MOST_CELLS
+    return profiles.crossJoin(F.broadcast(cells) if few else cells)
 
 
 def ranked(obs: DataFrame, *condition: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsift.plans import auditing, documents, evaluation, labelling, ranking, resumes, scoring, screening, stores, streams  # noqa: F401
+from quillsift.plans import auditing, documents, evaluation, labelling, profiles, ranking, resumes, scoring, screening, stores, streams  # noqa: F401
 from quillsift.plans.registry import QUERIES, SQL, Query
 
 

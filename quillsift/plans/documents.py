@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.functions import text as tx
-from quillsift.operators import ingest, locate, pii, spans
+from quillsift.operators import cited, ingest, locate, pii, spans
 from quillsift.plans.registry import query, table
 
 LINES_SQL = """
@@ -155,8 +155,10 @@ WITH l AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9
 SELECT doc_id, round(CASE WHEN len(list_distinct(t || u)) > 0 THEN len(list_intersect(t, u)) / len(list_distinct(t || u)) ELSE 0 END, 6) AS jaccard FROM l WHERE u IS NOT NULL""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the next of its source."""
-    t = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(tx.plain_tokens(F.col("text"))).alias("t"))
-    rows = t.withColumn("u", F.lead("t").over(Window.partitionBy("source").orderBy("doc_id"))).where("u IS NOT NULL")
+    d = table(spark, sf_dir, "documents")
+    t = d.select("doc_id", F.array_distinct(tx.plain_tokens(F.col("text"))).alias("t"))
+    pairs = cited.following(d, "source", "doc_id").where("next IS NOT NULL")
+    rows = pairs.join(t, "doc_id").join(t.select(F.col("doc_id").alias("next"), F.col("t").alias("u")), "next")
     return rows.select("doc_id", F.round(tx.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.functions.text import STOPWORDS
-from quillsift.operators import embed, retrieve
+from quillsift.functions.text import STOPWORDS, cosine
+from quillsift.operators import cited, embed, retrieve
 from quillsift.plans.registry import query, spread, table
 
 K = 5
@@ -84,12 +84,9 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, lead(embedding::DOUBLE[]) OV
 SELECT vec_id, round(coalesce(CASE WHEN sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f)) > 0 THEN list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f))) END, 0), 6) AS cosine FROM v""")
 def cosine_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of each vector with the next of its label; 0 for the last one."""
-    from pyspark.sql import Window
-
-    from quillsift.functions.text import cosine
-
     v = table(spark, sf_dir, "embeddings")
-    follow = v.withColumn("f", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
+    pairs = cited.following(v, "label", "vec_id")
+    follow = pairs.join(v.select("vec_id", "embedding"), "vec_id").join(v.select(F.col("vec_id").alias("next"), F.col("embedding").alias("f")), "next", "left")
     return follow.select("vec_id", F.round(cosine(F.col("embedding"), F.col("f")), 6).alias("cosine"))
 
 
