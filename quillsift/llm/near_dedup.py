@@ -1,7 +1,7 @@
 """MinHash near-dedup with ProbMinHash signatures, banding and exact verification.
 
-1. Map tasks turn each whole text into its five-word shingles, weighted by their counts, and a ProbMinHash signature: a
-   shingle arrives at random registers as a Poisson process with its weight as rate, a register keeps the shingle that
+1. Map tasks turn each whole text into its five-word shingles, each with the weight 1 + ln(count), so that a line said
+   very often doesn't outweigh all else, and a ProbMinHash signature: a shingle arrives at random registers as a Poisson process with its weight as rate, a register keeps the shingle that
    arrived first, and an element is given up once its next arrival is later than every register's (early
    termination). Two texts agree in a register with the probability Jaccard of their weighted shingles. A text that repeats
    some shingles more than others has a second signature with all weights 1, for the Jaccard of the sets.
@@ -11,9 +11,10 @@
 4. Links in a bucket are found by stars (see Stars). The first hub of a bucket is its most central member, that shares
    most buckets with others; most copies are found by it, in as many comparisons as the buckets have members. Rounds
    with other hubs go on among members of different classes until each bucket is of one class. No bucket, group or
-   candidate is capped. Of two texts with one signature each, member and hub are a candidate only if their sets may be
-   alike enough: each set is marked in MARKS bits, a shingle flips one of them, so as many bits as differ in two sets'
-   marks, so many shingles differ at least. That is exact, and decided within the join.
+   candidate is capped. Member and hub are a candidate only if they may be alike enough: each set is marked in MARKS bits,
+   a shingle flips one of them, so as many bits as differ in two sets' marks, so many shingles differ at least (d). As no
+   weight is below 1, the probability Jaccard is at most 1 - d / (sum of both texts' weights). That is exact, and decided
+   within the join.
 5. A pair is a link if the Jaccard similarity of its shingle sets, or the probability Jaccard of its weighted shingles, is
    at least LEAST; both are worked out exactly, from the whole texts.
 
@@ -87,6 +88,11 @@ def is_plain(counts: np.ndarray) -> bool:
     return not len(counts) or bool((counts == counts[0]).all())
 
 
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    """1 + ln(count); 1 each where all are alike."""
+    return np.ones(len(counts)) if is_plain(counts) else 1 + np.log(counts)
+
+
 def digest(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """Of the shingles and their relative weights."""
     return xxhash.xxh3_128_digest(hashes.tobytes() + (b"" if is_plain(counts) else counts.tobytes()))
@@ -131,7 +137,7 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, digest, n, bands, marks, plain); plain: all shingles have one weight, so one signature says it all."""
+    """(id, text) -> (id, digest, n, bands, marks, plain, mass); plain: all shingles have one weight, so one signature says it all."""
     words = Words()
 
     def done(ids: list, found: list) -> pa.RecordBatch:
@@ -141,7 +147,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [is_plain(c) for c in counts]
         again = [k for k, p in enumerate(plain) if not p]  # signed by weight too
         own = np.concatenate([owner, *(np.full(lengths[k], len(sets) + j) for j, k in enumerate(again))])
-        weights = np.concatenate([np.ones(len(owner)), *(counts[k].astype(float) for k in again)])
+        weights = np.concatenate([np.ones(len(owner)), *(weights_of(counts[k]) for k in again)])
         sig = signatures(np.concatenate([*sets, *(sets[k] for k in again)]), weights, own, len(sets) + len(again))
         bands = np.zeros((len(sig), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for r in range(ROWS):
@@ -152,8 +158,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.bincount(owner * MARKS + ((np.concatenate(sets) >> np.uint64(40)) % np.uint64(MARKS)).astype(np.int64), minlength=len(sets) * MARKS)
         marks = np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), -1)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([*map(digest, sets, counts)], pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*marks], pa.list_(pa.int64())), pa.array(plain)],
-            ["id", "digest", "n", "bands", "marks", "plain"],
+            [pa.array(ids, pa.int64()), pa.array([*map(digest, sets, counts)], pa.binary()), pa.array(lengths, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([*marks], pa.list_(pa.int64())), pa.array(plain), pa.array([float(weights_of(c).sum()) for c in counts])],
+            ["id", "digest", "n", "bands", "marks", "plain", "mass"],
         )
 
     for batch in sliced(batches):
@@ -186,7 +192,7 @@ def _by_weight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for a, b, one, two, x, y in zip(*(batch.column(k) for k in range(6)), strict=True):
             one, two = (v.values.to_numpy().view(np.uint64) for v in (one, two))
-            x, y = (v.values.to_numpy() if v.is_valid else np.ones(len(own)) for v, own in ((x, one), (y, two)))
+            x, y = (weights_of(v.values.to_numpy()) if v.is_valid else np.ones(len(own)) for v, own in ((x, one), (y, two)))
             rows.append((a.as_py(), b.as_py(), probability_jaccard(one, x, two, y)))
         a, b, found = (np.array(c) for c in zip(*rows, strict=True))
         near = found >= LEAST - 1e-9
@@ -214,7 +220,8 @@ def met(joined: DataFrame) -> DataFrame:
     apart = reduce(Column.__add__, [F.bit_count(one["marks"][k].bitwiseXOR(two["marks"][k])) for k in range(MARKS // 64)])
     total = one["n"] + two["n"]
     most = F.least((total - apart) / 2, one["n"], two["n"])
-    fits = joined.where(~one["plain"] | ~two["plain"] | (most * (1 + LEAST) >= LEAST * total - 1e-6))
+    by_weight = (~one["plain"] | ~two["plain"]) & (apart <= (1 - LEAST) * (one["mass"] + two["mass"]) + 1e-6)
+    fits = joined.where((most * (1 + LEAST) >= LEAST * total - 1e-6) | by_weight)
     return fits.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
 
 
@@ -222,15 +229,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of docs: id, class_id, class_size (rows); links between copies of one text aren't expanded."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>, marks array<long>, plain boolean"), "signatures")
-    one = F.first(F.struct("n", "bands", "marks", "plain")).alias("of")  # the same in all rows of a digest
+    signed = stored(texts.mapInArrow(_sign, "id long, digest binary, n int, bands array<long>, marks array<long>, plain boolean, mass double"), "signatures")
+    one = F.first(F.struct("n", "bands", "marks", "plain", "mass")).alias("of")  # the same in all rows of a digest
     reps = stored(signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), one), "representatives")
 
     placed = reps.select(F.explode("of.bands").alias("bucket"), F.col("rep").alias("id"))
     shared = stored(placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     rows = stored(placed.join(shared, "bucket"), "bands")
     ids = stored(rows.groupBy("id").agg(F.sum("members").alias("weight")), "ids")
-    facts = ids.join(reps, F.col("id") == F.col("rep")).select("id", "weight", F.struct("of.n", "of.marks", "of.plain").alias("fact"))
+    facts = ids.join(reps, F.col("id") == F.col("rep")).select("id", "weight", F.struct("of.n", "of.marks", "of.plain", "of.mass").alias("fact"))
     whole = texts.join(sized(ids.select("id"), 500_000), "id", "left_semi").mapInArrow(_sets, "id long, digest binary, shingles array<long>, counts array<int>")
     sets = stored(whole.groupBy("id", "digest").agg(F.first(F.struct("shingles", "counts")).alias("s")).select("id", "digest", "s.*"), "sets")
 
