@@ -13,7 +13,7 @@ Definitions: null text is empty and counts as one empty passage; label rows with
 repeated label rows the mean decides (0.5 and more is 1); without two classes in the sample the score is the share of
 label 1 (0.5 without labels). Repeated documents each get their row, and count once in the sample; different texts of one
 id each count, ordered by hash, so reruns agree. Of further columns only those named with `__` in front may clash: one
-named `__score` is replaced. A very long text is a bag of as many passages as it has, in one worker.
+named `__score` fails as ambiguous. A very long text is a bag of as many passages as it has, in one worker.
 """
 
 from __future__ import annotations

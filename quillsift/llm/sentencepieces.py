@@ -30,7 +30,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 MODEL = "piece_bpe_32k.model"
 #: Chunks and words that a task keeps at most, and the longest that it keeps: about 100 MB.
 KEPT_CHUNKS, KEPT_WORDS, KEPT_LENGTH = 200_000, 80_000, 48
-#: Of so many texts in an Arrow batch, one is compared with the library, and so the first one always is.
+#: Of so many texts in an Arrow batch, one is compared with the library, the batch's first one among them.
 COMPARE_EVERY = 200
 
 
