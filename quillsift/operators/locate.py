@@ -8,19 +8,23 @@ pattern is made of a quote.
 
 from __future__ import annotations
 
+import math
+import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.functions.text import jaccard, plain_tokens, stripped
+from quillsift.functions.text import stripped
 from quillsift.operators.beside import beside
 
 LEAST_LENGTH, FUZZY = 4, 0.6
 MULTIPLIER = 0x9E3779B97F4A7C15
+PLAIN, BLANK = re.compile("[a-z0-9]+"), " \t\n\x0b\f\r"
 
 
 def folded(t: str) -> str:
@@ -156,60 +160,73 @@ def placed(quotes: DataFrame, docs: DataFrame, strategies: tuple[str, ...] = STR
     return beside(quotes, docs, ["quote", *(["low", "high"] if windowed else [])], work, {"hit": HIT})
 
 
-def _by_rarity(lines: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(document_id, line_no, t) and (document_id, quote_id, q): different words, the rarest of the document first.
+def prefix(words: set[str], count: dict[str, int]) -> list[str]:
+    """The rarest words of a set: two sets that are alike by FUZZY share one of them, whatever else they share."""
+    return sorted(words, key=lambda w: (count.get(w, 0), w))[: len(words) - math.ceil(FUZZY * len(words) - 1e-9) + 1]
 
-    Before each word stands the number of the document's lines that have it. Everything follows from one shuffle by document.
-    """
-    name = F.struct("quote_id")
-    none = F.lit(None).cast(quotes.select(name).schema[0].dataType)
-    rows = lines.select("document_id", "line_no", none.alias("id"), F.array_distinct(plain_tokens(F.col("line"))).alias("t"))
-    rows = rows.unionByName(quotes.select("document_id", F.lit(None).cast(lines.schema["line_no"].dataType).alias("line_no"), name.alias("id"), F.array_distinct(plain_tokens(F.col("quote"))).alias("t")))
-    each = rows.select("document_id", "line_no", "id", F.explode("t").alias("w")).repartition("document_id")
-    each = each.withColumn("n", F.count("line_no").over(Window.partitionBy("document_id", "w")))
-    ranked = F.concat(F.lpad(F.col("n").cast("string"), 10, "0"), "w")
-    sets = each.groupBy("document_id", "line_no", "id").agg(F.sort_array(F.collect_list(ranked)).alias("t"))
-    return sets.where("id IS NULL").drop("id"), sets.where("id IS NOT NULL").select("document_id", F.col("id.quote_id").alias("quote_id"), F.col("t").alias("q"))
-
-
-def fuzzy(quotes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Best of single lines and pairs of neighbouring lines by shared words, at least FUZZY.
-
-    quotes: (document_id, quote_id, quote); lines: (document_id, line_no, start, end, line). The first best wins, a line
-    before the pair that it begins. Quotes may have a window (low, high) that their lines must lie in; null is the whole text.
-
-    A join of similar sets: words are ordered by rarity within the document, and two sets that are alike enough share one of
-    the first n - ceil(FUZZY * n) + 1 of each. So only those are joined, sizes are compared, and a pair counts at the
-    first word that it shares there.
+
+class Lines:
+    """A text's lines and pairs of neighbouring lines as sets of words, indexed by the rarest words of each."""
+
+    def __init__(self, text: str) -> None:
+        lines, at = [], 0
+        for line in text.split("\n"):
+            if line.strip(BLANK):
+                lines.append((at, at + len(line), frozenset(PLAIN.findall(line.lower()))))
+            at += len(line) + 1
+        self.count = Counter(w for _, _, words in lines for w in words)
+        self.places: dict[frozenset[str], list[tuple[int, int]]] = {}  # the same set of words has its places in order
+        for k, (start, end, words) in enumerate(lines):
+            self.places.setdefault(words, []).append((start, end))
+            if k + 1 < len(lines):
+                self.places.setdefault(words | lines[k + 1][2], []).append((start, lines[k + 1][1]))
+        self.index: dict[str, list[frozenset[str]]] = {}
+        for words in self.places:
+            for w in prefix(words, self.count):
+                self.index.setdefault(w, []).append(words)
+
+    def best(self, quote: str, low: int, high: int) -> tuple[int, int, float] | None:
+        """Place and similarity of what is most like the quote within [low, high): the first best, a line before a pair."""
+        asked, found = {*PLAIN.findall(quote.lower())}, None
+        for words in {x for w in prefix(asked, self.count) for x in self.index.get(w, ())}:
+            if not FUZZY * len(asked) - 1e-9 <= len(words) <= len(asked) / FUZZY + 1e-9:
+                continue
+            score = len(asked & words) / len(asked | words)
+            if score >= FUZZY and (place := next((p for p in self.places[words] if p[0] >= low and p[1] <= high), None)):
+                found = min(found or (0.0, 0, 0), (-score, *place))
+        return found and (found[1], found[2], -found[0])
+
+
+def fuzzy(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(document_id, quote_id, start, end, score): for quotes (document_id, quote_id, quote) the line, or the two neighbouring lines, of the
+    document that share most words with it, at least FUZZY of all words of both; quotes without such lines are left out.
+
+    Quotes may have a window (low, high) that the lines must lie in; null is the whole text. A prefix-filtered join of sets
+    within the document: words are ordered by rarity, only the rarest of each set are looked up, sizes are compared before the
+    sets, and equal sets are one entry.
     """
-    order = Window.partitionBy("document_id").orderBy("line_no")
-    full = lines.where(stripped(F.col("line")) != "").withColumn("next_end", F.lead("end").over(order)).select("document_id", "line_no", "start", "end", "next_end", "line")
-    ranked, asked = _by_rarity(full, quotes)
-    none = F.array().cast("array<string>")
-    full = full.drop("line").join(ranked, ["document_id", "line_no"], "left").withColumn("t", F.coalesce("t", none)).withColumn("next", F.lead("t").over(order))
-    single = full.select("document_id", "line_no", F.lit(0).alias("pair"), "start", "end", "t")
-    double = full.where("next_end IS NOT NULL").select("document_id", "line_no", F.lit(1).alias("pair"), "start", F.col("next_end").alias("end"), F.sort_array(F.array_union("t", "next")).alias("t"))
-    prefix = lambda c: F.slice(c, F.lit(1), F.size(c) - F.ceil(F.lit(FUZZY) * F.size(c) - 1e-9).cast("int") + 1)
-    windows = single.unionByName(double).where(F.size("t") > 0).withColumn("ahead", prefix(F.col("t")))
-    kept = [c for c in ("low", "high") if c in quotes.columns]
-    asked = asked.join(quotes.select("document_id", "quote_id", *kept), ["document_id", "quote_id"]) if kept else asked
-    asked = asked.withColumn("q_ahead", prefix(F.col("q")))
-    inside = (F.col("start") >= F.coalesce("low", F.lit(0))) & (F.col("end") <= F.coalesce("high", F.col("end"))) if kept else F.lit(True)
-    met = windows.withColumn("w", F.explode("ahead")).join(asked.withColumn("w", F.explode("q_ahead")), ["document_id", "w"])
-    alike = (F.size("t") >= FUZZY * F.size("q") - 1e-9) & (F.size("q") >= FUZZY * F.size("t") - 1e-9)
-    first = F.get(F.array_intersect("ahead", "q_ahead"), F.lit(0)) == F.col("w")
-    scored = met.where(alike & inside & first).withColumn("score", jaccard(F.col("q"), F.col("t"))).where(F.col("score") >= FUZZY)
-    best = F.struct((-F.col("score")).alias("s"), "line_no", "pair", "start", "end")
-    return scored.groupBy("document_id", "quote_id").agg(F.min(best).alias("b")).select("document_id", "quote_id", "b.start", "b.end", (-F.col("b.s")).alias("score"))
+    windowed = "low" in quotes.columns
+
+    def work(text: str | None, rows: list[dict]) -> list[tuple]:
+        if text is None:
+            return [(None,)] * len(rows)
+        lines, out = Lines(text), []
+        for r in rows:
+            low, high = (r["low"] or 0, len(text) if r["high"] is None else r["high"]) if windowed else (0, len(text))
+            found = lines.best(r["quote"] or "", low, high)
+            out.append((found and dict(zip(("start", "end", "score"), found, strict=True)),))
+        return out
+
+    kind = ("struct<start:int,end:int,score:double>", pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    found = beside(quotes, docs, ["quote", *(["low", "high"] if windowed else [])], work, {"_near": kind})
+    return found.where("_near IS NOT NULL").select("document_id", "quote_id", "_near.*")
 
 
 def located(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Cascade over (document_id, quote_id, quote), perhaps with a window (low, high): start, end, score and strategy, null where
     nothing is found. All quotes of a document, and what they are found as, at once."""
-    from quillsift.operators.ingest import lines
-
     found = placed(quotes, docs)
     rest = found.where(F.col("hit").isNull() & (F.length(stripped(F.col("quote"))) >= LEAST_LENGTH))
-    near = fuzzy(rest.drop("hit"), lines(docs.select("document_id", "text"), "document_id"))
-    near = near.select("document_id", "quote_id", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score", F.lit("fuzzy").alias("strategy")).alias("near"))
+    near = fuzzy(rest.drop("hit"), docs)
+    near = near.select("document_id", "quote_id", F.struct("start", "end", "score", F.lit("fuzzy").alias("strategy")).alias("near"))
     return found.join(near, ["document_id", "quote_id"], "left").select("document_id", "quote_id", F.coalesce("hit", "near").alias("hit")).select("document_id", "quote_id", "hit.*")

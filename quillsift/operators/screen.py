@@ -36,7 +36,7 @@ def cite(fields: DataFrame, docs: DataFrame) -> DataFrame:
     first = Window.partitionBy("document_id", "quote_id.field_id")
     left = found.withColumn("_hit", F.min(F.when(F.col("hit").isNotNull(), F.col("quote_id.try"))).over(first)).where(F.col("_hit").isNull() | (F.col("quote_id.try") < F.col("_hit")))
     left = left.where(F.length("quote") >= locate.LEAST_LENGTH).select("document_id", "quote_id", "quote", "low", "high")
-    near = locate.fuzzy(left, ingest.lines(docs.select("document_id", "text"), "document_id"))
+    near = locate.fuzzy(left, docs)
     place = lambda start, end, score: F.struct("quote_id.try", F.col(start).cast("int").alias("start"), F.col(end).cast("int").alias("end"), F.col(score).alias("score"))
     hits = found.where("hit IS NOT NULL").select("document_id", F.col("quote_id.field_id").alias("field_id"), place("hit.start", "hit.end", "hit.score").alias("b"))
     best = hits.unionByName(near.select("document_id", F.col("quote_id.field_id").alias("field_id"), place("start", "end", "score").alias("b")))

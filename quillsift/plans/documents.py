@@ -200,7 +200,7 @@ def locate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with a word put before it."""
     l = lines(spark, sf_dir)  # noqa: E741
     q = l.select("document_id", F.col("line_no").cast("long").alias("quote_id"), F.concat(F.lit("zz "), "line").alias("quote"))
-    return locate.fuzzy(q, l).withColumn("score", F.round("score", 6))
+    return locate.fuzzy(q, docs(spark, sf_dir)).select("document_id", "quote_id", F.col("start").cast("long"), F.col("end").cast("long"), F.round("score", 6).alias("score"))
 
 
 @query("locate_cascade")
