@@ -13,7 +13,8 @@ and keys of documentation. Pattern spans are never suppressed.
 
 Null text is empty and has no spans. Spans that start together are ordered by kind. Repeated rows each get their row;
 only the id and text columns are read, under names of their own; an empty table gives an empty result. Matches of a row
-are laid out as rows for the offsets, characters of a candidate as an array, so long texts and candidates cost in proportion.
+are laid out as rows for the offsets, so long texts cost in proportion; a single candidate run of 10 000 and 20 000 characters took
+1.5 and 6 s when measured, which is more than in proportion.
 """
 
 from __future__ import annotations
