@@ -4,8 +4,8 @@
 2. The directory doubles until no bucket has more than `capacity` different keys, or it has 2**MAX_DEPTH slots. It is
    worked out from counts by key prefix (at most 2**MAX_DEPTH numbers), and written beside the entries. A group of
    copies is one key, so it never overfills a bucket.
-3. Map tasks read and hash the texts again, and go on with those whose key occurs twice (a semi join, before any shuffle
-   of texts where these keys are counted and few). They collapse copies that they meet (comparing bytes), so a group
+3. Map tasks read and hash the texts again, and go on with those whose key is in a Bloom filter of the keys that occur
+   twice (64 MB at most; a text that passes by chance is a group of one), before any shuffle of texts. They collapse copies that they meet (comparing bytes), so a group
    holding a third of all rows sends one text per map task. Owner tasks take whole buckets, each a range of keys,
    sorted by key; texts of one key are chained and compared byte by byte.
 4. Entries are joined with the chains.
@@ -13,7 +13,7 @@
 Definitions: null text is empty; texts are equal if equal after deleting [\\x20\\x09-\\x0D]; all-blank texts are one
 group. Of equal texts the row with most code points stays, then the smallest id (null ids last); of rows repeated with
 their id, one stays (any of them: they differ in other columns at most). Ids are integers or strings. Only the id and text
-columns are read; other names may clash, but for names with `__` in front in keep_one(). A very long text is one row, held
+columns are read; other columns may have any name. A very long text is one row, held
 once or twice by a worker. An empty table gives an empty result.
 """
 
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, new_folder, same, sized, sliced, small_batches, table
+from quillsift.llm.common import cut, flagged, new_folder, release, resting, same, sliced, small_batches, table, unused
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 MAX_DEPTH = 16
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
 #: A map task hands on the texts it has collapsed when they reach this many bytes.
 FLUSH_BYTES = 16 << 20
+#: So many rows (id, hash, size) of texts that go are broadcast.
+MOST_GONE = 200_000
 
 
 def sha256(body: bytes) -> bytes:
@@ -158,33 +160,35 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     spark.createDataFrame([(k, b, d) for k, (b, d) in enumerate(slots)], "slot long, bucket int, depth int").coalesce(1).write.parquet(f"{folder}/directory")
     buckets = F.broadcast(spark.read.parquet(f"{folder}/directory"))
 
-    twice = sized(keys.where("n > 1").select("key"), 1_000_000)
     run, schema = _entries(kind, True, digest)
-    columns = "key long, hash string, body binary, rows long, size long, id " + kind
+    fields = "key long, hash string, body binary, rows long, size long, id " + kind
     arrow = pa.schema([("key", pa.int64()), ("hash", pa.string()), ("body", pa.binary()), ("rows", pa.int64()), ("size", pa.int64()), ("id", ARROW[kind])])
-    texts = picked.mapInArrow(run, schema).join(twice, "key", "left_semi").mapInArrow(_collapse(arrow), columns)
-    owned = texts.withColumn("slot", slot(len(slots).bit_length() - 1)).join(buckets, "slot").drop("slot", "depth")
+    texts = flagged(picked.mapInArrow(run, schema), F.col("key"), keys.where("n > 1").select("key"), "again").where("again").drop("again")
+    owned = texts.mapInArrow(_collapse(arrow), fields).withColumn("slot", slot(len(slots).bit_length() - 1)).join(buckets, "slot").drop("slot", "depth")
     owned = owned.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("key", "hash").drop("bucket")
-    chains = owned.mapInArrow(_chain(arrow), columns)
-    chains = cut(chains.select("key", "hash", "body", F.col("rows").alias("group_size"), F.col("size").alias("keep_size"), F.col("id").alias("keep_id")))
+    whole = owned.mapInArrow(_chain(arrow), fields).select("key", "hash", "body", F.col("rows").alias("group_size"), F.col("size").alias("keep_size"), F.col("id").alias("keep_id"))
+    chains = cut(whole.drop("body"))
 
-    found = chains.drop("body").withColumnsRenamed({"key": "k", "hash": "h"})
+    found = chains.withColumnsRenamed({"key": "k", "hash": "h"})
     clash = chains.groupBy("key", "hash").count().where("count > 1").select("key", "hash")
-    if clash.limit(1).count():  # different texts with the same full hash: their rows are told apart by text
-        run, schema = _entries(kind, True, digest)
+    clashes = clash.limit(1).count() > 0
+    if clashes:  # different texts with the same full hash: their rows are told apart by text
+        bodies = cut(whole.join(clash, ["key", "hash"], "left_semi"))
         theirs = picked.mapInArrow(run, schema).join(clash, ["key", "hash"], "left_semi")
         mark = F.row_number().over(Window.partitionBy("id", "key", "hash", "body").orderBy(F.desc("size")))
-        split = theirs.withColumn("copy", mark).join(chains, ["key", "hash", "body"]).drop("body")
+        split = theirs.withColumn("copy", mark).join(bodies, ["key", "hash", "body"]).drop("body")
         entries = entries.join(clash, ["key", "hash"], "left_anti")
+    release(keys)
     joined = entries.join(found, (F.col("key") == F.col("k")) & (F.col("hash") == F.col("h")), "left").drop("k", "h")
-    if clash.limit(1).count():
+    if clashes:
         joined = joined.unionByName(split.select(joined.columns))
     group = F.coalesce("group_size", F.lit(1)).cast("long")
     alone = F.col("group_size").isNull()
-    return joined.select(
+    out = joined.select(
         "id", "hash", "size", F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("keep_size", "size").alias("keep_size"), group.alias("group_size"),
         (alone | (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size")) & (F.col("copy") == 1))).alias("kept"), "copy",
     )
+    return resting(out, folder, chains, *([bodies] if clashes else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,16 +197,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact dedup drops; all columns stay as they are."""
+    """docs without the rows that exact dedup drops; all columns stay as they are.
+
+    Rows whose hash isn't in a Bloom filter of those that go stay without a shuffle, where those that go are too many to broadcast.
+    """
     found = groups(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"__hash": F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256), "__size": F.length(text)})
-    gone = found.where("NOT (id <=> keep_id AND size = keep_size)").select(F.col("id").alias("__i"), F.col("hash").alias("__h"), F.col("size").alias("__n"))
-    gone = sized(cut(gone.distinct()))
-    left = marked.join(gone, same(marked, gone, {id_col: "__i", "__hash": "__h", "__size": "__n"}), "left_anti")
-    if found.where("copy > 1").limit(1).count():
-        left = left.dropDuplicates([id_col, "__hash"])
-    return left.drop("__hash", "__size")
+    digest, size, flag = unused(docs, "_hash", "_size", "_flag")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = docs.withColumns({digest: F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256), size: F.length(text)})
+    i, h, n = unused(marked, "_gone_id", "_gone_hash", "_gone_size")
+    gone = cut(found.where("NOT (id <=> keep_id AND size = keep_size)").select(F.col("id").alias(i), F.col("hash").alias(h), F.col("size").alias(n)).distinct())
+    repeated = found.where("copy > 1").limit(1).count() > 0
+    release(found)
+    apart = lambda rows, out: rows.join(out, same(rows, out, {id_col: i, digest: h, size: n}), "left_anti")
+    if gone.limit(MOST_GONE + 1).count() <= MOST_GONE:
+        left = apart(marked, F.broadcast(gone))
+    else:
+        rows = flagged(marked, F.xxhash64(F.col(digest)), gone.select(F.xxhash64(F.col(h)).alias("k")), flag)
+        left = rows.where(~F.col(flag)).drop(flag).unionByName(apart(rows.where(F.col(flag)).drop(flag), gone))
+    if repeated:
+        left = left.dropDuplicates([id_col, digest])
+    return left.drop(digest, size)
 
 
 ORACLE = """

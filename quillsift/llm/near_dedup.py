@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import Stars, release, sized, sliced, small_batches, stored, table
+from quillsift.llm.common import Stars, flagged, release, resting, sliced, small_batches, stored, table, unused
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -45,6 +45,8 @@ REGISTERS = BANDS * ROWS
 #: Shingles that are signed together.
 BLOCK = 150_000
 MARKS = 1024
+#: So many ids of documents that go are broadcast.
+MOST_GONE = 500_000
 SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -238,7 +240,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = stored(placed.join(shared, "bucket"), "bands")
     ids = stored(rows.groupBy("id").agg(F.sum("members").alias("weight")), "ids")
     facts = ids.join(reps, F.col("id") == F.col("rep")).select("id", "weight", F.struct("of.n", "of.marks", "of.plain", "of.mass").alias("fact"))
-    whole = texts.join(sized(ids.select("id"), 500_000), "id", "left_semi").mapInArrow(_sets, "id long, digest binary, shingles array<long>, counts array<int>")
+    asked = flagged(texts, F.col("id"), ids.select("id"), "asked").where("asked").select("id", "text")  # and a few more by chance
+    whole = asked.mapInArrow(_sets, "id long, digest binary, shingles array<long>, counts array<int>")
     sets = stored(whole.groupBy("id", "digest").agg(F.first(F.struct("shingles", "counts")).alias("s")).select("id", "digest", "s.*"), "sets")
 
     stars = Stars(met, lambda pairs: similar(pairs, sets))
@@ -255,7 +258,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     release(former, totals, stars.groups, reps, *stars.links)
     known = F.col("id").isNotNull()
     joined = signed.select("id", "digest").join(named, F.col("digest") == F.col("_d"), "left")
-    return joined.select("id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("class_size")).alias("class_size"))
+    out = joined.select("id", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("class_size")).alias("class_size"))
+    return resting(out, signed, named)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +268,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each class; all columns stay as they are."""
-    gone = sized(stored(classes(docs, id_col, text_col).where("id <> class_id").select(F.col("id").alias("__gone")).distinct(), "gone"), 500_000)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """docs with the smallest id of each class; all columns stay as they are.
+
+    Rows whose id isn't in a Bloom filter of those that go stay without a shuffle, where those that go are too many to broadcast.
+    """
+    (own, flag), i = unused(docs, "_gone", "_flag"), F.col(id_col).cast("long")
+    found = classes(docs, id_col, text_col)
+    gone = stored(found.where("id <> class_id").select(F.col("id").alias(own)).distinct(), "gone")
+    release(found)
+    if gone.limit(MOST_GONE + 1).count() <= MOST_GONE:
+        return docs.join(F.broadcast(gone), i == F.col(own), "left_anti")
+    rows = flagged(docs, i, gone, flag)
+    maybe = rows.where(F.col(flag)).drop(flag)
+    return rows.where(~F.col(flag)).drop(flag).unionByName(maybe.join(gone, i == F.col(own), "left_anti"))

@@ -10,9 +10,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillsift.llm import exact_dedup, near_dedup
-from quillsift.llm.common import components
+from quillsift.llm.common import components, flagged
 from tests.oracle import SF, compare
 
 SCHEMA = "doc_id long, text string, id string, hash int, key int, size string"
@@ -215,3 +216,26 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 30)] + [(100, k) for k in range(101, 160)] + [(200, 200), (7, 6), (None, 3)]
     got = {r.id: r.class_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(31)} | {k: 100 for k in range(100, 160)}
+
+
+def test_flagged_misses_no_key(spark):
+    keys, rows = spark.range(5000).selectExpr("id * 7919 AS k"), spark.range(-20_000, 0).selectExpr("xxhash64(id) AS q", "'x' AS _block", "1 AS `_words.a`")
+    got = flagged(rows.unionByName(keys.selectExpr("k AS q", "null AS _block", "2 AS `_words.a`")), F.col("q"), keys, "hit")
+    assert got.columns == [*rows.columns, "hit"] and got.where("`_words.a` = 2 AND NOT hit").count() == 0
+    assert got.where("`_words.a` = 1 AND hit").count() < 400 and got.where("`_words.a` = 1").count() == 20_000
+    assert flagged(keys, F.col("k"), keys.limit(0), "hit").where("hit").count() == 0
+    full = flagged(rows.selectExpr("q").unionByName(keys.selectExpr("k AS q")), F.col("q"), keys, "hit", most_blocks=1)  # a filter too small flags others, loses none
+    assert full.join(keys, F.col("q") == F.col("k")).where("NOT hit").count() == 0
+
+
+@pytest.mark.parametrize("module", [exact_dedup, near_dedup])
+def test_kept_rows_beyond_a_broadcast(spark, module, monkeypatch):
+    base = texts(80)
+    rows = base + [(1000 + i, t) for i, t in base[:30]] + [(2000, None), (2001, ""), (None, "ab"), (2002, base[0][1])]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6) for i, t in rows], "doc_id long, text string, _hash int, __size int, _flag int, _gone int, _gone_id int, `a.b` int")
+    few = module.keep_one(docs)
+    monkeypatch.setattr(module, "MOST_GONE", 0)
+    many = module.keep_one(docs)
+    assert few.columns == many.columns == docs.columns
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert order(few) == order(many) and len(order(few)) < len(rows)
