@@ -13,7 +13,7 @@ Definitions: a null source is a source of its own, ordered last; null text has s
 targets of sources share `factor` times all sizes by weights 3, 1, 2, repeating in code point order of the source; a
 target stops at 2 times its source's size and the excess is shared again by weight (closed form: the water level at
 which min(2 * size, level * weight) adds up). Equal hashes are ordered by id, then size. Only the id, source and text
-columns are read. A very long text is one row, and is cut in its row. An empty table gives an empty result.
+columns are read, further ones may have any name. A very long text is one row, and is cut in its row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import cut, same, table
+from quillsift.llm.common import columns, cut, release, resting, same, table, unused
 
 SEED, FACTOR, MOST = "mix-1", 1.5, 2
 #: Slices of a source's hash range (hex digits) and of virtual time.
@@ -56,8 +56,8 @@ def take(sized: DataFrame, factor: float = FACTOR) -> DataFrame:
     sized = cut(sized.withColumn("slice", F.substring("order", 1, SLICE_DIGITS)))
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = cut(slices.withColumn("before", F.coalesce(F.sum("in_slice").over(before), F.lit(0))))
-    goals = cut(targets(slices.groupBy("source").agg(F.sum("in_slice").alias("source_size")), factor))
+    slices = kept = cut(slices.withColumn("before", F.coalesce(F.sum("in_slice").over(before), F.lit(0))))
+    goals = goals_kept = cut(targets(slices.groupBy("source").agg(F.sum("in_slice").alias("source_size")), factor))
     slices = slices.withColumnsRenamed({"source": "_s", "slice": "_l"}).drop("in_slice")
     inner = Window.partitionBy("source", "slice").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     run = sized.withColumn("within", F.sum("size").over(inner))
@@ -69,8 +69,9 @@ def take(sized: DataFrame, factor: float = FACTOR) -> DataFrame:
     passes = F.posexplode(F.sequence(F.lit(1), F.lit(MOST)))
     entries = run.select("id", "source", "size", "order", "mark", "source_size", "target", "row", "upto", passes.alias("again", "turn"))
     finish = F.when(F.col("target") > 0, (F.col("upto") + F.col("again") * F.col("source_size")) / F.col("target")).otherwise(F.lit(float(MOST * 10)))
-    entries = cut(entries.withColumn("finish", finish).withColumn("slice", F.least(F.floor(F.col("finish") * (TIME_SLICES // 2)), F.lit(TIME_SLICES)).cast("int")))
+    entries = entries_kept = cut(entries.withColumn("finish", finish).withColumn("slice", F.least(F.floor(F.col("finish") * (TIME_SLICES // 2)), F.lit(TIME_SLICES)).cast("int")))
     budget = goals.agg(F.coalesce(F.floor(F.sum("target") + 0.5), F.lit(0)).cast("long")).first()[0]
+    release(sized, kept, goals_kept)
     times = entries.groupBy("slice").agg(F.sum("size").alias("in_slice"))  # at most TIME_SLICES + 1 rows
     times = times.withColumn("before", F.coalesce(F.sum("in_slice").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     times = times.select("slice", "in_slice", (F.lit(budget) - F.col("before")).alias("left"))
@@ -80,7 +81,8 @@ def take(sized: DataFrame, factor: float = FACTOR) -> DataFrame:
     ahead = F.sum("size").over(Window.partitionBy("slice").orderBy("finish", "source", "order", "again", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     edge = entries.where("left > 0 AND left < in_slice").withColumn("taken", F.greatest(F.lit(0), F.least("size", F.col("left") - ahead)))
     taken = whole.unionByName(none).unionByName(edge)
-    return taken.groupBy("row", "id", "source", "size", "mark", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
+    out = taken.groupBy("row", "id", "source", "size", "mark", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
+    return resting(out, entries_kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,23 +93,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The mix itself, with the columns of docs: a document is there as often as it is taken, a part of it cut after its words.
 
-    length_col, if docs has it, is the length of the text again where the text was cut. Equal rows
-    share what they take; what isn't divisible by their number (fewer words than there are such rows) is left out.
+    length_col, if docs has it, is the length of the text again where the text was cut. Rows equal in id, source and text
+    share what they take; what isn't divisible by their number is one more part of one of them.
     """
-    found = take(sizes(docs, id_col, source_col, text_col))
-    found = found.groupBy(F.col("id").alias("__i"), F.col("source").alias("__s"), F.col("mark").alias("__m"), F.col("size").alias("__n")).agg(F.floor(F.sum("taken") / F.count("*")).alias("__taken"))
-    found = found.where("__taken > 0")
+    entries = take(sizes(docs, id_col, source_col, text_col))
+    mark, source = unused(docs, "_mark", "_source")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumns({"__mark": F.xxhash64(text), "__source": F.col(source_col).cast("string")})
-    rows = marked.join(found, same(marked, found, {id_col: "__i", "__source": "__s", "__mark": "__m"}))
-    rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__n")).cast("int") - 1)))
-    words = F.least("__n", F.col("__taken") - F.col("__turn") * F.col("__n")).cast("int")
+    marked = docs.withColumns({mark: F.xxhash64(text), source: F.col(source_col).cast("string")})
+    i, s, m, n, share, rest, turn = unused(marked, "_i", "_s", "_m", "_n", "_share", "_rest", "_turn")
+    both = F.sum("taken").cast("long"), F.count("*")
+    found = entries.groupBy(F.col("id").alias(i), F.col("source").alias(s), F.col("mark").alias(m), F.col("size").alias(n))
+    found = cut(found.agg(F.floor(both[0] / both[1]).alias(share), F.pmod(*both).alias(rest)).where((F.col(share) > 0) | (F.col(rest) > 0)))
+    release(entries)
+    met = lambda which: marked.join(which, same(marked, which, {id_col: i, source: s, mark: m}))
+    rows = met(found.where(F.col(share) > 0).drop(rest))
+    left = found.where(F.col(rest) > 0)
+    if left.limit(1).count():
+        rows = rows.unionByName(met(left.drop(share).withColumnRenamed(rest, share)).dropDuplicates([id_col, source, mark]))
+    rows = rows.withColumn(turn, F.explode(F.sequence(F.lit(0), F.ceil(F.col(share) / F.col(n)).cast("int") - 1)))
+    words = F.least(F.col(n), F.col(share) - F.col(turn) * F.col(n)).cast("int")
     start = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, words), "")
-    part = words < F.col("__n")
-    rows = rows.withColumn(text_col, F.when(part, start).otherwise(F.col(text_col)))
+    part = words < F.col(n)
+    changed = {text_col: F.when(part, start).otherwise(F.col(text_col))}
     if length_col in docs.columns:
-        rows = rows.withColumn(length_col, F.when(part, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return rows.select(docs.columns)
+        changed[length_col] = F.when(part, F.length(start)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
+    return rows.withColumns(changed).select(*columns(docs))
 
 
 ORACLE = rf"""
