@@ -12,8 +12,8 @@ text) mod 4 <> 2 only.
 Definitions: null text is empty and counts as one empty passage; label rows with a null id or label are left out, of
 repeated label rows the mean decides (0.5 and more is 1); without two classes in the sample the score is the share of
 label 1 (0.5 without labels). Repeated documents each get their row, and count once in the sample; different texts of one
-id each count, ordered by hash, so reruns agree. Of further columns only those named with `__` in front may clash: one
-named `__score` fails as ambiguous. A very long text is a bag of as many passages as it has, in one worker.
+id each count, ordered by hash, so reruns agree. Further columns may have any name; scores() replaces
+one named as its score. A very long text is a bag of as many passages as it has, in one worker.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import sliced, small_batches, table
+from quillsift.llm.common import sliced, small_batches, table, unused
 
 PASSAGE, MAX_TRAIN, MAX_PASSAGES, THRESHOLD = 64, 4_000, 200_000, 0.7
 BUCKETS, HIDDEN, GATE, ROUNDS, RATE, DECAY, SEED = 16, 12, 8, 150, 0.03, 1e-4, 11
@@ -177,9 +177,10 @@ def train(
     return fit([np.frombuffer(x, "<f4").reshape(-1, FEATURES).astype(float) for *_, x in found], np.array([y for _, _, y, _ in found]))
 
 
-def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' columns with `__score`; every passage of every text is read."""
+def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", score_col: str = "__score") -> DataFrame:
+    """docs' columns with score_col, which replaces one of that name; every passage of every text is read."""
     small_batches(docs.sparkSession)
+    docs = docs.drop(score_col)
     fields = docs.schema.fields
     at = docs.columns.index(text_col)
 
@@ -198,10 +199,11 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             if bags:
                 out += score(model, bags).tolist()
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{kinds}, __score double")
+    plain = [f"c{k}" for k in range(len(fields))]  # whatever characters the names have
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, fields, strict=True))
+    return docs.toDF(*plain).mapInArrow(run, f"{kinds}, score double").toDF(*docs.columns, score_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,4 +216,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that score below THRESHOLD."""
     model = train(docs, labels, id_col, text_col)
-    return scores(docs, model, id_col, text_col).where(F.col("__score") >= THRESHOLD).drop("__score")
+    (own,) = unused(docs, "__score")
+    return scores(docs, model, id_col, text_col, own).where(F.col(own) >= THRESHOLD).drop(own)

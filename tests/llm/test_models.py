@@ -213,6 +213,23 @@ def test_mixing_edges(spark):
     assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * 2
 
 
+def test_mix_of_equal_rows_loses_no_word(spark):
+    rows = [(1, "a", "w1 w2 w3")] * 3 + [(2, "b", "x y z u v"), (3, None, "q"), (3, None, "q"), (None, "b", None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, source string, text string, _mark int, _turn int, `a.b` int")
+    taken = mixing.take(mixing.sizes(docs)).agg({"taken": "sum"}).first()[0]
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and sum(len(r.text.split()) for r in mixed.collect()) == taken
+
+
+def test_quality_names(spark):
+    docs = spark.createDataFrame([(1, "some words", "s", 1, 2), (2, None, "s", 1, 2)], "doc_id long, text string, __score string, `a.b` int, c0 int")
+    model, labels = {"constant": 0.9}, spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = quality.scores(docs, model)
+    assert got.columns == ["doc_id", "text", "a.b", "c0", "__score"] and {r["__score"] for r in got.collect()} == {0.9}
+    kept = quality.keep_good(spark, docs, labels)
+    assert kept.columns == docs.columns and {r["__score"] for r in kept.collect()} == {"s"}
+
+
 def test_mixing_sql(spark):
     assert compare(spark, mixing.query, mixing.ORACLE) == ""
 
