@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, exact dedup, near dedup, mixing, tokenising; each stage reads what the last one kept.
 
 All stages but the last keep the columns of documents. Empty and null texts are kept or dropped by the stages' own rules
-(see their modules); an empty table goes through.
+(see their modules); an empty table goes through. Very long texts pass each stage as one row; of ties and repeated rows one
+stays; further columns go through under their own names, whatever these are.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillsift.llm import exact_dedup, mixing, near_dedup, quality, sentencepieces
-from quillsift.llm.common import stored, table
+from quillsift.llm.common import release, stored, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; what a stage keeps is written to the shared folder and read again."""
+    """All stages in turn over documents; what a stage keeps is written to the shared folder, read again, and then deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, former = stored(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        release(former)
     return STAGES[-1][1](spark, docs, sf_dir)
