@@ -1,6 +1,7 @@
 """Exact dedup with an extendible-hash index on shared files.
 
-1. Map tasks write an entry file per document: key (64 bits of the hash), full hash, length, id. No text is moved.
+1. Map tasks write an entry file per document: key (64 bits of the hash), full hash, length, id. No text is moved, and
+   none goes to Python: normalising and SHA-256 are Spark functions.
 2. The directory doubles until no bucket has more than `capacity` different keys, or it has 2**MAX_DEPTH slots. It is
    worked out from counts by key prefix (at most 2**MAX_DEPTH numbers), and written beside the entries. A group of
    copies is one key, so it never overfills a bucket.
@@ -82,6 +83,18 @@ def _entries(kind: str, with_body: bool, digest: Callable[[bytes], bytes]) -> tu
     return run, f"id {kind}, key long, hash string, size long" + ", body binary" * with_body
 
 
+def hashed(picked: DataFrame, digest: Callable[[bytes], bytes], with_body: bool) -> DataFrame:
+    """id, key, hash, size of rows (id, text), and the normalised text as bytes if asked for; SHA-256 is Spark's own, another digest Python's."""
+    if digest is not sha256:
+        run, schema = _entries(picked.schema["id"].dataType.simpleString(), with_body, digest)
+        return picked.mapInArrow(run, schema)
+    text = F.coalesce("text", F.lit(""))
+    rows = picked.select("id", F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").alias("body"), F.length(text).cast("long").alias("size"))
+    rows = rows.withColumn("hash", F.sha2("body", 256))
+    key = F.conv(F.substring("hash", 1, 16), 16, -10).cast("long").alias("key")
+    return rows.select("id", key, "hash", "size", *([F.col("body").cast("binary").alias("body")] if with_body else []))
+
+
 def _better(a: tuple, b: tuple) -> tuple:
     """The one of two (size, id) that stays."""
     order = lambda x: (-x[0], x[1] is None, x[1] if x[1] is not None else 0)
@@ -148,9 +161,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     folder = new_folder(spark, "hash-index")
-    run, schema = _entries(kind, False, digest)
     again = Window.partitionBy("id", "key", "hash").orderBy(F.desc("size"))
-    picked.mapInArrow(run, schema).withColumn("copy", F.row_number().over(again)).write.parquet(f"{folder}/entries")
+    hashed(picked, digest, False).withColumn("copy", F.row_number().over(again)).write.parquet(f"{folder}/entries")
     entries = spark.read.parquet(f"{folder}/entries")
 
     keys = cut(entries.groupBy("key").agg(F.count("*").alias("n")))
@@ -160,10 +172,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     spark.createDataFrame([(k, b, d) for k, (b, d) in enumerate(slots)], "slot long, bucket int, depth int").coalesce(1).write.parquet(f"{folder}/directory")
     buckets = F.broadcast(spark.read.parquet(f"{folder}/directory"))
 
-    run, schema = _entries(kind, True, digest)
     fields = "key long, hash string, body binary, rows long, size long, id " + kind
     arrow = pa.schema([("key", pa.int64()), ("hash", pa.string()), ("body", pa.binary()), ("rows", pa.int64()), ("size", pa.int64()), ("id", ARROW[kind])])
-    texts = flagged(picked.mapInArrow(run, schema), F.col("key"), keys.where("n > 1").select("key"), "again").where("again").drop("again")
+    texts = flagged(hashed(picked, digest, True), F.col("key"), keys.where("n > 1").select("key"), "again").where("again").drop("again")
     owned = texts.mapInArrow(_collapse(arrow), fields).withColumn("slot", slot(len(slots).bit_length() - 1)).join(buckets, "slot").drop("slot", "depth")
     owned = owned.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("key", "hash").drop("bucket")
     whole = owned.mapInArrow(_chain(arrow), fields).select("key", "hash", "body", F.col("rows").alias("group_size"), F.col("size").alias("keep_size"), F.col("id").alias("keep_id"))
@@ -174,7 +185,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     clashes = clash.limit(1).count() > 0
     if clashes:  # different texts with the same full hash: their rows are told apart by text
         bodies = cut(whole.join(clash, ["key", "hash"], "left_semi"))
-        theirs = picked.mapInArrow(run, schema).join(clash, ["key", "hash"], "left_semi")
+        theirs = hashed(picked, digest, True).join(clash, ["key", "hash"], "left_semi")
         mark = F.row_number().over(Window.partitionBy("id", "key", "hash", "body").orderBy(F.desc("size")))
         split = theirs.withColumn("copy", mark).join(bodies, ["key", "hash", "body"]).drop("body")
         entries = entries.join(clash, ["key", "hash"], "left_anti")
