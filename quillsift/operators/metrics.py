@@ -131,7 +131,7 @@ def kendall(rows: DataFrame, *keys: str) -> DataFrame:
     p = pair_counts(rows, *keys)
     c, d = F.col("concordant"), F.col("discordant")
     def tau(x: Column, y: Column) -> Column:
-        below = F.sqrt(((c + d + x) * (c + d + y)).cast("double"))
+        below = F.sqrt((c + d + x).cast("double") * (c + d + y))  # in doubles: pairs times pairs are beyond a long
         return F.round(F.when(below > 0, (c - d) / below).otherwise(0.0), 6)
 
     both = F.col("tied_both")
