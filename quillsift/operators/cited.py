@@ -56,7 +56,7 @@ def stats(values: Column) -> Column:
 
 
 def said_grounding(total: Column, grounded: Column, citations: Column, valid: Column) -> Column:
-    share = lambda a, b, default: F.round(F.when(b > 0, a / b).otherwise(default) * 100).cast("long")
+    share = lambda a, b, default: F.round(F.when(b > 0, a.cast("double") * 100 / b).otherwise(default * 100)).cast("long")  # noqa: E731  times 100 first: 23 / 40 * 100 is below 57.5
     return F.format_string("%d/%d fields grounded (%d%%), %d/%d citations valid (%d%%)", grounded, total, share(grounded, total, 0.0), valid, citations, share(valid, citations, 1.0))
 
 
