@@ -37,6 +37,12 @@ def is_heading(line: Column) -> Column:
     return (F.upper(s) == s) & (F.lower(s) != s) & (F.length(s) < 40)
 
 
+def is_latin_heading(line: Column) -> Column:
+    """Shorter than 40 characters, with a capital and no small letter of Latin-1 (A-Z, À-Þ; a-z, à-ÿ); other scripts' letters don't count."""
+    s = F.regexp_replace(line, r"^[ \t\n\f\r]+|[ \t\n\f\r]+\z", "")
+    return s.rlike("[A-ZÀ-Þ]") & ~s.rlike("[a-zà-ÿ]") & (F.length(s) < 40)
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str, pattern: str, form=lambda line: line) -> DataFrame:
     """(document_id, line_no, start, end, line), with the offsets from the line lengths of the row itself: no shuffle."""
     split = docs.select(F.col(id_col).alias("document_id"), F.transform(F.split(F.coalesce(text_col, F.lit("")), pattern, -1), form).alias("_lines"))
