@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from quillsift.functions.text import running
 
 #: Suffix -> format. Fixed values.
 FORMATS = {".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".txt": "text", ".md": "text", ".markdown": "text"}
+#: Lines from which some_lines() works out all places at once.
+MANY = 2_000
 #: Line ends as str.splitlines() has them.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -57,6 +61,17 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patte
     return _numbered(docs, id_col, text_col, pattern)
 
 
+def some_lines(docs: DataFrame, keep: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """lines() for which keep(line) holds: places are worked out for these alone, but for all where a text has more than MANY lines."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("document_id"), t.alias("_t"), F.split(t, "\n", -1).alias("_l"))
+    rows = rows.withColumn("_ends", F.when(F.size("_l") > MANY, running(F.transform("_l", lambda line: F.length(line) + 1))))
+    rows = rows.select("document_id", "_t", "_ends", F.posexplode("_l").alias("line_no", "line")).where(keep(F.col("line")))
+    before = F.length(F.call_function("substring_index", F.col("_t"), F.lit("\n"), F.col("line_no"))) + F.least(F.col("line_no"), F.lit(1))
+    start = F.coalesce(F.get("_ends", F.col("line_no")) - 1 - F.length("line"), before.cast("long"))
+    return rows.select("document_id", "line_no", start.alias("start"), (start + F.length("line")).alias("end"), "line")
+
+
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = LINE_END) -> DataFrame:
     """(document_id, line_no, start, end, line, is_heading) in the accumulated text: right-trimmed lines, each with a
     line end; blank lines take one place and make no block."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.operators.sections import BLANKS
+
 #: Order in which a document's evidence units are numbered.
 SECTION_ORDER = ["work", "projects", "education", "skills", "awards", "basics"]
 ROLE = r"^([^,]+), (.+?) \(([^ ]+) - ([^)]+)\)$"
@@ -26,7 +28,7 @@ def section_lines(sections: DataFrame, docs: DataFrame) -> DataFrame:
     """(document_id, kind, at, line): non-blank stripped lines below each section's heading, in order."""
     body = F.substring("text", F.col("start") + F.length("heading") + 1, F.col("end") - F.col("start") - F.length("heading"))
     rows = sections.join(docs.select("document_id", "text"), "document_id").select("document_id", "kind", "start", F.posexplode(F.split(body, "\n")).alias("n", "line"))
-    line = F.regexp_replace("line", r"^\s+|\s+$", "")
+    line = F.btrim("line", F.lit(BLANKS))
     return rows.where(line != "").select("document_id", "kind", (F.col("start") * F.lit(1_000_000).cast("long") + F.col("n")).alias("at"), line.alias("line"))
 
 
@@ -91,8 +93,48 @@ def units(role_rows: DataFrame, highlight_rows: DataFrame, project_rows: DataFra
         every = every.unionByName(p)
     place = F.array_position(F.array(*map(F.lit, SECTION_ORDER)), F.col("section"))
     n = F.row_number().over(Window.partitionBy("document_id").orderBy(place, "at", "sub"))
-    numbered = every.where("text <> ''").withColumn("n", n)
-    return numbered.select("document_id", F.concat_ws("-", F.col("document_id").cast("string"), "section", F.lpad(F.col("n").cast("string"), 3, "0")).alias("unit_id"), "n", "section", "text", "quote")
+    return _named(every.where("text <> ''").withColumn("n", n))
+
+
+def _named(numbered: DataFrame) -> DataFrame:
+    n = F.when(F.col("n") < 100, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))
+    return numbered.select("document_id", F.concat_ws("-", F.col("document_id").cast("string"), "section", n).alias("unit_id"), "n", "section", "text", "quote")
+
+
+def evidence(lines: DataFrame) -> DataFrame:
+    """The units() of section lines. A document's lines come together and are sorted once; each line makes its own units.
+
+    The lines are read twice, so they should be kept: the skills of a document that has several come as a line more, the last one.
+    """
+    line, none = F.col("line"), F.lit(None).cast("string")
+    skill = lines.where(F.col("kind") == "skills").select("document_id", F.struct("at", F.filter(F.transform(F.split("line", ","), lambda s: F.trim(s)), lambda s: s != "").alias("s")).alias("x"))
+    skill = skill.groupBy("document_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"])).alias("s")).where(F.size("s") > 1)
+    together = skill.select("document_id", F.lit("together").alias("kind"), F.lit(1 << 62).alias("at"), F.concat(F.lit("Skills: "), F.array_join("s", ", ")).alias("line"), F.col("s")[0].alias("first"))
+    rows = lines.select("document_id", "kind", "at", "line", none.alias("first")).unionByName(together)
+
+    is_role = (F.col("kind") == "work") & line.rlike(ROLE)
+    upto = Window.partitionBy("document_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda k: F.last(F.when(is_role, F.regexp_extract("line", ROLE, k)), ignorenulls=True).over(upto)
+    rows = rows.withColumns({"title": last(1), "company": last(2)})
+
+    unit = lambda section, text, sub, quote, at=F.col("at"): F.struct(F.lit(section).alias("section"), at.alias("at"), F.lit(sub).alias("sub"), text.alias("text"), quote.alias("quote"))
+    title, company = F.col("title"), F.col("company")
+    named = F.trim(F.regexp_extract("line", "^([^:]*):", 1))
+    said = F.regexp_extract("line", r"^[^:]*:\s*(.*)$", 1)
+    said = F.trim(F.when(said.contains(" - github.com/"), F.regexp_extract(said, "^(.*) - ", 1)).otherwise(said))
+    degree, institution = F.trim(F.regexp_extract("line", "^([^,]*),", 1)), F.trim(F.regexp_extract("line", r"^[^,]*,([^(]*)", 1))
+    kind = lambda name: F.col("kind") == name
+    made = (
+        F.when(is_role, F.array(unit("work", F.concat_ws(" ", title, company), 0, F.concat_ws(", ", title, company))))
+        .when(kind("work") & title.isNotNull(), F.array(unit("work", F.concat(title, F.lit(" at "), company, F.lit(" "), line), 1, line)))
+        .when(kind("projects") & line.contains(":"), F.array(unit("projects", named, 0, named), unit("projects", F.when(said != "", F.concat(F.lit("Project "), named, F.lit(" "), said)), 1, said)))
+        .when(kind("education") & line.contains(","), F.array(unit("education", F.concat_ws(" ", degree, institution), 0, F.concat_ws(", ", degree, institution))))
+        .when(kind("skills"), F.transform(F.split("line", ","), lambda s, k: unit("skills", F.trim(s), 0, F.trim(s), F.col("at") * 10_000 + k)))
+        .when(kind("together"), F.array(unit("skills", line, 1, F.col("first"))))
+    )
+    place = F.array_position(F.array(*map(F.lit, SECTION_ORDER)), F.col("section"))
+    every = rows.select("document_id", F.inline(made)).where("text <> ''")
+    return _named(every.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy(place, "at", "sub"))))
 
 
 def degenerate(unit_rows: DataFrame, docs: DataFrame) -> DataFrame:

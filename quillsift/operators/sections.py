@@ -32,11 +32,23 @@ def classify(heading: Column) -> Column:
     return let(plain, section)
 
 
+#: First and last words of the keywords: other lines than those that begin or end with one are no headings.
+_ENDS = ["|".join(sorted({k.split()[n] for k, _ in ORDERED})) for n in (0, -1)]
+MAYBE = rf"^[^a-z0-9]*(?:{_ENDS[0]})|(?:{_ENDS[1]})[^a-z0-9]*\z"
+BLANKS = " \t\n\x0b\f\r"
+
+
+def maybe(line: Column) -> Column:
+    """Whether a line is short and begins or ends as a heading does; boundaries() look at such lines alone."""
+    s = F.btrim(line, F.lit(BLANKS))
+    return (s != "") & (F.length(s) <= 40) & F.lower(s).rlike(MAYBE)
+
+
 def boundaries(lines: DataFrame) -> DataFrame:
     """Heading lines with their section, from lines(document_id, start, end, line); short lines only."""
-    s = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lead = F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))
-    rows = lines.where((s != "") & (F.length(s) <= 40)).withColumn("kind", classify(s)).where("kind IS NOT NULL")
+    s = F.btrim("line", F.lit(BLANKS))
+    lead = F.length("line") - F.length(F.ltrim("line", F.lit(BLANKS)))
+    rows = lines.where(maybe(F.col("line"))).withColumn("kind", classify(s)).where("kind IS NOT NULL")
     return rows.select("document_id", (F.col("start") + lead).alias("start"), (F.col("start") + lead + F.length(s)).alias("end"), "kind", s.alias("heading"))
 
 
@@ -44,11 +56,15 @@ def segment(found: DataFrame, lengths: DataFrame) -> DataFrame:
     """(document_id, kind, start, end, heading): a section runs to the next heading; what is before the first is basics;
     a document without headings is one section, other."""
     order = Window.partitionBy("document_id").orderBy("start")
-    rows = found.join(lengths, "document_id").select("document_id", "kind", "start", F.coalesce(F.lead("start").over(order), F.col("length").cast("bigint")).alias("end"), "heading")
-    first = found.groupBy("document_id").agg(F.min("start").alias("end")).where("end > 0")
-    basics = first.select("document_id", F.lit("basics").alias("kind"), F.lit(0).cast("bigint").alias("start"), "end", F.lit("").alias("heading"))
-    other = lengths.join(found, "document_id", "left_anti").where("length > 0").select("document_id", F.lit("other").alias("kind"), F.lit(0).cast("bigint").alias("start"), F.col("length").cast("bigint").alias("end"), F.lit("").alias("heading"))
-    return rows.where("end > start").unionByName(basics).unionByName(other)
+    long = lambda c: c.cast("bigint")
+    rows = lengths.join(found.select("document_id", "kind", "start", "heading"), "document_id", "left")
+    rows = rows.withColumns({"end": F.coalesce(F.lead("start").over(order), long(F.col("length"))), "_k": F.row_number().over(order)})
+    section = lambda kind, start, end, heading: F.struct(kind.alias("kind"), long(start).alias("start"), long(end).alias("end"), heading.alias("heading"))
+    none, zero = F.lit(""), F.lit(0)
+    own = section(F.col("kind"), F.col("start"), F.col("end"), F.col("heading"))
+    basics = F.when(F.col("_k") == 1, section(F.lit("basics"), zero, F.col("start"), none))
+    each = F.when(F.col("kind").isNull(), F.array(section(F.lit("other"), zero, F.col("length"), none))).otherwise(F.array(basics, own))
+    return rows.select("document_id", F.explode(each).alias("s")).select("document_id", "s.*").where("end > start")
 
 
 def hull(sections: DataFrame) -> DataFrame:

@@ -73,4 +73,4 @@ def verify(citations: DataFrame, docs: DataFrame) -> DataFrame:
     from quillsift.operators.beside import passages
 
     found = passages(citations, docs, "_there")
-    return found.withColumn("valid", F.coalesce(same_text(F.col("quote"), F.col("_there")), F.lit(False))).drop("_there")
+    return found.withColumn("valid", F.coalesce((F.col("quote") == F.col("_there")) | same_text(F.col("quote"), F.col("_there")), F.lit(False))).drop("_there")

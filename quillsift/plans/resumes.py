@@ -52,7 +52,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segmented(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = kept(resumes(spark, sf_dir), "resumes")  # read by every branch below
-    found = sections.boundaries(ingest.lines(docs, "document_id"))
+    found = sections.boundaries(ingest.some_lines(docs, sections.maybe, "document_id"))
     return docs, sections.segment(found, docs.select("document_id", F.length("text").alias("length")))
 
 
@@ -118,8 +118,7 @@ def rule_extract_education(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, found = segmented(spark, sf_dir)
-    l = kept(resume.section_lines(found, docs), "lines")  # noqa: E741  roles, projects, skills and the rest all read the lines
-    return docs, resume.units(resume.roles(l), resume.highlights(l), resume.projects(l), resume.education(l), resume.skills(l))
+    return docs, resume.evidence(kept(resume.section_lines(found, docs), "lines"))  # which reads the lines, and those with skills once more
 
 
 UNIT_SQL = """

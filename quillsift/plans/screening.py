@@ -86,7 +86,7 @@ def _said(found: DataFrame) -> DataFrame:
 def role_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Fields of roles with the window of the work section: some quoted loosely, some absent, some from another section."""
     docs = kept(resumes(spark, sf_dir), "resumes")
-    found = sections.segment(screen.heading_boundaries(docs), docs.select("document_id", F.length("text").alias("length")))
+    found = kept(sections.segment(screen.heading_boundaries(docs), docs.select("document_id", F.length("text").alias("length"))), "sections")
     window = found.where("kind = 'work'").select("document_id", F.col("start").cast("int").alias("low"), F.col("end").cast("int").alias("high"))
     roles = resume.roles(resume.section_lines(found, docs)).join(window, "document_id")
     company = F.when(F.col("role") % 4 == 0, "Nowhere Incorporated of Absence").otherwise(F.col("company"))
