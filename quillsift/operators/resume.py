@@ -137,8 +137,12 @@ def evidence(lines: DataFrame) -> DataFrame:
     return _named(every.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy(place, "at", "sub"))))
 
 
+def is_degenerate(chars: Column, n_units: Column) -> Column:
+    return (chars >= 400) & (n_units < F.greatest(F.lit(2), F.floor(chars / 400)))
+
+
 def degenerate(unit_rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents of 400 characters and more with fewer units than max(2, characters / 400): their extraction failed."""
     counts = unit_rows.groupBy("document_id").agg(F.count("*").alias("n_units"))
     got = docs.select("document_id", F.length("text").alias("chars")).join(counts, "document_id", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0)))
-    return got.where((F.col("chars") >= 400) & (F.col("n_units") < F.greatest(F.lit(2), F.floor(F.col("chars") / 400))))
+    return got.where(is_degenerate(F.col("chars"), F.col("n_units")))

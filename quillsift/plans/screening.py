@@ -75,7 +75,7 @@ SELECT document_id, CASE WHEN regexp_matches(text, '[^ \t\n\x0b\f\r]') THEN CASE
 def screen_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resumes in one batch with documents in which the rules find nothing (negative ids), some of them blank: who is left out, and why."""
     prose = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("document_id"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text")).alias("text"))
-    return screen.screen_batch(resumes(spark, sf_dir).unionByName(prose), rubric(spark), blind=False, second=retrieve.keyword_overlap)[1]
+    return screen.quarantine(resumes(spark, sf_dir).unionByName(prose), blind=False)
 
 
 def _said(found: DataFrame) -> DataFrame:
