@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.functions.text import let, matches, running, stripped
+from quillsift.functions.text import let, matches, stripped
 
 # Patterns, city and gender words, and words that no name has. (?U): letters and digits of any script.
 EMAIL = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
@@ -56,14 +60,9 @@ def urls(t: Column) -> Column:
     return F.filter(matches(t, URL + LONG_RUNS["url"]), lambda m: F.contains(m["text"], F.lit(".")) | F.contains(m["text"], F.lit(":")))
 
 
-def _trimmed(found: Column, category: str, ok=lambda text: F.lit(True)) -> Column:
-    """Matches without blanks at their ends, as spans of a category."""
-
-    def span(m: Column) -> Column:
-        bare = lambda text: F.struct((m["start"] + F.instr(m["text"], text) - 1).alias("start"), (m["start"] + F.instr(m["text"], text) - 1 + F.length(text)).alias("end"), F.lit(category).alias("category"), text.alias("text"))
-        return let(stripped(m["text"]), bare)
-
-    return F.filter(F.transform(F.filter(found, lambda m: ok(m["text"])), span), lambda x: x["text"] != "")
+def _spans(found: Column, category: str, ok=None) -> Column:
+    """Matches as spans of a category; no pattern's match begins or ends with a blank."""
+    return F.transform(F.filter(found, lambda m: ok(m["text"])) if ok else found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(category).alias("category"), m["text"].alias("text")))
 
 
 def phone_like(text: Column) -> Column:
@@ -97,7 +96,7 @@ def _among(t: Column, words: tuple[str, ...]) -> Column:
 def detected(t: Column) -> Column:
     """All spans of all categories; they may overlap. A pattern is tried only on texts that hold what each match of it needs."""
     none = F.array().cast(SPAN)
-    found = lambda needs, *args: F.when(needs, _trimmed(*args)).otherwise(none)
+    found = lambda needs, *args: F.when(needs, _spans(*args)).otherwise(none)
 
     def spans(t: Column, folded: Column) -> Column:
         return F.concat(
@@ -109,30 +108,50 @@ def detected(t: Column) -> Column:
     return let(F.struct(t.alias("t"), F.lower(F.upper(t)).alias("folded")), lambda x: spans(x["t"], x["folded"]))
 
 
-def resolved(spans: Column) -> Column:
-    """Longest first, then earliest, then in the order found; what overlaps a kept span goes. Ordered by start.
-
-    Spans that overlap, directly or by way of others, stand together once sorted; only they are compared.
+def _greedy(spans: list[tuple[int, int, int]]) -> list[int]:
+    """Numbers of the spans (start, end, number) of an island that are kept, in order."""
+    kept: list[tuple[int, int, int]] = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], s[0], s[2])):
+        at = bisect_left(kept, s)
+        if not any(k[0] < s[1] and s[0] < k[1] for k in kept[max(0, at - 1) : at + 1]):
+            kept.insert(at, s)
+    return [k[2] for k in kept]
+
+
+def _resolved(spans: pa.Array) -> pa.Array:
+    sizes, flat = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), spans.flatten()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    start, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    wide = int(end.max(initial=0)) + 1  # apart by so much, the rows of a batch stand in one line
+    order = np.lexsort((end, start, row))
+    begins, upto = (start + row * wide)[order], np.maximum.accumulate((end + row * wide)[order])
+    heads = np.flatnonzero(np.append(True, begins[1:] >= upto[:-1])) if len(order) else order
+    counts = np.diff(np.append(heads, len(order)))
+    alone = np.zeros(len(order), bool)
+    alone[heads[counts == 1]] = True
+    keep = np.where(alone, order, -1)
+    for at, n in zip(heads[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
+        own = order[at : at + n]
+        best = _greedy(list(zip(start[own].tolist(), end[own].tolist(), own.tolist(), strict=True)))
+        keep[at : at + len(best)] = best
+    keep = keep[keep >= 0]
+    offsets = np.append(0, np.cumsum(np.bincount(row[keep], minlength=len(sizes)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat.take(pa.array(keep)), mask=spans.is_null())
+
+
+def resolved(rows: DataFrame, column: str) -> DataFrame:
+    """rows whose column of spans is resolved: longest first, then earliest, then in the order found; what overlaps a kept span
+    goes. Ordered by start.
+
+    A batch's spans are sorted at once; only those that overlap, directly or by way of others, are compared.
     """
-    ranked = lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["s"]["start"] != b["s"]["start"], a["s"]["start"] - b["s"]["start"]).otherwise(a["i"] - b["i"])
-
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["start"] < x["s"]["end"]) & (x["s"]["start"] < k["end"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x["s"])))
-
-    def apart(together: Column) -> Column:
-        best = F.aggregate(F.array_sort(together, ranked), F.array().cast(SPAN), step)
-        return F.when(F.size(together) == 1, F.transform(together, lambda x: x["s"])).otherwise(F.array_sort(best))
+    at = rows.columns.index(column)
 
-    def islands(x: Column) -> Column:
-        sort, upto = x["sort"], x["upto"]
-        heads = F.filter(F.sequence(F.lit(0), F.size(sort) - 1), lambda k: (k == 0) | (F.get(sort, k)["at"] >= F.get(upto, k - 1)))
-        return let(heads, lambda h: F.flatten(F.transform(h, lambda k, i: apart(F.slice(sort, k + 1, F.coalesce(F.get(h, i + 1), F.size(sort)) - k)))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(at, column, _resolved(batch.column(at)))
 
-    def sorted_(spans: Column) -> Column:
-        numbered = F.transform(spans, lambda s, i: F.struct(s["start"].alias("at"), (s["end"] - s["start"]).alias("n"), i.alias("i"), s.alias("s")))
-        return let(F.array_sort(numbered), lambda sort: F.struct(sort.alias("sort"), running(F.transform(sort, lambda x: x["s"]["end"]), F.greatest, "int").alias("upto")))
-    return let(spans, lambda spans: F.when(F.size(spans) <= 1, spans).otherwise(let(sorted_(spans), islands)))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def masked(t: Column, spans: Column, categories: list[str] = MASKED) -> Column:
@@ -154,7 +173,7 @@ def masked(t: Column, spans: Column, categories: list[str] = MASKED) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: list[str] = MASKED) -> DataFrame:
     """(document_id, spans, redacted_text)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("document_id"), t.alias("_t"), resolved(detected(t)).alias("spans"))
+    found = resolved(docs.select(F.col(id_col).alias("document_id"), t.alias("_t"), detected(t).alias("spans")), "spans")
     return found.select("document_id", "spans", masked(F.col("_t"), F.col("spans"), categories).alias("redacted_text"))
 
 
