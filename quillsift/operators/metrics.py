@@ -173,6 +173,10 @@ def z_scores(rows: DataFrame, value: str, out: str, *keys: str) -> DataFrame:
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
+#: Replicates that are drawn in one place.
+BLOCK = 100
+
+
 def _weighted(x: Column, y: Column, w: Column) -> Column:
     """Pearson's coefficient of rows that count w times; null without variance."""
     n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
@@ -185,13 +189,13 @@ def weighted_pearson(draws: DataFrame, by: list[str]) -> DataFrame:
 
 
 def weighted_spearman(draws: DataFrame, by: list[str]) -> DataFrame:
-    cells = draws.groupBy(*by, "x", "y").agg(F.sum("w").alias("w"))
+    cells = draws.groupBy(*by, "x", "y").agg(F.sum("w").alias("w")).where("w > 0")
     rank = lambda c: F.sum("w").over(Window.partitionBy(*by).orderBy(c)) - (F.sum("w").over(Window.partitionBy(*by, c)) - 1) / 2
     return weighted_pearson(cells.select(*by, "w", rank("x").alias("x"), rank("y").alias("y")), by)
 
 
 def weighted_mae(draws: DataFrame, by: list[str]) -> DataFrame:
-    return draws.groupBy(*by).agg((F.sum(F.col("w") * F.abs(F.col("x") - F.col("y"))) / F.sum("w")).alias("value"))
+    return draws.groupBy(*by).agg(F.try_divide(F.sum(F.col("w") * F.abs(F.col("x") - F.col("y"))), F.sum("w")).alias("value"))
 
 
 def weighted_top_k(draws: DataFrame, by: list[str], k: int = 3) -> DataFrame:
@@ -217,7 +221,11 @@ def bootstrap(rows: DataFrame, key: str, samples: int = SAMPLES, seed: int = SEE
     share = (F.xxhash64("item", "replicate", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / F.lit(float(1 << 52))
     times = reduce(Column.__add__, [(share >= p).cast("int") for p in POISSON])
     plain = rows.select(key, "item", F.col("score").cast("double").alias("x"), F.col("human").cast("double").alias("y"))
-    drawn = plain.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", times).where("w > 0")
+    # Equal pairs come together before they are drawn, a block of replicates at a time: what is summed up by pair needn't move.
+    blocks = plain.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // BLOCK))))
+    blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "x", "y", "_block")
+    numbers = F.sequence(F.col("_block") * BLOCK + 1, F.least(F.col("_block") * BLOCK + BLOCK, F.lit(samples)))
+    drawn = blocks.withColumn("replicate", F.explode(numbers)).withColumn("w", times)
     each = measure(drawn, [key, "replicate"])
     got = each.groupBy(key).agg(F.array_sort(F.collect_list("value")).alias("_v"))  # as many as there are replicates
     whole = rows.groupBy(key).agg(F.count("*").alias("n")).join(measure(plain.withColumn("w", F.lit(1)), [key]), key, "left")
