@@ -15,6 +15,8 @@ from quillsift.operators import embed
 from quillsift.sources.shared import kept
 
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 20
+#: Units to a task, so that what a task holds doesn't grow with their number.
+UNITS = 10_000
 
 
 def term_stats(units: DataFrame) -> DataFrame:
@@ -30,21 +32,47 @@ def bm25(units: DataFrame, queries: DataFrame) -> DataFrame:
     Statistics are those of each corpus, of which there may be many (each document's own units, say). Queries without a
     corpus are put to all of them. Query terms that repeat count again. Only postings of query terms are shuffled.
     """
-    on = ["corpus", "term"] if "corpus" in queries.columns else ["term"]
+    if "corpus" in queries.columns:
+        return _bm25_by_unit(units, queries)
+    on = ["term"]
     sized = units.select("corpus", "unit", tokens(F.col("text")).alias("t"))
     totals = sized.groupBy("corpus").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length"))
-    asked = queries.select(*on[:-1], "query", F.explode(tokens(F.col("text"))).alias("term")).groupBy(*on, "query").agg(F.count("*").alias("times"))
+    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy(*on, "query").agg(F.count("*").alias("times"))
     terms = asked.select(*on).distinct()
     postings = sized.select("corpus", "unit", F.size("t").alias("length"), F.explode("t").alias("term")).join(terms, on, "left_semi")
     postings = postings.groupBy("corpus", "term", "unit", "length").agg(F.count("*").alias("tf"))
     rare = postings.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(totals, "corpus")
     rare = rare.select("corpus", "term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hits = postings.join(rare, ["corpus", "term"]).join(asked, on)
+    return _summed(hits)
+
+
+def _summed(hits: DataFrame) -> DataFrame:
     tf, scaled = F.col("tf"), F.col("length") / F.col("mean_length")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * scaled)) * F.col("times")
-    hits = postings.join(rare, ["corpus", "term"]).join(asked, on)
     return hits.groupBy("corpus", "query", "unit").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def _bm25_by_unit(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """bm25() of queries that name their corpus. Texts are cut into words once; a unit's words come together, with UNITS units to
+    a task, and weights of query terms, a small table, go to them: scores are summed up there, and no pair of query and
+    unit moves."""
+    own = units.select("corpus", "unit", tokens(F.col("text")).alias("t")).withColumn("length", F.size("t"))
+    sized = kept(own, "words")
+    totals = sized.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    asked = queries.select("corpus", "query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("corpus", "term", "query").agg(F.count("*").alias("times"))
+    asked = kept(asked, "asked")
+    terms = kept(asked.select("corpus", "term").distinct(), "terms")
+    df = sized.select("corpus", F.explode(F.array_distinct("t")).alias("term")).join(terms, ["corpus", "term"], "left_semi").groupBy("corpus", "term").agg(F.count("*").alias("df")).join(totals, "corpus")
+    weights = df.select("corpus", "term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = kept(weights.join(asked, ["corpus", "term"]), "weights")
+    least = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = sized.repartition(max(least, sized.count() // UNITS + 1), "corpus", "unit")
+    postings = together.select("corpus", "unit", "length", F.explode("t").alias("term")).join(terms, ["corpus", "term"], "left_semi")
+    postings = postings.groupBy("corpus", "unit", "length", "term").agg(F.count("*").alias("tf"))
+    return _summed(postings.join(weights, ["corpus", "term"]))
+
+
 def top(scores: DataFrame, k: int, *keys: str, tie: str = "unit", positive: bool = True) -> DataFrame:
     """The k best by score of each key, with their rank; ties by `tie`; scores of 0 and less only if asked for."""
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), tie)
