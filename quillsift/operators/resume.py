@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.functions.text import let
 from quillsift.operators.sections import BLANKS
 
 #: Order in which a document's evidence units are numbered.
@@ -96,6 +99,15 @@ def units(role_rows: DataFrame, highlight_rows: DataFrame, project_rows: DataFra
     return _named(every.where("text <> ''").withColumn("n", n))
 
 
+def _project_name(line: Column) -> Column:
+    return F.trim(F.regexp_extract(line, "^([^:]*):", 1))
+
+
+def _project_said(line: Column) -> Column:
+    said = F.regexp_extract(line, r"^[^:]*:\s*(.*)$", 1)
+    return let(said, lambda s: F.trim(F.when(s.contains(" - github.com/"), F.regexp_extract(s, "^(.*) - ", 1)).otherwise(s)))
+
+
 def _named(numbered: DataFrame) -> DataFrame:
     n = F.when(F.col("n") < 100, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))
     return numbered.select("document_id", F.concat_ws("-", F.col("document_id").cast("string"), "section", n).alias("unit_id"), "n", "section", "text", "quote")
@@ -119,9 +131,7 @@ def evidence(lines: DataFrame) -> DataFrame:
 
     unit = lambda section, text, sub, quote, at=F.col("at"): F.struct(F.lit(section).alias("section"), at.alias("at"), F.lit(sub).alias("sub"), text.alias("text"), quote.alias("quote"))
     title, company = F.col("title"), F.col("company")
-    named = F.trim(F.regexp_extract("line", "^([^:]*):", 1))
-    said = F.regexp_extract("line", r"^[^:]*:\s*(.*)$", 1)
-    said = F.trim(F.when(said.contains(" - github.com/"), F.regexp_extract(said, "^(.*) - ", 1)).otherwise(said))
+    named, said = _project_name(line), _project_said(line)
     degree, institution = F.trim(F.regexp_extract("line", "^([^,]*),", 1)), F.trim(F.regexp_extract("line", r"^[^,]*,([^(]*)", 1))
     kind = lambda name: F.col("kind") == name
     made = (
@@ -141,8 +151,17 @@ def is_degenerate(chars: Column, n_units: Column) -> Column:
     return (chars >= 400) & (n_units < F.greatest(F.lit(2), F.floor(chars / 400)))
 
 
-def degenerate(unit_rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents of 400 characters and more with fewer units than max(2, characters / 400): their extraction failed."""
-    counts = unit_rows.groupBy("document_id").agg(F.count("*").alias("n_units"))
-    got = docs.select("document_id", F.length("text").alias("chars")).join(counts, "document_id", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0)))
-    return got.where(is_degenerate(F.col("chars"), F.col("n_units")))
+def unit_count(lines: Callable[[str], Column]) -> Column:
+    """How many units evidence() makes of a document's section lines, none of which is made: lines(kind) are those of a kind, in order."""
+    total = lambda rows, n: F.aggregate(rows, F.lit(0), lambda sum_, x: sum_ + n(x))
+    said = lambda line: (_project_name(line) != "").cast("int") + (_project_said(line) != "").cast("int")
+    work = F.aggregate(lines("work"), F.lit(0), lambda n, x: n + F.when((n > 0) | x.rlike(ROLE), 1).otherwise(0))  # all from the first role on
+    projects_ = total(lines("projects"), lambda x: F.when(x.contains(":"), said(x)).otherwise(0))
+    education_ = F.size(F.filter(lines("education"), lambda x: x.contains(",")))
+    skills_ = let(total(lines("skills"), lambda x: F.size(F.filter(F.split(x, ","), lambda s: F.trim(s) != ""))), lambda n: n + (n > 1).cast("int"))
+    return (work + projects_ + education_ + skills_).cast("bigint")
+
+
+def degenerate(counts: DataFrame) -> DataFrame:
+    """Of documents (document_id, chars, n_units) those of 400 characters and more with fewer units than max(2, characters / 400): their extraction failed."""
+    return counts.where(is_degenerate(F.col("chars"), F.col("n_units")))

@@ -32,16 +32,21 @@ def classify(heading: Column) -> Column:
     return let(plain, section)
 
 
-#: First and last words of the keywords: other lines than those that begin or end with one are no headings.
-_ENDS = ["|".join(sorted({k.split()[n] for k, _ in ORDERED})) for n in (0, -1)]
-MAYBE = rf"^[^a-z0-9]*(?:{_ENDS[0]})|(?:{_ENDS[1]})[^a-z0-9]*\z"
+#: First and last words of the keywords: other lines than those that begin or end with one are no headings. The last ones are
+#: sought from the end of the line, backwards, so that both patterns are tried at one place only.
+_ENDS = [sorted({k.split()[n] for k, _ in ORDERED}) for n in (0, -1)]
+BEGINS, ENDS = rf"^[^a-z0-9]*(?:{'|'.join(_ENDS[0])})", rf"^[^a-z0-9]*(?:{'|'.join(w[::-1] for w in _ENDS[1])})"
 BLANKS = " \t\n\x0b\f\r"
 
 
 def maybe(line: Column) -> Column:
     """Whether a line is short and begins or ends as a heading does; boundaries() look at such lines alone."""
-    s = F.btrim(line, F.lit(BLANKS))
-    return (s != "") & (F.length(s) <= 40) & F.lower(s).rlike(MAYBE)
+    return likely(F.btrim(line, F.lit(BLANKS)))
+
+
+def likely(s: Column) -> Column:
+    """maybe() of a line without blanks at its ends."""
+    return (s != "") & (F.length(s) <= 40) & (F.lower(s).rlike(BEGINS) | F.reverse(F.lower(s)).rlike(ENDS))
 
 
 def boundaries(lines: DataFrame) -> DataFrame:

@@ -146,8 +146,7 @@ SELECT * FROM a WHERE chars >= 400 AND n_units < greatest(2, chars // 400)""")
 def degenerate_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resumes, and documents as resumes (negative ids) in which the rules find nothing."""
     prose = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("document_id"), "text")
-    docs = kept(resumes(spark, sf_dir).unionByName(prose), "resumes")
-    return resume.degenerate(screen.extracted(docs)[1], docs).withColumn("chars", F.col("chars").cast("long"))
+    return resume.degenerate(screen.unit_counts(resumes(spark, sf_dir).unionByName(prose))).withColumn("chars", F.col("chars").cast("long"))
 
 
 # Requirements for the built-in judge. Fixed values of this catalogue.
