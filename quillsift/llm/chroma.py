@@ -202,7 +202,8 @@ def met(joined: DataFrame) -> DataFrame:
     """(a, b, low, high): pairs a > b and the offsets, place in a less place in b, at which a member and a hub may align."""
     one, two = F.col("fact"), F.col("hub_fact")
     low, high = one["first"] - two["last"], one["last"] - two["first"]
-    overlap = F.least(one["n"] - F.greatest(low, F.lit(0)), two["n"] + F.least(low, F.lit(0)))
+    most = F.least(high, F.greatest(low, F.least(one["n"] - two["n"], F.lit(0))))  # the offset of largest overlap
+    overlap = F.least(one["n"] - F.greatest(most, F.lit(0)), two["n"] + F.least(most, F.lit(0)))
     enough = (overlap >= LEAST_ITEMS) & (2 * overlap >= F.least(one["n"], two["n"]))
     wrong: Column = F.lit(0)
     bits: Column = F.lit(0)
@@ -211,7 +212,7 @@ def met(joined: DataFrame) -> DataFrame:
         wrong, bits = wrong + F.coalesce(apart, F.lit(0)), bits + F.when(apart.isNotNull(), 32).otherwise(0)
     alike = wrong <= MAX_ERROR * bits + SPREAD * F.sqrt(MAX_ERROR * (1 - MAX_ERROR) * bits)
     up = F.col("id") > F.col("hub")
-    fits = joined.where((F.col("id") != F.col("hub")) & ((low != high) | (enough & alike)))
+    fits = joined.where((F.col("id") != F.col("hub")) & enough & ((low != high) | alike))
     return fits.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"), F.when(up, low).otherwise(-high).alias("low"), F.when(up, high).otherwise(-low).alias("high")).distinct()
 
 
@@ -272,7 +273,7 @@ def recordings(media: DataFrame, id_col: str = "id", audio_col: str = "audio", r
         cells = groups * (groups + 1) // 2
         x, y = (F.pmod(F.xxhash64(c), F.lit(groups)) for c in ("a", "b"))
         dealt = pairs.select((F.least(x, y) * groups + F.greatest(x, y)).alias("cell"), "a", "b", "low", "high")
-        needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id").select(F.col("cell").alias("home"), "id", "items")
+        needed = dealt.select("cell", "a", "b").distinct().select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id").select(F.col("cell").alias("home"), "id", "items")
         both = dealt.repartition(cells, "cell").groupBy("cell").cogroup(needed.repartition(cells, "home").groupBy("home"))
         return stored(both.applyInArrow(_aligned, "a long, b long, place long, error double"), "links")
 

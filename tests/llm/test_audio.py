@@ -125,3 +125,18 @@ def test_query(spark):
 
     rows = chroma.query(spark, SF).collect()
     assert len(rows) == 200 and all(r.n_items >= 1 for r in rows if r.doc_id >= 0) and any(r.class_id != r.doc_id for r in rows)
+
+
+def test_runs_need_overlap_too(spark):
+    """Two runs of equal items go on only if some offset between them lets the recordings overlap enough."""
+    fact = lambda n, first, last: (n, first, last, *[None] * len(chroma.AROUND))
+    kind = f"struct<n:int,first:int,last:int,{','.join(f'at{x}:int' for x in range(len(chroma.AROUND)))}>"
+    cases = [(100, 90, 99, 100, 0, 9), (100, 40, 99, 100, 0, 9), (60, 0, 5, 200, 150, 199), (60, 0, 5, 200, 195, 199), (60, 55, 59, 200, 0, 3), (100, 3, 3, 100, 2, 2)]
+    rows = spark.createDataFrame([(2 * k + 1, fact(*c[:3]), 2 * k, fact(*c[3:])) for k, c in enumerate(cases)], f"id long, fact {kind}, hub long, hub_fact {kind}")
+
+    def enough(n, first, last, m, start, end):
+        overlaps = [min(n - max(d, 0), m + min(d, 0)) for d in range(first - end, last - start + 1)]
+        return any(x >= chroma.LEAST_ITEMS and 2 * x >= min(n, m) for x in overlaps)
+
+    got = {r.b // 2 for r in chroma.met(rows).collect()}
+    assert got == {k for k, c in enumerate(cases) if enough(*c)} and 0 < len(got) < len(cases)
