@@ -10,12 +10,12 @@ lets at least half of the shorter one, and LEAST_ITEMS, overlap, the share of di
 over the whole overlap. Pairs of at most MAX_ERROR are links. LEAST_ITEMS is three windows that share no frame: chance
 pairs of shorter overlaps pass MAX_ERROR, so shorter recordings are the same only if all their items are.
 
-Search: recordings with the same items are one representative. Each different item of a recording (a run of equal ones
-counts once) puts it into a bucket, so all pairs with an equal item meet. Pairs are found by stars (see Stars): a
-member and a hub with an equal item give one offset, and go on only if the overlap suffices and the items WIDTH,
-2 * WIDTH and 3 * WIDTH places before and after it, where both have them, differ in no more bits than MAX_ERROR and
-SPREAD standard deviations allow. That is the search's only loss; tests measure its recall against align() of all pairs.
-Items don't travel once for each pair: recordings are dealt into groups by hash, and a cell (two groups) gets each
+Search: recordings with the same items are one representative. Each item of a recording (a run of more than SHORT_RUN
+equal ones counts once) puts it into a bucket, so all pairs with an equal item meet: all members of a bucket of at most
+FEW, then, by stars (see Stars), those of larger ones that aren't of one class by then. A pair gives one offset, and goes
+on only if the overlap suffices and the items at the places of AROUND before and after it, where both have them, differ in no more
+bits than WRONG and MORE allow (long runs go on without that). That is the search's only loss;
+tests measure its recall against align() of all pairs. Items don't travel once for each pair: recordings are dealt into groups by hash, and a cell (two groups) gets each
 recording that it needs once.
 
 The test tables have no audio: the query takes the UTF-8 bytes of each whole text as 8-bit PCM, so equal texts are
@@ -42,17 +42,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import Stars, release, sliced, small_batches, stored, table
+from quillsift.llm.common import Stars, components, flagged, release, sliced, small_batches, stored, table
 
 RATE, FRAME, HOP, WIDTH = 8000, 512, 64, 16
 LOW_HZ, HIGH_HZ = 60.0, 1800.0
 MAX_ERROR, LEAST_ITEMS = 0.2, 3 * WIDTH
-#: Items that are compared around an equal one, and the standard deviations that their bit errors may lie over MAX_ERROR.
-AROUND, SPREAD = tuple(k * WIDTH for k in (-3, -2, -1, 1, 2, 3)), 2.5
+#: Places of items that are compared around an equal one, two (near, far) to a number of 64 bits. So many bits of each may
+#: differ, and so many more of all: MAX_ERROR and 2.5 standard deviations, or up to 2.5 bits more, whatever their number.
+#: (A line, as the join's condition must stay below 8 000 bytes of code, or the JVM never compiles it.)
+AROUND = tuple((side * near, side * far) for near, far in ((8, 16), (24, 32), (40, 56)) for side in (-1, 1))
+WRONG, MORE = 15, 8
+#: Equal items in a row that are each a place of their own; longer runs are one, and any offset of two runs is tried.
+SHORT_RUN = 4
 #: Chroma frames that are worked on together.
 BLOCK = 20_000
-#: Hubs of a bucket in the first round: most buckets hold few recordings and are done with it.
-FIRST_HUBS = 16
+#: Buckets of more members are worked on by stars; hubs of such a one in the first round.
+FEW, FIRST_HUBS = 64, 16
 #: Bytes of items in a group, offsets in a cell, groups at least; items that are compared at once.
 GROUP_BYTES, CELL_PAIRS, GROUPS, AT_ONCE = 100 << 20, 500_000, 6, 2_000_000
 
@@ -187,30 +192,43 @@ def _print(batches: Iterator[pa.RecordBatch], read: Reader = fingerprint) -> Ite
 
 
 def placed(own: DataFrame) -> DataFrame:
-    """Rows (bucket, id, weight, fact) of recordings (id, items): one per run of equal items."""
-    item = lambda k: F.get("items", k)
+    """Rows (bucket, id, weight, fact) of recordings (id, items): one per item, one per run of equal items where that is long."""
+    item = lambda k: F.get("items", k).cast("long")
     n = F.size("items")
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (item(k) != F.get("items", k - 1)))
-    runs = own.where(n >= LEAST_ITEMS).select("id", "items", starts.alias("starts")).select("id", "items", F.posexplode("starts").alias("k", "first"), "starts")
-    last = F.coalesce(F.get("starts", F.col("k") + 1), n) - 1
-    around = [F.when(F.col("first") + k >= 0, item(F.col("first") + k)).alias(f"at{x}") for x, k in enumerate(AROUND)]
-    fact = F.struct(n.alias("n"), F.col("first"), last.alias("last"), *around)
-    return runs.select(item(F.col("first")).alias("bucket"), "id", n.alias("weight"), fact.alias("fact"))
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get("items", k) != F.get("items", k - 1)))
+
+    def place(k: Column, last: Column) -> Column:
+        around = [F.shiftleft(item(k + far), 32).bitwiseOR(item(k + near).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"at{x}") for x, (near, far) in enumerate(AROUND)]
+        return F.struct(F.get("items", k).alias("bucket"), F.struct(n.alias("n"), k.alias("first"), last.alias("last"), *around).alias("fact"))
+
+    def run(first: Column, x: Column) -> Column:
+        last = F.coalesce(F.get("starts", x + 1), n) - 1
+        return F.when(last - first < SHORT_RUN, F.transform(F.sequence(first, last), lambda k: place(k, k))).otherwise(F.array(place(first, last)))
+
+    runs = own.where(n >= LEAST_ITEMS).select("id", "items", starts.alias("starts"))
+    return runs.select("id", n.alias("weight"), F.inline(F.flatten(F.transform("starts", run)))).select("bucket", "id", "weight", "fact")
+
+
+def frequent(own: DataFrame) -> DataFrame:
+    """Rows (bucket long): items that stand at more than FEW places of recordings (id, items)."""
+    found = own.where(F.size("items") >= LEAST_ITEMS).select(F.explode("items").alias("bucket"))
+    return found.groupBy("bucket").count().where(F.col("count") > FEW).select(F.col("bucket").cast("long"))
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """Joined rows (id, fact, hub, hub_fact) of all pairs in a bucket. Both sides are the same rows, so they are shuffled once (merged: their size is underrated)."""
+    both = rows.alias("x").join(rows.alias("y").hint("merge"), F.col("x.bucket") == F.col("y.bucket")).where("x.id > y.id")
+    return both.select("x.id", "x.fact", F.col("y.id").alias("hub"), F.col("y.fact").alias("hub_fact"))
 
 
 def met(joined: DataFrame) -> DataFrame:
     """(a, b, low, high): pairs a > b and the offsets, place in a less place in b, at which a member and a hub may align."""
     one, two = F.col("fact"), F.col("hub_fact")
     low, high = one["first"] - two["last"], one["last"] - two["first"]
-    most = F.least(high, F.greatest(low, F.least(one["n"] - two["n"], F.lit(0))))  # the offset of largest overlap
-    overlap = F.least(one["n"] - F.greatest(most, F.lit(0)), two["n"] + F.least(most, F.lit(0)))
-    enough = (overlap >= LEAST_ITEMS) & (2 * overlap >= F.least(one["n"], two["n"]))
-    wrong: Column = F.lit(0)
-    bits: Column = F.lit(0)
-    for x in range(len(AROUND)):
-        apart = F.bit_count(one[f"at{x}"].bitwiseXOR(two[f"at{x}"]).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))  # without the sign's copies
-        wrong, bits = wrong + F.coalesce(apart, F.lit(0)), bits + F.when(apart.isNotNull(), 32).otherwise(0)
-    alike = wrong <= MAX_ERROR * bits + SPREAD * F.sqrt(MAX_ERROR * (1 - MAX_ERROR) * bits)
+    least = F.greatest(F.lit(LEAST_ITEMS), F.shiftright(F.least(one["n"], two["n"]) + 1, 1))
+    enough = (low + least <= one["n"]) & (high + two["n"] >= least)  # some offset leaves an overlap of that
+    over = sum((F.coalesce(F.bit_count(one[f"at{x}"].bitwiseXOR(two[f"at{x}"])) - WRONG, F.lit(0)) for x in range(len(AROUND))), F.lit(0))
+    alike = over <= MORE
     up = F.col("id") > F.col("hub")
     fits = joined.where((F.col("id") != F.col("hub")) & enough & ((low != high) | alike))
     return fits.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"), F.when(up, low).otherwise(-high).alias("low"), F.when(up, high).otherwise(-low).alias("high")).distinct()
@@ -277,9 +295,15 @@ def recordings(media: DataFrame, id_col: str = "id", audio_col: str = "audio", r
         both = dealt.repartition(cells, "cell").groupBy("cell").cogroup(needed.repartition(cells, "home").groupBy("home"))
         return stored(both.applyInArrow(_aligned, "a long, b long, place long, error double"), "links")
 
-    stars = Stars(met, verify)
-    stars.run(placed(own), FIRST_HUBS)
-    release(own)
+    stars, keys = Stars(met, verify), stored(frequent(own), "frequent")
+    rows = flagged(placed(own), F.col("bucket").cast("long"), keys, "often")
+    pairs = stored(met(paired(rows.where("NOT often").select("bucket", "id", "fact"))), "pairs")
+    links = verify(pairs)
+    release(pairs)
+    if links.limit(1).count():
+        stars.links, stars.groups = [links], components(links.select("a", "b"))
+    stars.run(stored(rows.where("often").drop("often"), "often"), FIRST_HUBS)
+    release(own, keys)
     named = reps.select("digest", "rep")
     if stars.groups is None:
         named = named.select("digest", "rep", F.col("rep").alias("class_id"), F.lit(None).cast("long").alias("aligned_to"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("error"))

@@ -140,3 +140,36 @@ def test_runs_need_overlap_too(spark):
 
     got = {r.b // 2 for r in chroma.met(rows).collect()}
     assert got == {k for k, c in enumerate(cases) if enough(*c)} and 0 < len(got) < len(cases)
+
+
+def test_short_runs_are_compared_with_the_items_around(spark):
+    """Two equal items in a row rule a chance pair out as one does; before, runs went on whatever stood around them."""
+    from pyspark.sql import functions as F
+
+    a, b = np.random.default_rng(8).integers(0, 1 << 32, (2, 200), dtype=np.uint32)
+    c = a ^ np.uint32(1 << 7)
+    for x in (a, b, c):
+        x[100:102] = 12345
+    own = spark.createDataFrame([(i, x.view(np.int32).tolist()) for i, x in enumerate((a, b, c))], "id long, items array<int>")
+    rows = chroma.placed(own)
+    hubs = rows.select("bucket", F.col("id").alias("hub"), F.col("fact").alias("hub_fact"))
+    got = {(r.a, r.b) for r in chroma.met(rows.join(hubs, "bucket").where("id > hub")).collect()}
+    assert got == {(2, 0)}
+
+
+def test_frequent_items_go_by_stars(spark, monkeypatch):
+    """Classes are brute force's whether a bucket's members are all compared or meet hubs, known classes or not."""
+    rng = np.random.default_rng(9)
+    base, other = rng.integers(0, 1 << 32, (2, 300), dtype=np.uint32)
+    prints = {k: base[5 * k : 5 * k + 200].copy() for k in range(8)}
+    prints |= {10 + k: np.where(rng.random(300) < 0.9, other, rng.integers(0, 1 << 32, 300, dtype=np.uint32)).astype(np.uint32) for k in range(8)}
+    prints |= {20 + k: rng.integers(0, 1 << 32, 90, dtype=np.uint32) for k in range(8)}
+    for x in prints.values():
+        x[40], x[60:62] = 7, 9  # items that all have
+    media = spark.createDataFrame([(i, x.tobytes()) for i, x in prints.items()], "rec long, sound binary")
+    want = classes(prints)
+    assert len(set(want.values())) == 10
+    for few in (0, 4, 64):
+        monkeypatch.setattr(chroma, "FEW", few)
+        got = chroma.recordings(media, "rec", "sound", read=lambda sound, _: np.frombuffer(sound, "<u4")).collect()
+        assert {r.id: r.class_id for r in got} == want
