@@ -65,19 +65,23 @@ def readers(df: DataFrame) -> DataFrame:
     return events(df).withColumn("status", F.when(reader, "subscribe").otherwise(F.col("status")))
 
 
-def channel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def channel_frames(spark: SparkSession, sf_dir: str, backlog: int | None) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return channel.run(spark, f"{sf_dir}/events.parquet*", schema, new_path(spark, "channel"), readers)
+    return channel.run(spark, f"{sf_dir}/events.parquet*", schema, new_path(spark, "channel"), readers, backlog)
 
 
-@query("progress_channel", CHANNEL_SQL.format(backlog=channel.BACKLOG) + "SELECT run_id, reader, seq, kind, event_id, stage, status FROM g")
+#: The same without a backlog: a reader gets all that follows, and `done` comes after that, however much it is.
+WHOLE_SQL = CHANNEL_SQL.replace(" WHERE k <= {backlog}", "").replace("reader, 1000, 'done'", f"reader, {1 << 62}, 'done'")
+
+
+@query("progress_channel", WHOLE_SQL + "SELECT run_id, reader, seq, kind, event_id, stage, status FROM g")
 def progress_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each reader of a run gets, by a stateful stream."""
-    return channel_frames(spark, sf_dir).drop("dropped")
+    """What each reader of a run gets, by a stateful stream; none of it is dropped, as readers of a table take what there is."""
+    return channel_frames(spark, sf_dir, None).drop("dropped")
 
 
 @query("progress_reduced", CHANNEL_SQL.format(backlog=channel.BACKLOG) + """
 SELECT run_id, reader, arg_max(event_id, seq) FILTER (kind <> 'done') AS event_id, arg_max(status, seq) FILTER (kind <> 'done') AS status, count(*) AS n_frames, bool_or(kind = 'done') AS done FROM g GROUP BY 1, 2""")
 def progress_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each reader knows in the end."""
-    return channel.reduced(channel_frames(spark, sf_dir)).drop("stage", "dropped")
+    return channel.reduced(channel_frames(spark, sf_dir, channel.BACKLOG)).drop("stage", "dropped")
