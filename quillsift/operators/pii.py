@@ -180,3 +180,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cate
 def counts(redacted: DataFrame) -> DataFrame:
     """(document_id, category, n)."""
     return redacted.select("document_id", F.explode("spans.category").alias("category")).groupBy("document_id", "category").agg(F.count("*").alias("n"))
+
+
+def report(redacted: DataFrame) -> DataFrame:
+    """(document_id, category, n, n_chars, text_sha256): spans by category, with the length and the digest of the masked text. A document
+    without spans has one row, without a category."""
+    each = F.transform(F.array(*map(F.lit, CATEGORIES)), lambda c: F.struct(c.alias("category"), F.size(F.filter("spans", lambda s: s["category"] == c)).cast("long").alias("n")))
+    text = F.col("redacted_text")
+    rows = redacted.select("document_id", F.filter(each, lambda x: x["n"] > 0).alias("each"), F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    return rows.select("document_id", F.inline_outer("each"), "n_chars", "text_sha256").select("document_id", "category", F.coalesce("n", F.lit(0)).alias("n"), "n_chars", "text_sha256")

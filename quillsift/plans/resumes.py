@@ -224,10 +224,10 @@ def interview_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("redact_resumes")
 def redact_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans found in each resume, by category; masked text of the same length."""
+    """Spans found in each resume, by category; length and digest of the masked text."""
     from quillsift.operators import pii
 
-    return pii.counts(pii.redact(resumes(spark, sf_dir), "document_id"))
+    return pii.report(pii.redact(resumes(spark, sf_dir), "document_id"))
 
 
 @query("unit_coverage")
