@@ -16,6 +16,15 @@ SLICE = 2_000
 Added = dict[str, tuple[str, pa.DataType]]
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch a few documents at a time, with SLICE rows in all in the lists of a column, or one document that has more."""
+    before = np.cumsum(batch.column(column).value_lengths().to_numpy()) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), batch.num_rows]
+    for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if at < end:
+            yield batch.slice(at, end - at)
+
+
 def beside(rows: DataFrame, docs: DataFrame, use: list[str], work: Callable[[str | None, list[dict]], list[tuple]], added: Added) -> DataFrame:
     """rows (document_id, ...) with the columns `added`: work(text, rows) gives a tuple for each of a document's rows.
 
@@ -44,11 +53,7 @@ def beside(rows: DataFrame, docs: DataFrame, use: list[str], work: Callable[[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before = np.cumsum(batch.column(2).value_lengths().to_numpy()) // SLICE
-            cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), batch.num_rows]
-            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if at < end:
-                    yield piece(batch.slice(at, end - at))
+            yield from map(piece, slices(batch, 2))
 
     return met.mapInArrow(run, schema)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,13 @@ DIMENSIONS, NGRAM, NGRAM_WEIGHT = 384, 4, 0.35
 TOKEN = re.compile("[a-z0-9+#.]+")
 
 
+@lru_cache(200_000)
+def _gram(name: str, dimensions: int) -> tuple[int, bool]:
+    """Bucket and sign of a feature."""
+    h = hashlib.blake2b(name.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "big") % dimensions, bool(h[4] & 1)
+
+
 class Features(dict):
     """Token -> (buckets, signed weights) of its word and n-grams; tokens that were met are kept, up to a bound.
 
@@ -23,6 +31,21 @@ class Features(dict):
 
     def __init__(self, dimensions: int = DIMENSIONS, n: int = NGRAM) -> None:
         self.dimensions, self.n = dimensions, n
+        self.lists: dict[str, tuple[list[int], list[float]]] = {}
+
+    def listed(self, token: str) -> tuple[list[int], list[float]]:
+        """A token's buckets and weights as lists, of which vectors() makes one array for many texts."""
+        if found := self.lists.get(token):
+            return found
+        names = [f"w:{token}"]
+        if len(token) > self.n:
+            edged = f"^{token}$"
+            names += [f"c:{edged[i : i + self.n]}" for i in range(len(edged) - self.n + 1)]
+        hashes = [_gram(name, self.dimensions) for name in names]
+        found = [b for b, _ in hashes], [(w if plus else -w) for w, (_, plus) in zip([1.0] + [NGRAM_WEIGHT] * (len(names) - 1), hashes, strict=True)]
+        if len(self.lists) < 100_000:
+            self.lists[token] = found
+        return found
 
     def __missing__(self, token: str) -> tuple[np.ndarray, np.ndarray]:
         features = [(f"w:{token}", 1.0)]
@@ -47,6 +70,22 @@ def vector(text: str | None, features: Features | None = None) -> np.ndarray:
     return out / norm if norm else out
 
 
+def vectors(tokens: Sequence[Sequence[str]], features: Features) -> np.ndarray:
+    """vector() of texts of which the tokens are given, a row each."""
+    width, buckets, weights, sizes = features.dimensions, [], [], []
+    for own in tokens:
+        before = len(buckets)
+        for token in own:
+            b, w = features.listed(token)
+            buckets += b
+            weights += w
+        sizes.append(len(buckets) - before)
+    cells = np.repeat(np.arange(len(tokens)) * width, np.array(sizes, np.int64)) + np.array(buckets, np.int64)
+    out = np.bincount(cells, np.array(weights, float), len(tokens) * width).reshape(-1, width)
+    norm = np.sqrt((out**2).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1.0)
+
+
 def hashing(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, embedding) of (id, text)."""
     kind = rows.schema["id"].dataType.simpleString()

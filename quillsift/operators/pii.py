@@ -170,11 +170,34 @@ def masked(t: Column, spans: Column, categories: list[str] = MASKED) -> Column:
     return let(F.filter(spans, lambda s: s["category"].isin(categories)), lambda chosen: F.when(F.size(chosen) == 0, t).otherwise(built(chosen)))
 
 
+def _masked(texts: pa.Array, spans: pa.ListArray, categories: list[str]) -> pa.Array:
+    """masked() of a batch whose spans are resolved."""
+    flat, label = spans.flatten(), {c: f"[{c.upper()}]" for c in categories}
+    found = [*zip(*(flat.field(k).to_pylist() for k in range(3)), strict=True)]
+    out, at = [], 0
+    for text, size in zip(texts.to_pylist(), spans.value_lengths().to_pylist(), strict=True):
+        pieces, upto = [], 0
+        for start, end, category in found[at : at + size]:
+            if category in label:
+                own, width = label[category], end - start
+                pieces += (text[upto:start], own.ljust(width, "#") if len(own) <= width else "#" * width)
+                upto = end
+        out.append("".join([*pieces, text[upto:]]) if pieces else text)
+        at += size
+    return pa.array(out, pa.string())
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: list[str] = MASKED) -> DataFrame:
-    """(document_id, spans, redacted_text)."""
+    """(document_id, spans, redacted_text). A batch's spans are resolved and its texts are masked at once."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    found = resolved(docs.select(F.col(id_col).alias("document_id"), t.alias("_t"), detected(t).alias("spans")), "spans")
-    return found.select("document_id", "spans", masked(F.col("_t"), F.col("spans"), categories).alias("redacted_text"))
+    rows = docs.select(F.col(id_col).alias("document_id"), detected(t).alias("spans"), t.alias("redacted_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = _resolved(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans, _masked(batch.column(2), spans, categories)], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def counts(redacted: DataFrame) -> DataFrame:

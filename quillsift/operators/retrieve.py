@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,13 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillsift.functions.text import dot, let, tokens
+from quillsift.functions.text import STOPWORDS, dot, let, tokens
 from quillsift.operators import embed
 from quillsift.sources.shared import kept
 
 K1, B, RRF_K, POOL = 1.5, 0.75, 60, 20
 #: Units to a task, so that what a task holds doesn't grow with their number.
 UNITS = 10_000
+STOP = frozenset(STOPWORDS)
 
 
 def term_stats(units: DataFrame) -> DataFrame:
@@ -222,6 +225,102 @@ def search(units: DataFrame, queries: DataFrame, k: int, second: Callable[[DataF
     return fuse(one, two, k, "corpus", "query")
 
 
+#: What a rank adds to a fused score; NONE is that of a unit that a list doesn't have, after all others.
+NONE = POOL + 1
+PARTS = [0.0, *(1.0 / (RRF_K + rank) for rank in range(1, NONE)), 0.0]
+
+
+class Within:
+    """search() of corpora that are at hand, each by itself and whole: a document's units, beside the document.
+
+    Of the queries (name, text) only the words are kept. Scores, ranks and ties are those of bm25(), of keyword_overlap() or
+    similarity(), and of fuse().
+    """
+
+    def __init__(self, queries: list[tuple[str, str]], k: int, second: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        self.k, self.by_vectors = k, second is similarity
+        self.asked = [Counter(self.kept(self.words(text))) for _, text in queries]
+        self.names, self.terms = [name for name, _ in queries], {w for own in self.asked for w in own}
+        self.met: dict[tuple[str, ...], np.ndarray] = {}
+        self.features = embed.Features() if self.by_vectors else None
+        self.matrix = embed.vectors([self.words(text) for _, text in queries], self.features).T if self.by_vectors else None
+
+    @staticmethod
+    def words(text: str | None) -> list[str]:
+        return embed.TOKEN.findall((text or "").lower())
+
+    @staticmethod
+    def kept(words: list[str]) -> list[str]:
+        """tokens() of a text's words."""
+        return [w for w in words if len(w) > 1 and w not in STOP]
+
+    def __call__(self, corpora: list[list[tuple[int, str]]]) -> list[list[tuple[str, int, int]]]:
+        """(query, place, number in the corpus) of the k best units of each corpus of units (unit, text), best first."""
+        words = [[self.words(text) for _, text in own] for own in corpora]
+        ranks = self.by_cosine([[unit for unit, _ in own] for own in corpora], words) if self.by_vectors else [None] * len(corpora)
+        return [self.search([unit for unit, _ in own], said, best) for own, said, best in zip(corpora, words, ranks, strict=True)]
+
+    def cosines(self, words: list[list[str]]) -> np.ndarray:
+        """Of texts to the queries; those of short texts that were met are kept, up to a bound. By einsum, which starts no threads: each
+        core has a worker already."""
+        keys = [*map(tuple, words)]
+        new = [w for w in dict.fromkeys(keys) if w not in self.met]
+        found = {}
+        for at in range(0, len(new), UNITS // 5):
+            part = new[at : at + UNITS // 5]
+            found |= zip(part, np.round(np.einsum("ij,jk->ik", embed.vectors(part, self.features), self.matrix), 6), strict=True)
+        out = np.array([self.met[w] if w in self.met else found[w] for w in keys]).reshape(len(keys), len(self.names))
+        if len(self.met) < 100_000:
+            self.met |= {w: c for w, c in found.items() if len(w) < 5}
+        return out
+
+    def by_cosine(self, units: list[list[int]], words: list[list[list[str]]]) -> list[list[dict[int, int]]]:
+        """For each corpus and query the ranks of the POOL best units, by their numbers in the corpus."""
+        scores = self.cosines([w for own in words for w in own])
+        sizes = [*map(len, units)]
+        row, q = np.nonzero(scores > 0)
+        at = np.repeat(np.arange(len(sizes)), sizes)[row]
+        names = np.array([u for own in units for u in own], np.int64)[row]
+        order = np.lexsort((names, -scores[row, q], q, at))
+        group = (at * len(self.names) + q)[order]
+        rank = np.arange(len(group)) - np.searchsorted(group, group) + 1
+        best = rank <= POOL
+        number = (row - np.append(0, np.cumsum(sizes))[at])[order]
+        out: list[list[dict[int, int]]] = [[{} for _ in self.names] for _ in units]
+        for g, i, r in zip(group[best].tolist(), number[best].tolist(), rank[best].tolist(), strict=True):
+            out[g // len(self.names)][g % len(self.names)][i] = r
+        return out
+
+    def search(self, units: list[int], words: list[list[str]], near: list[dict[int, int]] | None) -> list[tuple[str, int, int]]:
+        sizes = [len(self.kept(own)) for own in words]
+        n, mean = len(units), sum(sizes) / max(1, len(units))
+        postings: dict[str, list[tuple[int, int]]] = {}
+        for i, own in enumerate(words):
+            if not self.terms.isdisjoint(own):
+                for w, tf in Counter(w for w in own if w in self.terms).items():
+                    postings.setdefault(w, []).append((i, tf))
+        parts = {}
+        for w, own in postings.items():
+            idf = math.log(1 + (n - len(own) + 0.5) / (len(own) + 0.5))
+            parts[w] = [(i, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes[i] / mean)))) for i, tf in own]
+        best = lambda scores: {i: rank for rank, (_, _, i) in enumerate(sorted((-score, units[i], i) for i, score in scores)[:POOL], 1)}
+        out = []
+        for q, (name, asked) in enumerate(zip(self.names, self.asked, strict=True)):
+            scores: dict[int, float] = {}
+            shared: Counter[int] = Counter()
+            for w in sorted(asked.keys() & parts.keys()):
+                for i, part in parts[w]:
+                    scores[i] = scores.get(i, 0.0) + part * asked[w]
+                    shared[i] += 1
+            one = best([(i, r) for i, score in scores.items() if (r := round(score, 6)) > 0])
+            two = best([(i, round(count / len(asked), 6)) for i, count in shared.items()]) if near is None else near[q]
+            fused = sorted([(-(PARTS[a] + PARTS[b]), a, b, units[i], i) for i in one.keys() | two.keys() for a, b in [(one.get(i, NONE), two.get(i, NONE))]])
+            out += [(name, place, f[-1]) for place, f in enumerate(fused[: self.k], 1)]
+        return out
+
+
+#: Second rankers that Within has too.
+AT_HAND = (keyword_overlap, similarity)
 #: Rankers that a ranking is measured against: (units, queries) -> (query, unit, score).
 BASELINES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "bm25": lambda units, queries: bm25(units.withColumn("corpus", F.lit(0)), queries.drop("corpus")).drop("corpus"),
