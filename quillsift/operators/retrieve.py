@@ -294,26 +294,28 @@ class Within:
     def search(self, units: list[int], words: list[list[str]], near: list[dict[int, int]] | None) -> list[tuple[str, int, int]]:
         sizes = [len(self.kept(own)) for own in words]
         n, mean = len(units), sum(sizes) / max(1, len(units))
-        postings: dict[str, list[tuple[int, int]]] = {}
+        terms, postings = self.terms, {w: {} for w in self.terms}
         for i, own in enumerate(words):
-            if not self.terms.isdisjoint(own):
-                for w, tf in Counter(w for w in own if w in self.terms).items():
-                    postings.setdefault(w, []).append((i, tf))
+            for w in own:
+                if w in terms:
+                    tf = postings[w]
+                    tf[i] = tf.get(i, 0) + 1
         parts = {}
         for w, own in postings.items():
-            idf = math.log(1 + (n - len(own) + 0.5) / (len(own) + 0.5))
-            parts[w] = [(i, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes[i] / mean)))) for i, tf in own]
+            if own:
+                idf = math.log(1 + (n - len(own) + 0.5) / (len(own) + 0.5))
+                parts[w] = [(i, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes[i] / mean)))) for i, tf in own.items()]
         best = lambda scores: {i: rank for rank, (_, _, i) in enumerate(sorted((-score, units[i], i) for i, score in scores)[:POOL], 1)}
         out = []
         for q, (name, asked) in enumerate(zip(self.names, self.asked, strict=True)):
             scores: dict[int, float] = {}
-            shared: Counter[int] = Counter()
+            shared: dict[int, int] = {}
             for w in sorted(asked.keys() & parts.keys()):
                 for i, part in parts[w]:
                     scores[i] = scores.get(i, 0.0) + part * asked[w]
-                    shared[i] += 1
+                    shared[i] = shared.get(i, 0) + 1
             one = best([(i, r) for i, score in scores.items() if (r := round(score, 6)) > 0])
-            two = best([(i, round(count / len(asked), 6)) for i, count in shared.items()]) if near is None else near[q]
+            two = best(shared.items()) if near is None else near[q]  # by the number of words, which is in the order of their share
             fused = sorted([(-(PARTS[a] + PARTS[b]), a, b, units[i], i) for i in one.keys() | two.keys() for a, b in [(one.get(i, NONE), two.get(i, NONE))]])
             out += [(name, place, f[-1]) for place, f in enumerate(fused[: self.k], 1)]
         return out

@@ -60,13 +60,13 @@ SELECT document_id, score, score_low, score_high, band, meets_all, unmet_must_ha
 @query("screen_resumes", SCREEN_SQL)
 def screen_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates against one rubric, texts as they are; BM25 is fused with keyword overlap, which SQL can say."""
-    return _said(screen.screen(kept(resumes(spark, sf_dir), "resumes"), rubric(spark), blind=False, second=retrieve.keyword_overlap))
+    return _said(screen.screen(resumes(spark, sf_dir), rubric(spark), blind=False, second=retrieve.keyword_overlap))
 
 
 @query("screen_blind")
 def screen_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on masked texts, with hashed vectors as second ranker; tested against plain Python and for what the masks leave."""
-    return _said(screen.screen(kept(resumes(spark, sf_dir), "resumes"), rubric(spark)))
+    return _said(screen.screen(resumes(spark, sf_dir), rubric(spark)))
 
 
 @query("screen_quarantine", RESUME_SQL + """,
